@@ -195,7 +195,7 @@ def _mmr_picks(found: Column, k: int, weight: float) -> Column:
         return F.when(F.size(left) == 0, state).otherwise(
             F.struct(
                 F.concat(state["picked"], F.array(place)).alias("picked"),
-                F.zip_with(state["near"], likeness_to(place), F.greatest).alias("near"),
+                F.zip_with(state["near"], likeness_to(place), lambda a, b: F.greatest(a, b)).alias("near"),
             )
         )
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import ChunkConfig, RetrievalConfig
 from ..operators.chunk import chunk_recursive, with_chunk_id
@@ -14,7 +14,7 @@ from ..operators.embed import hash_embed
 from ..operators.search import attach_sources, mmr, nearest
 from .readers import load_documents
 
-SCHEMA = T.StructType.fromDDL(
+SCHEMA = (
     "chunk_id string, source string, chunk_no int, content string, "
     "metadata map<string,string>, embedding array<float>, ingest string"
 )
@@ -26,11 +26,12 @@ def collection_path(root: str, name: str) -> str:
 
 def open_collection(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The rows of a collection; none where it does not exist yet."""
-    path = collection_path(root, name)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+    try:
+        return spark.read.schema(SCHEMA).parquet(collection_path(root, name))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], SCHEMA)
-    return spark.read.schema(SCHEMA).parquet(path)
 
 
 def add_chunks(
@@ -136,5 +137,5 @@ def search(
 
 def clear_collection(spark: SparkSession, root: str, name: str) -> None:
     """Drop the rows of one collection; others stay."""
-    empty = spark.createDataFrame([], SCHEMA).drop("ingest")
-    empty.write.mode("overwrite").parquet(collection_path(root, name))
+    empty = spark.createDataFrame([], SCHEMA).write.partitionBy("ingest").mode("overwrite")
+    empty.option("partitionOverwriteMode", "static").parquet(collection_path(root, name))

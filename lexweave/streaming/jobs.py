@@ -113,7 +113,7 @@ def stream_history(
     return _start(history, checkpoint, _write_update(out), "update")
 
 
-def metric_windows(log: DataFrame, window: str = "1 day") -> DataFrame:
+def metric_windows(log: DataFrame, window: str = "1 hour") -> DataFrame:
     """Count and sum of each run's metric per tumbling window."""
     return log.groupBy("run_id", "metric", F.window("ts", window).alias("w")).agg(
         F.count("value").alias("points"), F.sum(F.col("value").cast("decimal(18,4)")).alias("total")
@@ -121,10 +121,11 @@ def metric_windows(log: DataFrame, window: str = "1 day") -> DataFrame:
 
 
 def stream_metrics(
-    log: DataFrame, out: str, checkpoint: str, window: str = "1 day", lateness: str = "1 hour"
+    log: DataFrame, out: str, checkpoint: str, window: str = "1 hour", lateness: str = "1 hour"
 ) -> StreamingQuery:
     """Running metric windows; a window's state is dropped once it is ``lateness`` old."""
+    timed = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     return _start(
-        metric_windows(log.withWatermark("ts", lateness), window),
+        metric_windows(timed, window),
         checkpoint, _write_update(out), "update",
     )
