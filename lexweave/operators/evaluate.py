@@ -54,7 +54,7 @@ def generate(
     """Add ``response`` and ``error``. The client is made once per task.
 
     A failing batch is retried prompt by prompt; a failing prompt gets an error
-    text as its response and the run goes on.
+    text as its response and the run goes on. A row without a prompt gets no response.
     """
     added = [T.StructField("response", T.StringType()), T.StructField("error", T.StringType())]
     schema = T.StructType([*df.schema.fields, *added])
@@ -74,11 +74,13 @@ def generate(
         client = make()
         for rows in batches:
             prompts = rows.column(rows.schema.get_field_index(prompt)).to_pylist()
-            pairs = [
+            given = [p for p in prompts if p is not None]
+            answers = (
                 pair
-                for i in range(0, len(prompts), batch)
-                for pair in answer(client, [p or "" for p in prompts[i : i + batch]])
-            ]
+                for i in range(0, len(given), batch)
+                for pair in answer(client, given[i : i + batch])
+            )
+            pairs = [(None, None) if p is None else next(answers) for p in prompts]
             yield pa.RecordBatch.from_arrays(
                 [
                     *rows.columns,

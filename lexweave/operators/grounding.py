@@ -73,25 +73,26 @@ def refine(
     k: int = 4,
     template: str = QA_TEMPLATE,
 ) -> DataFrame:
-    """Answer from the first hit, then improve the answer hit by hit: k rounds for all questions.
+    """Answer from the first hit, then improve the answer hit by hit.
 
-    ``generate`` adds a ``response`` to rows that have a ``prompt``.
+    The k pieces of a question travel in its row, so the k rounds are one pass without
+    a join. ``generate`` adds a ``response`` to rows with a ``prompt``, null for null.
     """
-    state = questions.select(query_id, "question", F.lit("").alias("answer"))
-    for rank in range(1, k + 1):
-        piece = hits.where(F.col("rank") == rank).select(query_id, "content")
-        rows = state.join(piece, query_id, "left")
-        fields = {
-            "question": F.col("question"), "answer": F.col("answer"), "context": F.col("content")
-        }
-        first = render_qa(F.col("content"), F.col("question"), template)
-        asked = rows.withColumn("prompt", first if rank == 1 else fill(REFINE_TEMPLATE, fields))
-        answered = generate(asked.where(F.col("content").isNotNull()))
-        done = rows.where(F.col("content").isNull()).select(query_id, "question", "answer")
-        state = answered.select(query_id, "question", F.col("response").alias("answer")).unionByName(
-            done
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "content")))
+    pieces = hits.where(F.col("rank") <= k).groupBy(query_id).agg(ordered.alias("pieces"))
+    rows = questions.join(pieces, query_id, "left").select(
+        query_id, "question", "pieces", F.lit("").alias("answer")
+    )
+    for place in range(k):
+        context = F.get("pieces", place)["content"]
+        fields = {"question": F.col("question"), "answer": F.col("answer"), "context": context}
+        first = render_qa(context, F.col("question"), template)
+        prompt = first if place == 0 else fill(REFINE_TEMPLATE, fields)
+        asked = rows.withColumn("prompt", F.when(context.isNotNull(), prompt))
+        rows = generate(asked).select(
+            query_id, "question", "pieces", F.coalesce("response", "answer").alias("answer")
         )
-    return state
+    return rows.select(query_id, "question", "answer")
 
 
 def answer_rows(

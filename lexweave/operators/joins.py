@@ -10,13 +10,13 @@ MAX_HOT_KEYS = 1000
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list:
-    """Keys with at least ``hot_rows`` and over a thousandth of the rows: under 1,000 keys."""
-    n = df.count()
-    if n < hot_rows:
-        return []
-    bound = max(hot_rows, n // MAX_HOT_KEYS + 1)
+    """The 1,000 most frequent keys of those with ``hot_rows`` rows or more.
+
+    A key left out has under a thousandth of the rows, which one task can take.
+    """
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return [r[key] for r in counts.where(F.col("n") >= bound).collect()]
+    hot = counts.where(F.col("n") >= hot_rows).orderBy(F.col("n").desc()).limit(MAX_HOT_KEYS)
+    return [r[key] for r in hot.collect()]
 
 
 def lookup_join(

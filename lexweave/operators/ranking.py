@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from ..functions.text import seeded_key
 
 SEGMENT = 1_000_000
-_SEG = "__segment"
+# Group and segment in one struct: nulls in the group compare as equal, and the window,
+# the summary and the join all use the same partitioning.
+KEY = "__key"
 
 
 @dataclass(frozen=True)
@@ -39,30 +41,34 @@ _COMBINE = {
 _AGG = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
 
 
-def running(
-    df: DataFrame,
-    by: list[str],
-    order: list[Column],
-    segment: Column,
-    measures: dict[str, Running],
-) -> DataFrame:
-    """Add running values per ``by`` group; ``segment`` must rise with ``order``."""
-    base = df.withColumn(_SEG, segment)
-    keys = [*by, _SEG]
-    names = {name: f"__{name}" for name in measures}
+def segmented(df: DataFrame, by: list[str], segment: Column) -> DataFrame:
+    """Mark each row with its group and segment; segments must rise with the order."""
+    return df.withColumn(KEY, F.struct(*by, segment.alias("__segment")))
 
-    totals = base.groupBy(*keys).agg(
+
+def running(df: DataFrame, by: list[str], order: list[Column], measures: dict[str, Running]) -> DataFrame:
+    """Add running values per ``by`` group to a segmented table, which stays segmented."""
+    names = {name: f"__{name}" for name in measures}
+    totals = df.groupBy(KEY).agg(
         *(_AGG[m.fn](m.expr).alias(names[n]) for n, m in measures.items())
     )
-    earlier = Window.partitionBy(*by).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
+    group = [F.col(KEY)[c] for c in by]
+    earlier = (
+        Window.partitionBy(*group)
+        .orderBy(F.col(KEY)["__segment"])
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     merge = {n: F.sum if m.fn == "count" else _AGG[m.fn] for n, m in measures.items()}
     carried = totals.select(
-        *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)),
+        KEY,
+        F.count(F.lit(1)).over(earlier).alias("__before"),
         *(merge[n](names[n]).over(earlier).alias(names[n]) for n in measures),
     )
+    # Only later segments of a group have something to carry.
+    carried = carried.where(F.col("__before") > 0).drop("__before")
 
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    local = base.select(
+    inside = Window.partitionBy(KEY).orderBy(*order)
+    local = df.select(
         "*",
         *(
             _AGG[m.fn](m.expr)
@@ -71,8 +77,7 @@ def running(
             for n, m in measures.items()
         ),
     )
-    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    joined = local.join(carried, same, "left")
+    joined = local.join(carried, KEY, "left")
     return joined.select(
         *(F.col(f"`{c}`") for c in df.columns),
         *(_COMBINE[m.fn](F.col(n), F.col(names[n])).alias(n) for n, m in measures.items()),
@@ -108,8 +113,8 @@ def with_position(
         seg = F.substring(key, 1, digits)
     else:
         seg = block(key, segment)
-    counted = Running("count", F.lit(1))
-    return running(df, by or [], [F.col(key)], seg, {name: counted})
+    marked = segmented(df, by or [], seg)
+    return running(marked, by or [], [F.col(key)], {name: Running("count", F.lit(1))}).drop(KEY)
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
@@ -119,8 +124,8 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
 
 def global_rank(df: DataFrame, name: str, *ids: str, seed: int = 42) -> DataFrame:
     """Position in the seeded pseudo-random order of the ids."""
-    keyed = df.withColumn("__key", seeded_key(seed, *ids))
-    return with_position(keyed, name, "__key").drop("__key")
+    keyed = df.withColumn("__order", seeded_key(seed, *ids))
+    return with_position(keyed, name, "__order").drop("__order")
 
 
 def top_per_group(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ranking import SEGMENT, Running, block, running, top_per_group
+from .ranking import SEGMENT, Running, block, running, segmented, top_per_group
 
 
 def log_metrics(log: DataFrame, path: str) -> None:
@@ -79,19 +79,17 @@ def early_stop(
     by = ["run_id", "metric"]
     score = -F.col("value") if maximize else F.col("value")
     steps = _one_value_per_step(log).withColumn("__score", score)
-    seg, order = block("step", segment), [F.col("step")]
+    marked, order = segmented(steps, by, block("step", segment)), [F.col("step")]
     seen = running(
-        steps, by, order, seg,
+        marked, by, order,
         {
             "best": Running("min", F.col("__score"), inclusive=False),
             "pos": Running("count", F.lit(1)),
         },
     )
     better = F.col("best").isNull() | (F.col("best") - F.col("__score") > threshold)
-    counted = running(
-        seen, by, order, seg,
-        {"improved_at": Running("max", F.when(better, F.col("pos")))},
-    )
+    improved_at = {"improved_at": Running("max", F.when(better, F.col("pos")))}
+    counted = running(seen, by, order, improved_at)
     waited = F.col("pos") - F.col("improved_at") >= patience
     return counted.groupBy(*by).agg(
         F.count(F.lit(1)).alias("steps"),
@@ -146,7 +144,7 @@ def flatten_params(runs: DataFrame, run: str, column: str) -> DataFrame:
     kinds = {
         "STRING": "str", "BIGINT": "int", "DOUBLE": "float", "FLOAT": "float", "BOOLEAN": "bool"
     }
-    config = F.parse_json(column)
+    config = F.col("__config")
 
     def entry(key: str, path: str) -> Column:
         leaf = F.try_variant_get(config, path, "variant")
@@ -165,7 +163,8 @@ def flatten_params(runs: DataFrame, run: str, column: str) -> DataFrame:
         "array<struct<key:string,value:string,type:string>>"
     )
     return (
-        runs.select(run, F.explode(entries).alias("p"))
+        runs.select(run, F.parse_json(column).alias("__config"))
+        .select(run, F.explode(entries).alias("p"))
         .select(run, "p.key", "p.value", "p.type")
         .where(F.col("type").isNotNull())
     )

@@ -21,11 +21,16 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import RetrievalConfig
 from ..functions.vectors import cosine
+from ..session import scratch_path
 from .ranking import top_per_group
 
 # Queries per pass: a block of 4,096 vectors of 1,024 doubles is 32 MB.
 QUERY_BLOCK = 4096
 SCORES_AT_ONCE = 4_000_000
+# Passes that one plan unites; more are run one after the other.
+PASSES = 16
+# Hits that may be broadcast: at about 100 bytes each, 100 MB.
+BROADCAST_ROWS = 1_000_000
 DECIMALS = 9
 
 
@@ -91,20 +96,11 @@ def _best_hits(
 
 
 def _block(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    query_id: str,
-    item_id: str,
-    vector: str,
-    metric: str,
-    max_distance: float | None,
-    probe,
+    rows: pa.Table, queries: DataFrame, corpus: DataFrame, k: int, names: tuple[str, str, str],
+    metric: str, max_distance: float | None, probe,
 ) -> DataFrame:
     """Hits of one query block, k per task and query."""
-    rows = queries.select(query_id, vector).toArrow().combine_chunks()
-    ids = rows.column(0).combine_chunks()
-    matrix = _matrix(rows.column(1).combine_chunks()) if len(rows) else np.zeros((0, 1))
+    query_id, item_id, vector = names
     schema = T.StructType(
         [
             T.StructField(query_id, queries.schema[query_id].dataType),
@@ -114,6 +110,8 @@ def _block(
     )
     if not len(rows):
         return corpus.sparkSession.createDataFrame([], schema)
+    ids = rows.column(0).combine_chunks()
+    matrix = _matrix(rows.column(1).combine_chunks())
     item_type = to_arrow_type(corpus.schema[item_id].dataType)
     probes = probe(matrix) if probe else None
     columns = [item_id, vector] + (["cell"] if probe else [])
@@ -153,25 +151,45 @@ def nearest(
     """``query_id, rank, score, item_id``: the k nearest items, nearest first, ties by id.
 
     A query set over ``block`` rows is worked off in blocks of about that size, one
-    corpus scan each, so what is shipped to the executors stays bounded.
+    corpus scan each, so what is shipped to the executors stays bounded. Beyond
+    ``PASSES`` blocks the hits of each pass go to a table in the shared folder.
     """
     if metric not in ("l2", "cosine", "unit_l2"):
         raise ValueError(f"unknown metric {metric!r}")
-    n = queries.count()
-    blocks = max(1, math.ceil(n / block))
-    number = F.pmod(F.xxhash64(query_id), F.lit(blocks))
-    parts = [queries if blocks == 1 else queries.where(number == b) for b in range(blocks)]
-    found = [
-        _block(p, corpus, k, query_id, item_id, vector, metric, max_distance, probe) for p in parts
-    ]
-    hits = reduce(DataFrame.unionAll, found)
+    asked = queries.select(query_id, vector)
+    names = (query_id, item_id, vector)
+
+    def passed(rows: pa.Table) -> DataFrame:
+        return _block(rows, queries, corpus, k, names, metric, max_distance, probe)
+
+    first = asked.limit(block + 1).toArrow()
+    if len(first) <= block:
+        hits = passed(first)
+    else:
+        blocks = math.ceil(asked.count() / block)
+        number = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+        parts = (passed(asked.where(number == b).toArrow()) for b in range(blocks))
+        if blocks <= PASSES:
+            hits = reduce(DataFrame.unionAll, parts)
+        else:
+            path = scratch_path(corpus.sparkSession, "hits")
+            for part in parts:
+                part.write.mode("append").parquet(path)
+            hits = corpus.sparkSession.read.parquet(path)
     ranked = top_per_group(hits, [query_id], [F.col("score"), F.col(item_id)], k)
     return ranked.select(query_id, "rank", "score", item_id)
 
 
-def attach_sources(hits: DataFrame, chunks: DataFrame, item_id: str) -> DataFrame:
-    """Join the hits, a few per query, back to content and metadata."""
-    return hits.join(chunks, item_id)
+def attach_sources(
+    hits: DataFrame, chunks: DataFrame, item_id: str, most: int | None = None
+) -> DataFrame:
+    """Join the hits back to content and metadata.
+
+    ``most`` is a bound on the hits (queries times k). Few hits are broadcast, so that
+    the chunks are not shuffled; without a bound Spark decides.
+    """
+    few = most is not None and most <= BROADCAST_ROWS
+    return chunks.join(F.broadcast(hits) if few else hits, item_id)
 
 
 def _mmr_picks(found: Column, k: int, weight: float) -> Column:
@@ -221,10 +239,11 @@ def mmr(
         metric="cosine", max_distance=cfg.max_distance,
     )
     vectors = corpus.select(item_id, F.col(vector).alias("vector"))
+    most = queries.count() * cfg.fetch_k
     candidate = F.struct(
         "rank", (1 - F.col("score")).alias("likeness"), F.col(item_id).alias("item"), "vector"
     )
-    rows = fetched.join(vectors, item_id).groupBy(query_id)
+    rows = attach_sources(fetched, vectors, item_id, most).groupBy(query_id)
     found = rows.agg(F.array_sort(F.collect_list(candidate)).alias("found"))
     picked = found.select(
         query_id, "found", F.posexplode(_mmr_picks(F.col("found"), cfg.k, cfg.lambda_mult))

@@ -98,9 +98,9 @@ def split(
 def _split_stratified(df: DataFrame, ids: list[str], cfg: SplitConfig) -> DataFrame:
     """The ratio applied inside each stratum, with ranks taken in two levels."""
     stratum = cfg.stratify
-    keyed = df.withColumn("__key", seeded_key(cfg.seed, *ids))
+    keyed = df.withColumn("__order", seeded_key(cfg.seed, *ids))
     sizes = df.groupBy(F.col(stratum).alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = with_position(keyed, "__pos", "__key", by=[stratum])
+    ranked = with_position(keyed, "__pos", "__order", by=[stratum])
     with_n = ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("__s")))
     held = cfg.val + cfg.test
     n_train = F.floor(F.lit(cfg.train) * F.col("__n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import Running, block, running, top_per_group
+from .ranking import KEY, Running, block, running, segmented, top_per_group
 
 # Messages per assembled row, so that a conversation of any length stays in bounded rows.
 PART = 1000
@@ -74,14 +74,10 @@ def buffer_window(
 ) -> DataFrame:
     """The longest tail of each run whose tokens fit the limit."""
     sized = df.withColumn("__tokens", tokens)
-    total = running(
-        sized,
-        [run],
-        [F.col(turn).desc()],
-        block(-F.col(turn), part),
-        {"tokens_to_end": Running("sum", F.col("__tokens"))},
-    )
-    return total.where(F.col("tokens_to_end") <= limit).drop("__tokens")
+    marked = segmented(sized, [run], block(-F.col(turn), part))
+    to_end = {"tokens_to_end": Running("sum", F.col("__tokens"))}
+    total = running(marked, [run], [F.col(turn).desc()], to_end)
+    return total.where(F.col("tokens_to_end") <= limit).drop("__tokens", KEY)
 
 
 def parse_decision(text: Column, agents: list[str]) -> Column:

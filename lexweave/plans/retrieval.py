@@ -95,7 +95,8 @@ def _hits(spark, d):
 
 
 def _sourced(spark, d):
-    return search.attach_sources(_hits(spark, d), chunks(spark, d), "chunk_id")
+    most = questions(spark, d).count() * 4
+    return search.attach_sources(_hits(spark, d), chunks(spark, d), "chunk_id", most)
 
 
 @query(f"WITH {HITS} SELECT query_id, rank, round(score, 6) AS score, chunk_id FROM hits")

@@ -53,10 +53,7 @@ def add_chunks(
     ingest = ingest or uuid.uuid4().hex
     if mode == "upsert":
         held = open_collection(spark, root, name).where(F.col("ingest") != ingest)
-        one = rows.groupBy("chunk_id").agg(
-            *(F.first(c).alias(c) for c in rows.columns if c != "chunk_id")
-        )
-        rows = one.join(held.select("chunk_id"), "chunk_id", "left_anti")
+        rows = rows.dropDuplicates(["chunk_id"]).join(held.select("chunk_id"), "chunk_id", "left_anti")
     elif mode != "append":
         raise ValueError(f"unknown mode {mode!r}")
     written = Observation()
@@ -132,7 +129,8 @@ def search(
         )
     else:
         raise ValueError(f"unknown search type {cfg.search_type!r}")
-    return attach_sources(hits, store.select("chunk_id", "content", "metadata"), "chunk_id")
+    found = store.select("chunk_id", "content", "metadata")
+    return attach_sources(hits, found, "chunk_id", questions.count() * cfg.k)
 
 
 def clear_collection(spark: SparkSession, root: str, name: str) -> None:
