@@ -19,14 +19,27 @@ def chunk_id(source: Column, chunk_no: Column, content: Column) -> Column:
 
 
 def chunk_fixed(df: DataFrame, column: str, cfg: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """Character windows; the last one is the first that reaches the end of the text."""
+    """Character windows; the last one is the first that reaches the end of the text.
+
+    The text is cut once into pieces of one step, and a window joins the pieces it
+    spans, so the work grows with the length of the text and not with its square.
+    """
     step = cfg.size - cfg.overlap
-    last = F.greatest(F.length(column) - cfg.overlap - 1, F.lit(0))
-    starts = F.sequence(F.lit(0), last, F.lit(step))
+    span = -(-cfg.size // step)
+    windows = F.greatest(F.ceil((F.length(column) - cfg.overlap) / step), F.lit(1)).cast("int")
     rest = [c for c in df.columns if c != column]
-    cut = df.select(*rest, column, F.posexplode(starts).alias("chunk_no", "__start"))
-    body = strip(F.substring(F.col(column), F.col("__start") + 1, F.lit(cfg.size)))
-    return cut.select(*rest, "chunk_no", body.alias("content")).where(F.col("content") != "")
+    pieces = F.regexp_extract_all(column, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    cut = df.select(*rest, pieces.alias("__pieces"), windows.alias("__windows"))
+
+    def window(_: Column, i: Column) -> Column:
+        return F.left(F.array_join(F.slice("__pieces", i + 1, span), ""), F.lit(cfg.size))
+
+    joined = F.transform(F.slice("__pieces", F.lit(1), F.col("__windows")), window)
+    return (
+        cut.select(*rest, F.posexplode(joined).alias("chunk_no", "content"))
+        .withColumn("content", strip("content"))
+        .where(F.col("content") != "")
+    )
 
 
 def _pieces(text: str, separator: str) -> list[str]:

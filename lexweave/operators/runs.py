@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ranking import SEGMENT, Running, block, running, segmented, top_per_group
+from .ranking import KEY, SEGMENT, Running, block, running, segmented, top_per_group
 
 
 def log_metrics(log: DataFrame, path: str) -> None:
@@ -58,12 +58,6 @@ def load_best_run(log: DataFrame, metric: str = "eval_loss", maximize: bool = Fa
     return row
 
 
-def _one_value_per_step(log: DataFrame) -> DataFrame:
-    return log.groupBy("run_id", "metric", "step").agg(
-        F.max_by("value", F.struct("ts", "value")).alias("value")
-    )
-
-
 def early_stop(
     log: DataFrame,
     patience: int = 3,
@@ -78,10 +72,13 @@ def early_stop(
     """
     by = ["run_id", "metric"]
     score = -F.col("value") if maximize else F.col("value")
-    steps = _one_value_per_step(log).withColumn("__score", score)
-    marked, order = segmented(steps, by, block("step", segment)), [F.col("step")]
+    # One shuffle, by segment, serves the values per step and both running passes.
+    marked = segmented(log, by, block("step", segment)).repartition(KEY)
+    value = F.max_by("value", F.struct("ts", "value")).alias("value")
+    steps = marked.groupBy(KEY, *by, "step").agg(value).withColumn("__score", score)
+    order = [F.col("step")]
     seen = running(
-        marked, by, order,
+        steps, by, order,
         {
             "best": Running("min", F.col("__score"), inclusive=False),
             "pos": Running("count", F.lit(1)),
@@ -109,9 +106,8 @@ def best_checkpoint(log: DataFrame, maximize: bool = False) -> DataFrame:
 def retain_checkpoints(log: DataFrame, limit: int = 3, maximize: bool = False) -> DataFrame:
     """The newest steps that are kept on disk; the best one takes a place if it is older."""
     by = ["run_id", "metric"]
-    newest = top_per_group(
-        _one_value_per_step(log).select(*by, "step"), by, [F.col("step").desc()], limit, "from_end"
-    )
+    steps = log.select(*by, "step").distinct()
+    newest = top_per_group(steps, by, [F.col("step").desc()], limit, "from_end")
     best = best_checkpoint(log, maximize).select(*by, F.col("best_step").alias("step"))
     marked = newest.select(*by, "step", F.lit(False).alias("best")).unionByName(
         best.withColumn("best", F.lit(True))
