@@ -45,8 +45,9 @@ def preview(c: Column | str, n: int) -> Column:
 
 def words(c: Column | str) -> Column:
     """Whitespace-separated tokens; no empty ones."""
-    parts = F.split(clean(c), " ")
-    return F.when(clean(c) == "", F.array().cast("array<string>")).otherwise(parts)
+    body = strip(c)
+    parts = F.split(body, WHITESPACE_RUN)
+    return F.when(body == "", F.array().cast("array<string>")).otherwise(parts)
 
 
 def seeded_key(seed: int, *ids: Column | str) -> Column:

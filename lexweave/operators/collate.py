@@ -22,17 +22,16 @@ def assign_batches(
     segment: int = SEGMENT,
 ) -> DataFrame:
     """Add ``batch_id``; every batch is full but the last, which ``drop_last`` leaves out."""
-    rows = df.count() if shuffle or drop_last else None
     if shuffle:
         keyed = df.withColumn("__order", seeded_key(seed, *ids))
     elif len(ids) == 1:
         keyed = df.withColumn("__order", F.col(ids[0]).cast("long"))
     else:
         raise ValueError("keeping the row order needs one integer row id")
-    placed = with_position(keyed, "__pos", "__order", rows=rows, segment=segment)
+    placed = with_position(keyed, "__pos", "__order", segment=segment)
     out = placed.withColumn("batch_id", F.floor((F.col("__pos") - 1) / size).cast("long"))
     if drop_last:
-        out = out.where(F.col("batch_id") < rows // size)
+        out = out.where(F.col("batch_id") < df.count() // size)
     return out.drop("__order", "__pos")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from ..functions.text import seeded_key
 
 SEGMENT = 1_000_000
+# Hex digits of a hash key that are counted first: at most 4,096 prefixes.
+DIGITS = 3
 # Group and segment in one struct: nulls in the group compare as equal, and the window,
 # the summary and the join all use the same partitioning.
 KEY = "__key"
@@ -90,9 +93,29 @@ def block(c: Column | str, size: int = SEGMENT) -> Column:
     return F.floor(c / F.lit(size))
 
 
-def prefix_digits(rows: int, per_segment: int = SEGMENT) -> int:
-    """Hex digits of a uniform key that leave about ``per_segment`` rows per prefix."""
-    return max(1, math.ceil(math.log(max(rows / per_segment, 1), 16)))
+def _hash_position(df: DataFrame, name: str, key: str, digits: int, segment: int) -> DataFrame:
+    """Position in the order of a uniform hash key, from the rows per key prefix.
+
+    Up to 16**digits counts come to the driver and go back as a broadcast table of
+    offsets. Where a prefix would hold over ``segment`` rows, longer prefixes are
+    counted and summed on the executors.
+    """
+    prefix = F.substring(key, 1, digits)
+    counted = df.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = sum(r["n"] for r in counted)
+    if rows > segment * 16**digits:
+        longer = math.ceil(math.log(rows / segment, 16))
+        marked = segmented(df, [], F.substring(key, 1, longer))
+        return running(marked, [], [F.col(key)], {name: Running("count", F.lit(1))}).drop(KEY)
+    counted.sort()
+    ends = accumulate(r["n"] for r in counted)
+    offsets = df.sparkSession.createDataFrame(
+        [(r["p"], end - r["n"]) for r, end in zip(counted, ends)], "__p string, __before long"
+    )
+    inside = F.row_number().over(Window.partitionBy("__p").orderBy(key))
+    placed = df.withColumn("__p", prefix).withColumn("__inside", inside)
+    joined = placed.join(F.broadcast(offsets), "__p")
+    return joined.select(*df.columns, (F.col("__before") + F.col("__inside")).alias(name))
 
 
 def with_position(
@@ -100,7 +123,7 @@ def with_position(
     name: str,
     key: str,
     by: list[str] | None = None,
-    rows: int | None = None,
+    digits: int = DIGITS,
     segment: int = SEGMENT,
 ) -> DataFrame:
     """1-based position by ``key``, unique within each group.
@@ -108,13 +131,15 @@ def with_position(
     A string key must be a uniform hex hash (see ``seeded_key``); an integer key
     may have any distribution.
     """
+    by = by or []
     if dict(df.dtypes)[key] == "string":
-        digits = prefix_digits(df.count() if rows is None else rows, segment)
+        if not by:
+            return _hash_position(df, name, key, digits, segment)
         seg = F.substring(key, 1, digits)
     else:
         seg = block(key, segment)
-    marked = segmented(df, by or [], seg)
-    return running(marked, by or [], [F.col(key)], {name: Running("count", F.lit(1))}).drop(KEY)
+    marked = segmented(df, by, seg)
+    return running(marked, by, [F.col(key)], {name: Running("count", F.lit(1))}).drop(KEY)
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:

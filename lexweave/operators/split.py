@@ -8,9 +8,10 @@ counts to the driver per level. The rows are then labelled by comparing keys.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import reduce
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SplitConfig
@@ -19,6 +20,7 @@ from .ranking import with_position
 
 MIN_ROWS = 10
 DIGITS = 3
+KEY_DIGITS = 32
 SORT_ROWS = 100_000
 
 
@@ -42,29 +44,45 @@ def split_sizes(n: int, train: float, val: float, test: float) -> dict[str, int]
     return sizes
 
 
-def _cut_finder(keys: DataFrame, sort_rows: int):
-    """A function from a 0-based rank to the key at that rank."""
-
-    @lru_cache(maxsize=None)
-    def counts(prefix: str) -> list[tuple[str, int]]:
-        part = keys.where(F.col("key").startswith(prefix)) if prefix else keys
-        digit = F.substring("key", len(prefix) + 1, DIGITS).alias("digit")
-        found = part.groupBy(digit).agg(F.count(F.lit(1)).alias("n")).collect()
-        return sorted((prefix + r["digit"], r["n"]) for r in found)
-
-    def find(rank: int) -> str:
-        prefix, width = "", 32
-        while True:
-            for deeper, n in counts(prefix):
-                if rank < n:
-                    break
-                rank -= n
-            prefix = deeper
-            if n <= sort_rows or len(prefix) >= width:
-                rows = keys.where(F.col("key").startswith(prefix))
-                return rows.orderBy("key").offset(rank).limit(1).first()["key"]
-
-    return find, lambda: sum(n for _, n in counts(""))
+def _counts(keys: DataFrame, prefixes: list[str]) -> dict[str, int]:
+    """Rows per key prefix, one level below the given prefixes."""
+    length = len(prefixes[0])
+    if length:
+        keys = keys.where(F.substring("key", 1, length).isin(prefixes))
+    deeper = F.substring("key", 1, length + DIGITS).alias("prefix")
+    found = keys.groupBy(deeper).agg(F.count(F.lit(1)).alias("n")).collect()
+    return {r["prefix"]: r["n"] for r in sorted(found)}
+
+
+def _descend(counts: dict[str, int], prefix: str, rank: int) -> tuple[str, int, int]:
+    """The prefix that holds a 0-based rank, the rank inside it, and its rows."""
+    for deeper, n in counts.items():
+        if deeper.startswith(prefix):
+            if rank < n:
+                return deeper, rank, n
+            rank -= n
+    raise ValueError("the ids changed between two passes over them")
+
+
+def _keys_at(
+    keys: DataFrame, counts: dict[str, int], ranks: list[int], sort_rows: int
+) -> list[str]:
+    """The keys at 0-based ranks; all ranks share each pass."""
+    places = [_descend(counts, "", r) for r in ranks]
+    while any(n > sort_rows for _, _, n in places) and len(places[0][0]) < KEY_DIGITS:
+        counts = _counts(keys, sorted({p for p, _, _ in places}))
+        places = [_descend(counts, p, r) for p, r, _ in places]
+    if not places:
+        return []
+    prefix = F.substring("key", 1, len(places[0][0]))
+    near = keys.select(prefix.alias("prefix"), "key").where(
+        F.col("prefix").isin(sorted({p for p, _, _ in places}))
+    )
+    place = F.row_number().over(Window.partitionBy("prefix").orderBy("key")) - 1
+    wanted = [(F.col("prefix") == p) & (F.col("place") == r) for p, r, _ in places]
+    rows = near.withColumn("place", place).where(reduce(Column.__or__, wanted)).collect()
+    found = {(r["prefix"], r["place"]): r["key"] for r in rows}
+    return [found[p, r] for p, r, _ in places]
 
 
 def _ordered_key(cfg: SplitConfig, ids: list[str]) -> Column:
@@ -72,7 +90,7 @@ def _ordered_key(cfg: SplitConfig, ids: list[str]) -> Column:
         return seeded_key(cfg.seed, *ids)
     if len(ids) != 1:
         raise ValueError("keeping the row order needs one integer row id")
-    return F.lpad(F.hex(F.col(ids[0]).cast("long")), 32, "0")
+    return F.lpad(F.hex(F.col(ids[0]).cast("long")), KEY_DIGITS, "0")
 
 
 def split(
@@ -82,15 +100,13 @@ def split(
     if cfg.stratify:
         return _split_stratified(df, ids, cfg)
     key = _ordered_key(cfg, ids)
-    find, total = _cut_finder(df.select(key.alias("key")), sort_rows)
-    sizes = split_sizes(total(), cfg.train, cfg.val, cfg.test)
+    keys = df.select(key.alias("key"))
+    counts = _counts(keys, [""])
+    sizes = split_sizes(sum(counts.values()), cfg.train, cfg.val, cfg.test)
     names = list(sizes)
-    label, end = F.lit(names[-1]), 0
-    cuts = []
-    for name in names[:-1]:
-        end += sizes[name]
-        cuts.append((name, find(end)))
-    for name, cut in reversed(cuts):
+    ends = list(accumulate(sizes[name] for name in names[:-1]))
+    label = F.lit(names[-1])
+    for name, cut in reversed(list(zip(names, _keys_at(keys, counts, ends, sort_rows)))):
         label = F.when(key < cut, F.lit(name)).otherwise(label)
     return df.withColumn("split", label)
 

@@ -22,9 +22,14 @@ ROLES = ["system", "user", "assistant"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """One table; naming the columns keeps the scan to them."""
+    """One table; naming the columns keeps the scan to them.
+
+    Long texts are spread over the cores before the text work, where the file has
+    fewer splits than that.
+    """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df.select(*columns) if columns else df)
+    df = df.select(*columns) if columns else df
+    return spread(df) if name in ("documents", "pages") and {"text", "html"} & set(df.columns) else df
 
 
 def raw(spark, d) -> DataFrame:
