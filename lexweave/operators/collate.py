@@ -79,7 +79,7 @@ def collate_dpo(
     pad_id: int = PAD_ID,
 ) -> DataFrame:
     """Six padded columns. Prompt and answer are joined as text before tokenizing."""
-    short, full = encoder(batches, tokenizer, max_prompt), encoder(batches, tokenizer, max_len)
+    short, full = encoder(tokenizer, max_prompt), encoder(tokenizer, max_len)
     prompt = F.col("prompt")
     coded = batches.withColumns(
         {

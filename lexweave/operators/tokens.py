@@ -67,13 +67,12 @@ def lookup_ids(tokens: DataFrame, vocab: DataFrame, unk_id: int = UNK_ID) -> Dat
     return joined.withColumn("token_id", F.coalesce("token_id", F.lit(unk_id)))
 
 
-def encoder(df: DataFrame, tokenizer: Tokenizer, max_len: int):
-    """An Arrow function text → ids, cut to ``max_len``; the tokenizer ships once per executor."""
-    shipped = df.sparkSession.sparkContext.broadcast(tokenizer)
+def encoder(tokenizer: Tokenizer, max_len: int):
+    """An Arrow function text → ids, cut to ``max_len``. Spark broadcasts a large tokenizer."""
 
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
-        ids = shipped.value.encode(texts.fillna("").tolist())
+        ids = tokenizer.encode(texts.fillna("").tolist())
         return pd.Series([np.asarray(i[:max_len], dtype=np.int32) for i in ids])
 
     return encode
@@ -87,7 +86,7 @@ def tokenize(
     df: DataFrame, column: str, tokenizer: Tokenizer, max_len: int = 2048, keep: Sequence[str] = ()
 ) -> DataFrame:
     """Truncated, unpadded ids and mask; source columns go unless kept."""
-    ids = encoder(df, tokenizer, max_len)(F.col(column))
+    ids = encoder(tokenizer, max_len)(F.col(column))
     coded = df.select(*keep, ids.alias("input_ids"))
     return coded.withColumn("attention_mask", mask(F.col("input_ids")))
 

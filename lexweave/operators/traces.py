@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from .ranking import KEY, Running, block, running, segmented, top_per_group
 
 # Messages per assembled row, so that a conversation of any length stays in bounded rows.
@@ -82,7 +83,7 @@ def buffer_window(
 
 def parse_decision(text: Column, agents: list[str]) -> Column:
     """The agent a manager named, in the roster's spelling; anything else ends the run."""
-    said = F.lower(F.btrim(text))
+    said = F.lower(strip(text))
     choice = F.lit(END)
     for name in reversed(agents):
         if name.lower() != "done":

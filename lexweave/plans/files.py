@@ -158,7 +158,8 @@ def add_texts(spark, d):
     return append.join(upsert, ["chunk_id", "source", "content"])
 
 
-@query("SELECT 0::BIGINT AS cleared, count(*) AS kept, count(*) AS added_again FROM documents")
+@query("""SELECT 'cleared' AS collection, 0::BIGINT AS rows UNION ALL
+SELECT 'kept', count(*) FROM documents UNION ALL SELECT 'added_again', count(*) FROM documents""")
 def clear_collection(spark, d):
     root = scratch_path(spark, "store")
     for name in ("cleared", "kept", "added_again"):
@@ -166,11 +167,12 @@ def clear_collection(spark, d):
     collections.clear_collection(spark, root, "cleared")
     collections.clear_collection(spark, root, "added_again")
     collections.add_texts(_texts(spark, d), root, "added_again")
-    names = ("cleared", "kept", "added_again")
-    rows = [
-        collections.open_collection(spark, root, n).agg(F.count(F.lit(1)).alias(n)) for n in names
-    ]
-    return rows[0].join(rows[1]).join(rows[2])
+
+    def counted(name):
+        rows = collections.open_collection(spark, root, name)
+        return rows.agg(F.lit(name).alias("collection"), F.count(F.lit(1)).alias("rows"))
+
+    return counted("cleared").union(counted("kept")).union(counted("added_again"))
 
 
 @query()

@@ -58,7 +58,7 @@ FROM whole b JOIN asked a USING (conv_id, turn)""")
 def drop_prompt_tokens(spark, d):
     tokenizer = tokens.load_tokenizer(word_ids(spark, d))
     rows = instructions(spark, d)
-    encode = tokens.encoder(rows, tokenizer, 2**31 - 1)
+    encode = tokens.encoder(tokenizer, 2**31 - 1)
     coded = rows.select(
         "conv_id", "turn",
         encode(F.concat_ws(" ", "instruction", "output")).alias("out"),
@@ -137,7 +137,7 @@ SELECT conv_id, turn, batch_id, {_sql_pad('ids', 'm', 0)} AS input_ids,
 def collate_seq2seq(spark, d):
     tokenizer = tokens.load_tokenizer(word_ids(spark, d))
     rows = collate.assign_batches(instructions(spark, d), ["conv_id", "turn"], 4)
-    encode = tokens.encoder(rows, tokenizer, 2048)
+    encode = tokens.encoder(tokenizer, 2048)
     coded = rows.select(
         "conv_id", "turn", "batch_id",
         encode("instruction").alias("input_ids"), encode("output").alias("labels"),

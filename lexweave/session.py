@@ -45,12 +45,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so that later jobs read fixed rows."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on a scan of fewer splits than cores; larger scans are left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism

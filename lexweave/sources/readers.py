@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 from dataclasses import replace
 
 from pyspark.errors import AnalysisException
@@ -22,6 +23,16 @@ NA_VALUES = (
 )
 
 
+def charset(encoding: str) -> str:
+    """Spark's name of an encoding; unknown ones are left to the session's charset setting."""
+    try:
+        name = codecs.lookup(encoding).name
+    except LookupError:
+        return encoding
+    # Names that differ.
+    return {"iso8859-1": "ISO-8859-1", "ascii": "US-ASCII"}.get(name, name)
+
+
 def read_table(
     spark: SparkSession,
     path: str,
@@ -35,13 +46,13 @@ def read_table(
     not hold line breaks, and large files are read in splits.
     """
     if cfg.fmt in ("json", "jsonl"):
-        reader = spark.read.options(encoding=cfg.encoding, primitivesAsString=True, **(tree or {}))
+        reader = spark.read.options(encoding=charset(cfg.encoding), primitivesAsString=True, **(tree or {}))
         df = (reader.schema(schema) if schema else reader).json(path)
     elif cfg.fmt in ("csv", "tsv"):
         delimiter = "\t" if cfg.fmt == "tsv" or cfg.delimiter == "\\t" else cfg.delimiter
         reader = spark.read.options(
             sep=delimiter,
-            encoding=cfg.encoding,
+            encoding=charset(cfg.encoding),
             header=cfg.header,
             multiLine=cfg.multiline,
             quote='"',

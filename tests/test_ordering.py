@@ -1,5 +1,4 @@
 import hashlib
-import math
 import random
 
 import pytest
@@ -9,7 +8,7 @@ from lexweave import SplitConfig
 from lexweave.operators import ranking
 from lexweave.operators.joins import hot_keys, lookup_join
 from lexweave.operators.split import (
-    _counts, _keys_at, evaluation_split, split, split_counts, split_sizes, union_splits,
+    evaluation_split, split, split_counts, split_sizes, union_splits,
 )
 
 
@@ -143,7 +142,7 @@ def test_stratified_split(spark):
     df = spark.range(300).withColumn("g", F.when(F.col("id") < 200, "hot").when(F.col("id") < 260, "b"))
     out = split(df, ["id"], SplitConfig(stratify="g")).groupBy("g", "split").count().collect()
     got = {(r["g"], r["split"]): r["count"] for r in out}
-    assert got[("hot", "train")], got[("hot", "validation")] == (160, 20)
+    assert (got[("hot", "train")], got[("hot", "validation")], got[("hot", "test")]) == (160, 20, 20)
     assert (got[("b", "train")], got[("b", "validation")], got[("b", "test")]) == (48, 6, 6)
     assert (got[(None, "train")], got[(None, "validation")], got[(None, "test")]) == (32, 4, 4)
 
