@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,6 @@ from pyspark.sql import types as T
 Embedder = Callable[[Sequence[str]], np.ndarray]
 
 
-@lru_cache(maxsize=1 << 20)
 def token_bucket(token: str, dim: int) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:7], 16) % dim
 
@@ -25,10 +26,11 @@ class HashEmbedder:
 
     def __init__(self, dim: int = 256):
         self.dim = dim
+        self.bucket = lru_cache(maxsize=1 << 20)(lambda token: token_bucket(token, dim))
 
     def __call__(self, texts: Sequence[str]) -> np.ndarray:
         cells = [
-            row * self.dim + token_bucket(token, self.dim)
+            row * self.dim + self.bucket(token)
             for row, text in enumerate(texts)
             for token in text.lower().split()
         ]
@@ -36,7 +38,9 @@ class HashEmbedder:
         return counts.reshape(len(texts), self.dim).astype(np.float32)
 
 
-_loaded: dict[str, Embedder] = {}
+def _loaded() -> dict[str, Embedder]:
+    """The embedders of this Python worker; a module of its own outlives the tasks."""
+    return sys.modules.setdefault("lexweave_embedders", ModuleType("lexweave_embedders")).__dict__
 
 
 def embed(
@@ -51,9 +55,10 @@ def embed(
     schema = T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _loaded:
-            _loaded[name] = make()
-        model = _loaded[name]
+        loaded = _loaded()
+        if name not in loaded:
+            loaded[name] = make()
+        model = loaded[name]
         for rows in batches:
             if rows.num_rows == 0:
                 continue
