@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..config import RetrievalConfig
 from ..functions.render import QA_TEMPLATE
 from ..functions import render, text, vectors as vec
-from ..operators import chunk, evaluate, grounding, search
+from ..operators import chunk, embed, evaluate, grounding, search
 from .registry import query
 from .tables import (
     CENTRES, CHUNKS, HITS, INSTR, chunk_vectors, chunks, instructions, joined, label_centres,
@@ -36,6 +37,19 @@ def hash_embed(spark, d):
     )
 
 
+def _text_sizes():
+    """An embedder that any user could bring: two numbers per text."""
+    return lambda texts: np.array([[len(t), t.count(" ")] for t in texts], dtype=float)
+
+
+@query("SELECT doc_id, length(text) AS chars, length(text) - length(replace(text, ' ', '')) AS spaces FROM documents")
+def embed_texts(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "text")
+    rows = embed.embed(docs, "text", _text_sizes, "sizes").select("doc_id", "embedding")
+    value = lambda i: F.element_at("embedding", i).cast("long")
+    return rows.select("doc_id", value(1).alias("chars"), value(2).alias("spaces"))
+
+
 def _centre_hits(spark, d, k=4, metric="l2", **options):
     return search.nearest(
         label_centres(spark, d), vectors(spark, d), k,
