@@ -14,25 +14,29 @@ def log_metrics(log: DataFrame, path: str) -> None:
     log.write.mode("append").partitionBy("metric").parquet(path)
 
 
-def latest_metrics(log: DataFrame) -> DataFrame:
-    """The value of the highest step, then time, per run and metric."""
-    newest = F.max_by("value", F.struct("step", "ts", "value"))
+def _age(unique_steps: bool) -> Column:
+    """The order of a run's values. A bare step keeps the aggregate hash-based."""
+    return F.col("step") if unique_steps else F.struct("step", "ts", "value")
+
+
+def latest_metrics(log: DataFrame, unique_steps: bool = False) -> DataFrame:
+    """The value of the highest step, then time, per run and metric.
+
+    ``unique_steps`` says that a run logs a metric once per step, which saves a sort.
+    """
+    newest = F.max_by("value", _age(unique_steps))
     return log.groupBy("run_id", "metric").agg(newest.alias("value"))
 
 
-def compare_runs(log: DataFrame, runs: DataFrame, metrics: list[str] | None = None) -> DataFrame:
+def compare_runs(
+    log: DataFrame, runs: DataFrame, metrics: list[str] | None = None, unique_steps: bool = False
+) -> DataFrame:
     """One row per run: its name, status, start, and the latest value per metric named."""
     summary = runs.select("run_id", "run_name", "status", "start_time")
     if not metrics:
         return summary
-    named = log.where(F.col("metric").isin(metrics))
-    at = F.struct("step", "ts", "value")
-    wide = named.groupBy("run_id").agg(
-        *(
-            F.max_by("value", F.when(F.col("metric") == m, at)).alias(m)
-            for m in metrics
-        )
-    )
+    latest = latest_metrics(log.where(F.col("metric").isin(metrics)), unique_steps)
+    wide = latest.groupBy("run_id").pivot("metric", metrics).agg(F.first("value"))
     return summary.join(wide, "run_id", "left")
 
 
@@ -41,20 +45,32 @@ def order_runs(runs: DataFrame, metric: str, maximize: bool = False) -> list[Col
     return [m.desc_nulls_last() if maximize else m.asc_nulls_last(), F.col("run_id")]
 
 
-def best_run(log: DataFrame, metric: str = "eval_loss", maximize: bool = False) -> DataFrame:
-    """The run with the best latest value, with its model address. Empty without runs."""
-    named = log.withColumn("value", F.when(F.col("metric") == metric, F.col("value")))
-    newest = F.max_by("value", F.when(F.col("metric") == metric, F.struct("step", "ts", "value")))
-    latest = named.groupBy("run_id").agg(newest.alias(metric))
+def best_run(
+    log: DataFrame,
+    metric: str = "eval_loss",
+    maximize: bool = False,
+    runs: DataFrame | None = None,
+    unique_steps: bool = False,
+) -> DataFrame:
+    """The run with the best latest value, with its model address; no row without runs.
+
+    Only the metric's values are read. Given the table of ``runs``, those without a
+    value come last instead of being left out.
+    """
+    latest = latest_metrics(log.where(F.col("metric") == metric), unique_steps).select(
+        "run_id", F.col("value").alias(metric)
+    )
+    if runs is not None:
+        latest = runs.select("run_id").join(latest, "run_id", "left")
     first = latest.orderBy(*order_runs(latest, metric, maximize)).limit(1)
     uri = F.concat(F.lit("runs:/"), F.col("run_id").cast("string"), F.lit("/model"))
     return first.withColumn("artifact_uri", uri)
 
 
-def load_best_run(log: DataFrame, metric: str = "eval_loss", maximize: bool = False):
-    row = best_run(log, metric, maximize).first()
+def load_best_run(log: DataFrame, metric: str = "eval_loss", maximize: bool = False, **options):
+    row = best_run(log, metric, maximize, **options).first()
     if row is None:
-        raise ValueError("the log has no runs")
+        raise ValueError(f"no run has the metric {metric!r}")
     return row
 
 
@@ -63,6 +79,7 @@ def early_stop(
     patience: int = 3,
     threshold: float = 0.001,
     maximize: bool = False,
+    unique_steps: bool = False,
     segment: int = SEGMENT,
 ) -> DataFrame:
     """Per run and metric the step at which training would have stopped, or null.
@@ -73,9 +90,11 @@ def early_stop(
     by = ["run_id", "metric"]
     score = -F.col("value") if maximize else F.col("value")
     # One shuffle, by segment, serves the values per step and both running passes.
-    marked = segmented(log, by, block("step", segment)).repartition(KEY)
-    value = F.max_by("value", F.struct("ts", "value")).alias("value")
-    steps = marked.groupBy(KEY, *by, "step").agg(value).withColumn("__score", score)
+    steps = segmented(log, by, block("step", segment)).repartition(KEY)
+    if not unique_steps:
+        value = F.max_by("value", F.struct("ts", "value")).alias("value")
+        steps = steps.groupBy(KEY, *by, "step").agg(value)
+    steps = steps.withColumn("__score", score)
     order = [F.col("step")]
     seen = running(
         steps, by, order,

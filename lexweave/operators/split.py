@@ -107,8 +107,8 @@ def split(
     ends = list(accumulate(sizes[name] for name in names[:-1]))
     label = F.lit(names[-1])
     for name, cut in reversed(list(zip(names, _keys_at(keys, counts, ends, sort_rows)))):
-        label = F.when(key < cut, F.lit(name)).otherwise(label)
-    return df.withColumn("split", label)
+        label = F.when(F.col("__order") < cut, F.lit(name)).otherwise(label)
+    return df.withColumn("__order", key).withColumn("split", label).drop("__order")
 
 
 def _split_stratified(df: DataFrame, ids: list[str], cfg: SplitConfig) -> DataFrame:

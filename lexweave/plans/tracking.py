@@ -14,7 +14,7 @@ METRICS = ["view", "click", "purchase"]
 
 @query(f"WITH {LOG} SELECT run_id, metric, arg_max(value, step) AS value FROM metric_log GROUP BY ALL")
 def latest_metrics(spark, d):
-    return runs.latest_metrics(metric_log(spark, d))
+    return runs.latest_metrics(metric_log(spark, d), unique_steps=True)
 
 
 @query(f"""WITH {RUNS} SELECT run_id, run_name, status, start_time,
@@ -23,7 +23,7 @@ def latest_metrics(spark, d):
   arg_max(value, step) FILTER (WHERE metric = 'purchase') AS purchase
 FROM run_list LEFT JOIN metric_log USING (run_id) GROUP BY ALL""")
 def compare_runs(spark, d):
-    return runs.compare_runs(metric_log(spark, d), run_list(spark, d), METRICS)
+    return runs.compare_runs(metric_log(spark, d), run_list(spark, d), METRICS, unique_steps=True)
 
 
 @query(f"""WITH {LOG}, latest AS (
@@ -32,7 +32,7 @@ def compare_runs(spark, d):
 SELECT run_id, purchase, 'runs:/' || run_id || '/model' AS artifact_uri FROM latest
 ORDER BY purchase NULLS LAST, run_id LIMIT 1""")
 def best_run(spark, d):
-    return runs.best_run(metric_log(spark, d), "purchase")
+    return runs.best_run(metric_log(spark, d), "purchase", runs=run_list(spark, d))
 
 
 @query(f"""WITH {LOG}, latest AS (
@@ -41,7 +41,7 @@ def best_run(spark, d):
 SELECT run_id, signup, 'runs:/' || run_id || '/model' AS artifact_uri FROM latest
 ORDER BY signup DESC NULLS LAST, run_id LIMIT 1""")
 def best_run_maximize(spark, d):
-    return runs.best_run(metric_log(spark, d), "signup", maximize=True)
+    return runs.best_run(metric_log(spark, d), "signup", maximize=True, unique_steps=True)
 
 
 @query(f"""WITH {RUNS}, wide AS (
@@ -65,7 +65,7 @@ improved AS (SELECT *, max(CASE WHEN best IS NULL OR best - value > 0.001 THEN p
 @query(f"""WITH {_STEPS} SELECT run_id, metric, count(*) AS steps,
   min(step) FILTER (WHERE pos - improved_at >= 3) AS stop_step FROM improved GROUP BY ALL""")
 def early_stop(spark, d):
-    return runs.early_stop(metric_log(spark, d))
+    return runs.early_stop(metric_log(spark, d), unique_steps=True)
 
 
 @query(f"""WITH {LOG} SELECT run_id, metric, arg_min(step, (value, step)) AS best_step,

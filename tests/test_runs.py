@@ -32,7 +32,8 @@ def stop_twin(values, patience, threshold):
 def test_early_stop_equals_the_loop(spark, segment, patience, threshold):
     rng = random.Random(segment + patience)
     rows = [(r, "loss", s * r, rng.randint(0, 40) / 2 - s / 10) for r in (1, 2, 3) for s in range(40)]
-    got = runs.early_stop(log_of(spark, rows), patience, threshold, segment=segment).collect()
+    log, unique = log_of(spark, rows), segment == 5
+    got = runs.early_stop(log, patience, threshold, unique_steps=unique, segment=segment).collect()
     for r in got:
         values = [(s, v) for run, _, s, v in rows if run == r["run_id"]]
         assert (r["steps"], r["stop_step"]) == (40, stop_twin(values, patience, threshold))
@@ -53,7 +54,9 @@ def test_latest_best_and_compare(spark):
     assert best.asDict() == {"run_id": 1, "loss": 1.5, "artifact_uri": "runs:/1/model"}
     assert runs.load_best_run(log, "loss", maximize=True)["run_id"] == 2
     with pytest.raises(ValueError):
-        runs.load_best_run(log.limit(0), "loss")
+        runs.load_best_run(log, "absent")
+    assert runs.load_best_run(log, "absent", runs=log.select("run_id").distinct())["absent"] is None
+    assert runs.best_run(log.where("step < 2"), "loss", unique_steps=True).first()["run_id"] in (1, 2)
     known = spark.createDataFrame([(i, f"r{i}", "FINISHED", T0) for i in (1, 2, 3, 4)], "run_id long, run_name string, status string, start_time timestamp")
     wide = {r["run_id"]: (r["loss"], r["acc"]) for r in runs.compare_runs(log, known, ["loss", "acc"]).collect()}
     assert wide == {1: (1.5, None), 2: (2.0, None), 3: (None, 0.5), 4: (None, None)}
