@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import seeded_key
-from .ranking import SEGMENT, with_position
+from .ranking import SEGMENT, hash_position, with_position
 from .tokens import PAD_ID, Tokenizer, encoder, mask
 
 IGNORED = -100
@@ -24,14 +24,16 @@ def assign_batches(
     """Add ``batch_id``; every batch is full but the last, which ``drop_last`` leaves out."""
     if shuffle:
         keyed = df.withColumn("__order", seeded_key(seed, *ids))
+        placed, rows = hash_position(keyed, "__pos", "__order", segment=segment)
     elif len(ids) == 1:
         keyed = df.withColumn("__order", F.col(ids[0]).cast("long"))
+        placed = with_position(keyed, "__pos", "__order", segment=segment)
+        rows = df.count() if drop_last else 0
     else:
         raise ValueError("keeping the row order needs one integer row id")
-    placed = with_position(keyed, "__pos", "__order", segment=segment)
     out = placed.withColumn("batch_id", F.floor((F.col("__pos") - 1) / size).cast("long"))
     if drop_last:
-        out = out.where(F.col("batch_id") < df.count() // size)
+        out = out.where(F.col("batch_id") < rows // size)
     return out.drop("__order", "__pos")
 
 

@@ -93,8 +93,10 @@ def block(c: Column | str, size: int = SEGMENT) -> Column:
     return F.floor(c / F.lit(size))
 
 
-def _hash_position(df: DataFrame, name: str, key: str, digits: int, segment: int) -> DataFrame:
-    """Position in the order of a uniform hash key, from the rows per key prefix.
+def hash_position(
+    df: DataFrame, name: str, key: str, digits: int = DIGITS, segment: int = SEGMENT
+) -> tuple[DataFrame, int]:
+    """Position in the order of a uniform hash key, and the number of rows.
 
     Up to 16**digits counts come to the driver and go back as a broadcast table of
     offsets. Where a prefix would hold over ``segment`` rows, longer prefixes are
@@ -106,7 +108,8 @@ def _hash_position(df: DataFrame, name: str, key: str, digits: int, segment: int
     if rows > segment * 16**digits:
         longer = math.ceil(math.log(rows / segment, 16))
         marked = segmented(df, [], F.substring(key, 1, longer))
-        return running(marked, [], [F.col(key)], {name: Running("count", F.lit(1))}).drop(KEY)
+        placed = running(marked, [], [F.col(key)], {name: Running("count", F.lit(1))})
+        return placed.drop(KEY), rows
     counted.sort()
     ends = accumulate(r["n"] for r in counted)
     offsets = df.sparkSession.createDataFrame(
@@ -115,7 +118,7 @@ def _hash_position(df: DataFrame, name: str, key: str, digits: int, segment: int
     inside = F.row_number().over(Window.partitionBy("__p").orderBy(key))
     placed = df.withColumn("__p", prefix).withColumn("__inside", inside)
     joined = placed.join(F.broadcast(offsets), "__p")
-    return joined.select(*df.columns, (F.col("__before") + F.col("__inside")).alias(name))
+    return joined.select(*df.columns, (F.col("__before") + F.col("__inside")).alias(name)), rows
 
 
 def with_position(
@@ -126,7 +129,7 @@ def with_position(
     digits: int = DIGITS,
     segment: int = SEGMENT,
 ) -> DataFrame:
-    """1-based position by ``key``, unique within each group.
+    """1-based position by ``key``, which is unique within each group.
 
     A string key must be a uniform hex hash (see ``seeded_key``); an integer key
     may have any distribution.
@@ -134,7 +137,7 @@ def with_position(
     by = by or []
     if dict(df.dtypes)[key] == "string":
         if not by:
-            return _hash_position(df, name, key, digits, segment)
+            return hash_position(df, name, key, digits, segment)[0]
         seg = F.substring(key, 1, digits)
     else:
         seg = block(key, segment)

@@ -79,7 +79,7 @@ def encoder(tokenizer: Tokenizer, max_len: int):
 
 
 def mask(ids: Column) -> Column:
-    return F.transform(ids, lambda _: F.lit(1))
+    return F.array_repeat(F.lit(1), F.size(ids))
 
 
 def tokenize(

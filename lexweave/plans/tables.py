@@ -59,13 +59,19 @@ def instructions(spark, d) -> DataFrame:
 
 def preferences(spark, d) -> DataFrame:
     """The n-th good text of a source and language beside its n-th bad one."""
-    docs = table(spark, d, "documents", "doc_id", "source", "lang", "text")
+    docs = table(spark, d, "documents", "doc_id", "source", "lang")
     rated = docs.join(table(spark, d, "labels", "doc_id", "quality"), "doc_id")
     placed = with_position(rated, "n", "doc_id", by=["source", "lang", "quality"])
-    keys = ["source", "lang", "n"]
-    good = placed.where(F.col("quality") == 1).select(*keys, F.col("text").alias("chosen"), "doc_id")
-    bad = placed.where(F.col("quality") == 0).select(*keys, F.col("text").alias("rejected"))
-    return good.join(bad, keys).select(
+    # Two rows per place at most: a good one and a bad one.
+    pairs = placed.groupBy("source", "lang", "n").agg(
+        F.max(F.when(F.col("quality") == 1, F.col("doc_id"))).alias("doc_id"),
+        F.max(F.when(F.col("quality") == 0, F.col("doc_id"))).alias("bad_id"),
+    )
+    # The texts come last, so that ids alone are ranked and paired.
+    texts = table(spark, d, "documents", "doc_id", "text")
+    chosen = texts.withColumnRenamed("text", "chosen")
+    rejected = texts.select(F.col("doc_id").alias("bad_id"), F.col("text").alias("rejected"))
+    return pairs.join(chosen, "doc_id").join(rejected, "bad_id").select(
         "doc_id", F.substring("chosen", 1, 80).alias("prompt"), "chosen", "rejected"
     )
 
@@ -140,7 +146,8 @@ def word_ids(spark, d) -> DataFrame:
 
 def joined(c, sep: str = " "):
     """An array as one text, for flat results."""
-    return F.array_join(F.transform(c, lambda x: x.cast("string")), sep)
+    c = F.col(c) if isinstance(c, str) else c
+    return F.array_join(c.cast("array<string>"), sep)
 
 
 # SQL twins of the tables above, to be put behind WITH.
