@@ -60,7 +60,8 @@ def _distances(rows: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray
 
 
 def _trim(hits: pd.DataFrame, k: int) -> pd.DataFrame:
-    return hits.sort_values(["q", "score", "item"]).groupby("q", sort=False).head(k)
+    ordered = hits.sort_values(["q", "score", "item"]).drop_duplicates(["q", "item"])
+    return ordered.groupby("q", sort=False).head(k)
 
 
 def _best_hits(
@@ -71,13 +72,19 @@ def _best_hits(
     max_distance: float | None,
     probes: np.ndarray | None = None,
 ) -> pd.DataFrame:
-    """The k best rows per query of one task. Columns: item, vector and, with probes, cell."""
+    """The k best items per query of one task. Columns: item, vector and, with probes, cell."""
     best = pd.DataFrame({"q": np.zeros(0, int), "score": np.zeros(0), "item": []})
     bound = np.full(len(queries), np.inf if max_distance is None else max_distance)
     step = max(1, SCORES_AT_ONCE // max(len(queries), 1))
     for batch in batches:
         for start in range(0, batch.num_rows, step):
             rows = batch.slice(start, step)
+            # Copies of an item would crowd others out of the k.
+            items = rows.column(0).to_pandas()
+            if items.duplicated().any():
+                kept = ~items.duplicated().to_numpy()
+                rows, items = rows.filter(pa.array(kept)), items[kept]
+            items = items.to_numpy()
             scores = _distances(_matrix(rows.column(1)), queries, metric)
             if probes is not None:
                 cells = rows.column(2).to_numpy(zero_copy_only=False)
@@ -86,7 +93,6 @@ def _best_hits(
             row, query = np.nonzero((scores <= np.minimum(bound, kth)) & np.isfinite(scores))
             if not len(row):
                 continue
-            items = rows.column(0).to_pandas().to_numpy()
             new = pd.DataFrame({"q": query, "score": scores[row, query], "item": items[row]})
             best = _trim(new if best.empty else pd.concat([best, new]), k)
             full = best.groupby("q")["score"].agg(["size", "max"])
@@ -127,7 +133,7 @@ def _block(
             [
                 ids.take(pa.array(hits["q"].to_numpy(dtype=np.int64))),
                 pa.array(hits["score"].to_numpy(dtype=np.float64)),
-                pa.array(hits["item"].to_numpy(), type=item_type),
+                pa.array(hits["item"].tolist(), type=item_type),
             ],
             names=[query_id, "score", item_id],
         )
@@ -146,6 +152,7 @@ def nearest(
     metric: str = "l2",
     max_distance: float | None = None,
     block: int = QUERY_BLOCK,
+    unique_items: bool = True,
     probe=None,
 ) -> DataFrame:
     """``query_id, rank, score, item_id``: the k nearest items, nearest first, ties by id.
@@ -153,6 +160,7 @@ def nearest(
     A query set over ``block`` rows is worked off in blocks of about that size, one
     corpus scan each, so what is shipped to the executors stays bounded. Beyond
     ``PASSES`` blocks the hits of each pass go to a table in the shared folder.
+    With ``unique_items=False`` rows of the same id are copies, and count as one item.
     """
     if metric not in ("l2", "cosine", "unit_l2"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -176,20 +184,29 @@ def nearest(
             for part in parts:
                 part.write.mode("append").parquet(path)
             hits = corpus.sparkSession.read.parquet(path)
+    if not unique_items:
+        hits = hits.groupBy(query_id, item_id).agg(F.min("score").alias("score"))
     ranked = top_per_group(hits, [query_id], [F.col("score"), F.col(item_id)], k)
     return ranked.select(query_id, "rank", "score", item_id)
 
 
 def attach_sources(
-    hits: DataFrame, chunks: DataFrame, item_id: str, most: int | None = None
+    hits: DataFrame, chunks: DataFrame, item_id: str, most: int | None = None,
+    unique_items: bool = True,
 ) -> DataFrame:
     """Join the hits back to content and metadata.
 
     ``most`` is a bound on the hits (queries times k). Few hits are broadcast, so that
-    the chunks are not shuffled; without a bound Spark decides.
+    the chunks are not shuffled; without a bound Spark decides. Of copies of a chunk one
+    is taken, and copies collapse in each task before the shuffle.
     """
     few = most is not None and most <= BROADCAST_ROWS
-    return chunks.join(F.broadcast(hits) if few else hits, item_id)
+    joined = chunks.join(F.broadcast(hits) if few else hits, item_id)
+    if unique_items:
+        return joined
+    values = [c for c in chunks.columns if c != item_id]
+    one = F.first(F.struct(*values)).alias("__chunk")
+    return joined.groupBy(*hits.columns).agg(one).select(*hits.columns, "__chunk.*")
 
 
 def _mmr_picks(found: Column, k: int, weight: float) -> Column:
@@ -232,18 +249,19 @@ def mmr(
     query_id: str,
     item_id: str,
     vector: str = "embedding",
+    unique_items: bool = True,
 ) -> DataFrame:
     """The fetch_k most similar items, re-ranked for diversity within one row per query."""
     fetched = nearest(
         queries, corpus, cfg.fetch_k, query_id=query_id, item_id=item_id, vector=vector,
-        metric="cosine", max_distance=cfg.max_distance,
+        metric="cosine", max_distance=cfg.max_distance, unique_items=unique_items,
     )
     vectors = corpus.select(item_id, F.col(vector).alias("vector"))
     most = queries.count() * cfg.fetch_k
     candidate = F.struct(
         "rank", (1 - F.col("score")).alias("likeness"), F.col(item_id).alias("item"), "vector"
     )
-    rows = attach_sources(fetched, vectors, item_id, most).groupBy(query_id)
+    rows = attach_sources(fetched, vectors, item_id, most, unique_items).groupBy(query_id)
     found = rows.agg(F.array_sort(F.collect_list(candidate)).alias("found"))
     picked = found.select(
         query_id, "found", F.posexplode(_mmr_picks(F.col("found"), cfg.k, cfg.lambda_mult))

@@ -116,21 +116,26 @@ def search(
     cfg: RetrievalConfig = RetrievalConfig(),
     embedder=hash_embed,
 ) -> DataFrame:
-    """Hits for questions (query_id, question): content, metadata and score by rank."""
-    store = open_collection(spark, root, name).dropDuplicates(["chunk_id"])
+    """Hits for questions (query_id, question): content, metadata and score by rank.
+
+    A chunk that was added several times is one hit.
+    """
+    store = open_collection(spark, root, name)
     queries = embedder(questions, "question")
     vectors = store.select("chunk_id", "embedding")
     if cfg.search_type == "mmr":
-        hits = mmr(queries, vectors, cfg, query_id="query_id", item_id="chunk_id")
+        hits = mmr(
+            queries, vectors, cfg, query_id="query_id", item_id="chunk_id", unique_items=False
+        )
     elif cfg.search_type == "similarity":
         hits = nearest(
             queries, vectors, cfg.k, query_id="query_id", item_id="chunk_id",
-            metric="unit_l2", max_distance=cfg.max_distance,
+            metric="unit_l2", max_distance=cfg.max_distance, unique_items=False,
         )
     else:
         raise ValueError(f"unknown search type {cfg.search_type!r}")
     found = store.select("chunk_id", "content", "metadata")
-    return attach_sources(hits, found, "chunk_id", questions.count() * cfg.k)
+    return attach_sources(hits, found, "chunk_id", questions.count() * cfg.k, False)
 
 
 def clear_collection(spark: SparkSession, root: str, name: str) -> None:

@@ -143,11 +143,14 @@ def read_csv_docs(
 
 def load_documents(spark: SparkSession, path: str, file_type: str = "txt") -> DataFrame:
     """A file, or every file of the type anywhere below a directory."""
+    place = path.split(":")[-1].rstrip("/")
+    named = {"recursiveFileLookup": True, "pathGlobFilter": place.rsplit("/", 1)[-1]}
     try:
-        files = spark.read.text(path).inputFiles()
+        # A file finds itself by its own name, a directory has (almost) nothing of that name.
+        files = spark.read.options(**named).text(path).inputFiles()
     except AnalysisException as e:
         raise ValueError(f"no file or directory at {path}") from e
-    single = len(files) == 1 and files[0].endswith(path.split(":")[-1].rstrip("/"))
+    single = any(f.endswith(place) for f in files)
     tree = {} if single else {"recursiveFileLookup": True, "pathGlobFilter": f"*.{file_type}"}
     if file_type == "csv":
         return read_csv_docs(spark, path, tree=tree)

@@ -73,6 +73,22 @@ def test_no_queries_no_hits(corpus, queries):
     assert search.nearest(queries.limit(0), corpus, 3, **NAMES).count() == 0
 
 
+@pytest.mark.parametrize("scores_at_once", [20, 4_000_000])
+def test_copies_of_an_item_count_once(corpus, queries, monkeypatch, scores_at_once):
+    monkeypatch.setattr(search, "SCORES_AT_ONCE", scores_at_once)
+    copied = corpus.withColumn("n", F.explode(F.sequence(F.lit(0), F.col("item") % 3 * 20))).drop("n")
+    options = {"unique_items": False, **NAMES}
+    for n in (1, 6):
+        spread = copied.repartition(n)
+        hits = search.nearest(queries, spread, 4, **options)
+        assert found(hits) == brute("l2", 4)
+        sourced = search.attach_sources(hits, spread.withColumn("x", F.col("item") * 2), "item", 36, False)
+        assert found(sourced) == brute("l2", 4)
+        assert all(r["x"] == 2 * r["item"] for r in sourced.collect())
+    cfg = RetrievalConfig("mmr", k=3, fetch_k=8)
+    assert found(search.mmr(queries, copied, cfg, **options)) == found(search.mmr(queries, corpus, cfg, **NAMES))
+
+
 def test_small_score_blocks_give_the_same_hits(corpus, queries, monkeypatch):
     rows = corpus.coalesce(1).toArrow().combine_chunks().to_batches()
     whole = search._best_hits(iter(rows), QUERIES, 4, "l2", None)

@@ -168,6 +168,9 @@ def test_ingest_and_search(spark, tree, tmp_path):
     assert [(h["query_id"], h["rank"], h["content"]) for h in hits[:1]] == [(1, 1, "second")]
     assert {h["content"] for h in hits if h["query_id"] == 2} == {"first", "file"}
     assert hits[0]["score"] == 0 and hits[0]["metadata"]["source"].endswith("b.txt")
+    collections.ingest(spark, str(tree), root, "docs", cfg=ChunkConfig(8, 0))
+    again = collections.search(spark, root, "docs", asked, RetrievalConfig(k=2)).orderBy("query_id", "rank")
+    assert again.collect() == hits
     near = collections.search(spark, root, "docs", asked, RetrievalConfig(k=2, max_distance=0.1))
     assert near.count() == 1
     mixed = collections.search(spark, root, "docs", asked, RetrievalConfig("mmr", k=2))
