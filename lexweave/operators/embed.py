@@ -10,6 +10,7 @@ from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -51,14 +52,15 @@ def embed(
     batch: int = 32,
     into: str = "embedding",
 ) -> DataFrame:
-    """Add vectors. ``make`` runs once per Python worker; ``name`` tells models apart."""
+    """Add vectors. ``make`` runs once per Python worker for a name and definition."""
+    key = f"{name}-{hashlib.md5(cloudpickle.dumps(make)).hexdigest()}"
     schema = T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = _loaded()
-        if name not in loaded:
-            loaded[name] = make()
-        model = loaded[name]
+        if key not in loaded:
+            loaded[key] = make()
+        model = loaded[key]
         for rows in batches:
             if rows.num_rows == 0:
                 continue

@@ -192,6 +192,9 @@ def test_embedder_gets_batches_and_all_columns_stay(spark):
     rows = embed.embed(df, "t", make, "sizes", batch=4).orderBy("i").collect()
     assert [r["embedding"] for r in rows] == [[4.0 if i < 8 else 2.0, i] for i in range(10)]
     assert rows[3]["t"] == "xxx"
+    # Another model under the same name is another model.
+    other = embed.embed(df, "t", lambda: lambda texts: np.ones((len(texts), 1)), "sizes")
+    assert {tuple(r["embedding"]) for r in other.collect()} == {(1.0,)}
 
 
 def test_prompts_from_hits(spark):
