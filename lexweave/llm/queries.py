@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact, rules
-from .common import table
+from . import exact, mixing, rules, token_file
+from .common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,3 +36,16 @@ def op8_quality_rules(spark, d):
     return rules.judge(table(spark, d, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query()
+def op1_mix_sources(spark, d):
+    mixed = mixing.mix(table(spark, d, "documents"), word_count(F.col("text")))
+    return mixed.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken")
+
+
+@query()
+def op7_token_file(spark, d):
+    import public_tokenizers
+
+    return token_file.token_file(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
