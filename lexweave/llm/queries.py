@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, rules, token_file
+from . import exact, mixing, rules, substrings, token_file
 from .common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,10 @@ def op7_token_file(spark, d):
     import public_tokenizers
 
     return token_file.token_file(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def op10_substring_dedup(spark, d):
+    return substrings.remove_repeats(table(spark, d, "documents")).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256"
+    )

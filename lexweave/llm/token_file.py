@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +23,16 @@ from ..session import scratch_path
 from .common import worker_cache
 
 BLOCK_TOKENS = 1 << 20
-# Words whose ids a worker remembers; over that it starts anew.
-CACHED_WORDS = 400_000
-TEXTS_AT_ONCE = 256
-
-_CHUNK = re.compile(r"[ \t\n\v\f\r]*[^ \t\n\v\f\r]+|[ \t\n\v\f\r]+")
+# Words whose ids a worker remembers; those that were not met again make room for others.
+CACHED_WORDS = 500_000
+TEXTS_AT_ONCE = 512
+
+# A word with the white space before it. Punctuation right after a Latin letter or a digit
+# begins a word of its own, which saves knowing each word with and without it.
+_CHUNK = re.compile(
+    r"[ \t\n\v\f\r]*[^ \t\n\v\f\r.,!#$%&*]+(?:(?<![A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff])[^ \t\n\v\f\r]+)?"
+    r"|[ \t\n\v\f\r]*[^ \t\n\v\f\r]+|[ \t\n\v\f\r]+"
+)
 # White space that joins the runs above: such texts go to the tokenizer whole.
 _ODD_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -34,7 +41,8 @@ class CachedEncoder:
     """Byte-level BPE of the tokenizers library, asked once for each word.
 
     The split pattern of these vocabularies never joins a character to white space after
-    it, so a text's ids are those of its words with the white space before them.
+    it, nor a letter or digit to punctuation other than an apostrophe, so a text's ids are
+    those of its words with the white space before them.
     """
 
     def __init__(self, path: str):
@@ -42,22 +50,34 @@ class CachedEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _ids(self, texts: Sequence[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        return [array("I", e.ids).tobytes() for e in found]
 
     def __call__(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        cut = [None if not t.isascii() and _ODD_BLANK.search(t) else _CHUNK.findall(t) for t in texts]
-        words = set().union(*(c for c in cut if c is not None))
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, new = {}, list(words)
-        self.known.update(zip(new, self._ids(new)))
-        of = self.known.__getitem__
-        whole = iter(self._ids([t for t, c in zip(texts, cut) if c is None]))
-        return [next(whole) if c is None else b"".join(map(of, c)) for c in cut]
+        odd = [i for i, t in enumerate(texts) if not t.isascii() and _ODD_BLANK.search(t)]
+        cut = [_CHUNK.findall(t) for t in texts]
+        words = list(chain.from_iterable(cut))
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.older = {}, self.known
+        known = self.known
+        got = list(map(known.get, words))
+        gaps = [k for k, ids in enumerate(got) if ids is None]
+        missing = {words[k] for k in gaps}
+        met = missing & self.older.keys()
+        known.update((w, self.older[w]) for w in met)
+        new = list(missing - met)
+        known.update(zip(new, self._ids(new)))
+        for k in gaps:
+            got[k] = known[words[k]]
+        parts = iter(got)
+        out = [b"".join(islice(parts, len(c))) for c in cut]
+        for i, ids in zip(odd, self._ids([texts[i] for i in odd])):
+            out[i] = ids
+        return out
 
 
 def encoder(path: str) -> CachedEncoder:
@@ -66,11 +86,18 @@ def encoder(path: str) -> CachedEncoder:
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """Table, control bytes and data of a block."""
-    found, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-counts, kind="stable")
-    rank = np.empty(len(found), np.uint32)
-    rank[order] = np.arange(len(found), dtype=np.uint32)
-    places = rank[inverse]
+    if len(ids) and ids.max() < 1 << 22:
+        counts = np.bincount(ids)
+        found = np.flatnonzero(counts)
+        order = found[np.argsort(-counts[found], kind="stable")]
+        rank = np.empty(len(counts), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        places = rank[ids]
+    else:
+        found, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        by_count = np.argsort(-counts, kind="stable")
+        order = found[by_count]
+        places = np.argsort(by_count).astype(np.uint32)[inverse]
     longer = [places >= 1 << (8 * k) for k in (1, 2, 3)]
     lengths = (longer[0].view(np.uint8) + longer[1].view(np.uint8) + longer[2].view(np.uint8)).astype(np.uint8)
     quads = np.zeros((len(ids) + 3) // 4 * 4, np.uint8)
@@ -83,7 +110,7 @@ def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     data[starts] = places & 255
     for k, more in enumerate(longer, 1):
         data[starts[more] + k] = places[more] >> (8 * k) & 255
-    return found[order].astype("<u4").tobytes(), control.tobytes(), data.tobytes()
+    return order.astype("<u4").tobytes(), control.tobytes(), data.tobytes()
 
 
 # The four lengths that each control byte stands for.

@@ -20,8 +20,8 @@ def plain():
 CACHED = CachedEncoder(PATH)
 
 
-@settings(max_examples=400, deadline=None)
-@given(st.lists(st.text("aB1's\xe9.,!\n\t \r\v\f\x1c\x85\xa0\u2003\u3000\u65e5<|>e", max_size=30), max_size=8))
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.text("aB1's\xe9.,!#)_$\n\t \r\v\f\x1c\x85\xa0\u2003\u3000\u65e5<|>e", max_size=30), max_size=8))
 def test_words_encode_like_whole_texts(texts):
     plain = Tokenizer.from_file(PATH) if not hasattr(CACHED, "_plain") else CACHED._plain
     CACHED._plain = plain
