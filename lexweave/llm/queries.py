@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, rules, substrings, token_file
-from .common import table, word_count
+from . import exact, jaccard, language, mixing, quality, rules, substrings, token_file
+from .common import held_out, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,3 +56,26 @@ def op10_substring_dedup(spark, d):
     return substrings.remove_repeats(table(spark, d, "documents")).select(
         "doc_id", "n_words", "n_removed", "kept_sha256"
     )
+
+
+@query()
+def op2_jaccard_join(spark, d):
+    return jaccard.similar_documents(table(spark, d, "documents"))
+
+
+@query()
+def op3_quality_classifier(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    net = quality.learn(docs, labels.where(~held_out(F.col("doc_id"))))
+    return quality.score(docs, net).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@query()
+def op9_language_id(spark, d):
+    docs = table(spark, d, "documents")
+    profiles = language.learn(docs.where(~held_out(F.col("doc_id"))))
+    return language.predict(docs, profiles).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )

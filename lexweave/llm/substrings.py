@@ -26,8 +26,10 @@ from .words import WordReader, Words, constants, shared_groups, sums_by_text
 
 WINDOW = 13
 ANCHOR = 5
-# A null id counts as later than all others.
+# A null id counts as later than all others; no row may have this one.
 LAST = (1 << 63) - 1
+# Texts that share an id are told apart by so many bits beside a window's place.
+TAG = 24
 
 
 def signatures(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -103,8 +105,12 @@ def _shared(keys: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "h long, a long")
 
 
+def tag_of(signature):
+    return signature & ((1 << TAG) - 1)
+
+
 def _windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """The windows around shared anchors: hash, document, signature, place."""
+    """The windows around shared anchors: hash, document, place and tag of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = WordReader()
@@ -125,13 +131,12 @@ def _windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                     [
                         pa.array(whole[at].view(np.int64)),
                         pa.array(ids.slice(i, n).to_numpy()[text]),
-                        pa.array(sign[text]),
-                        pa.array((at - words.first[text]).astype(np.int32)),
+                        pa.array((at - words.first[text]) << TAG | tag_of(sign[text])),
                     ],
-                    names=["h", "id", "a", "place"],
+                    names=["h", "id", "place"],
                 )
 
-    return docs.mapInArrow(run, "h long, id long, a long, place int")
+    return docs.mapInArrow(run, "h long, id long, place long")
 
 
 def _sources(windows: DataFrame) -> DataFrame:
@@ -143,7 +148,7 @@ def _sources(windows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, ids, sign, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            h, ids, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             sizes = np.diff(np.append(starts, len(h)))
             heads, places = ids[starts], place[starts]
@@ -154,11 +159,11 @@ def _sources(windows: DataFrame) -> DataFrame:
             later = ids > head
             if later.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[later]) for x in (ids, sign, place, head, head_place)],
-                    names=["id", "a", "place", "source", "source_place"],
+                    [pa.array(x[later]) for x in (ids, place, head, head_place >> TAG)],
+                    names=["id", "place", "source", "source_place"],
                 )
 
-    return ordered.mapInArrow(run, "id long, a long, place int, source long, source_place int")
+    return ordered.mapInArrow(run, "id long, place long, source long, source_place long")
 
 
 def parse(places: np.ndarray, sources: np.ndarray, source_places: np.ndarray, window: int) -> np.ndarray:
@@ -169,17 +174,25 @@ def parse(places: np.ndarray, sources: np.ndarray, source_places: np.ndarray, wi
     """
     if not len(places):
         return np.empty((0, 4), np.int64)
-    places, source_places = places.astype(np.int64), source_places.astype(np.int64)
     breaks = (np.diff(places) != 1) | (np.diff(sources) != 0) | (np.diff(source_places) != 1)
     starts = np.concatenate(([0], np.flatnonzero(breaks) + 1))
     lengths = np.diff(np.append(starts, len(places))) + window - 1
     return np.stack((places[starts], lengths, sources[starts], source_places[starts]), axis=1)
 
 
+def windows_of(found: pa.StructArray, tag: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, sources and source places of one text's windows, in order and once each."""
+    place, source, source_place = (found.field(j).to_numpy() for j in range(3))
+    mine = np.flatnonzero(tag_of(place) == tag)
+    place = place[mine] >> TAG
+    place, once = np.unique(place, return_index=True)
+    return place, source[mine][once], source_place[mine][once]
+
+
 def indexed(
     df: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All rows by (id, n_words, a, b); texts with the first id of each; shared windows by (id, a).
+    """All rows by (id, n_words, a, b); texts with the first id of each; shared windows by id.
 
     Equal texts are one text, that of their smallest id. ``found`` lists its windows that
     earlier documents have.
@@ -195,8 +208,8 @@ def indexed(
         F.collect_list("h").alias("shared")
     )
     asked = docs.join(near, F.col("id") == F.col("first")).select("id", "text", "shared")
-    found = _sources(_windows(asked, window, anchor)).groupBy("id", "a").agg(
-        F.array_sort(F.collect_set(F.struct("place", "source", "source_place"))).alias("found")
+    found = _sources(_windows(asked, window, anchor)).groupBy("id").agg(
+        F.collect_list(F.struct("place", "source", "source_place")).alias("found")
     )
     return described, texts, found
 
@@ -215,18 +228,13 @@ def remove_repeats(
     hash, whole texts by 128. Other columns are ignored.
     """
     described, texts, found = indexed(df, id_column, text, window, anchor)
-    docs = df.select(
-        F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("id"),
-        F.col(id_column).isNull().alias("no_id"), F.col(text).alias("text"),
-    )
+    docs = _documents(df, id_column, text)
     first = described.join(texts, ["a", "b", "n_words"]).where("first < id AND n_words > 0")
     # What is known of a row: the document it copies whole, or the windows it shares.
-    facts = (
-        first.select("id", "a", "first", F.lit(None).cast(found.schema["found"].dataType).alias("found")).distinct()
-        .unionByName(found.select("id", "a", F.lit(None).cast("long").alias("first"), "found"))
-        .groupBy("id").agg(F.collect_list(F.struct("a", "first", "found")).alias("facts"))
-    )
-    joined = docs.join(facts, "id", "left").select("id", "no_id", "text", "facts")
+    copies = first.groupBy("id").agg(F.collect_set(F.struct("a", "first")).alias("copies"))
+    facts = copies.join(found, "id", "full")
+    # The texts by id are the same shuffle as for the windows, so they move once.
+    joined = docs.join(facts, "id", "left").select("id", "text", "copies", "found")
     schema = (
         f"{id_column} long, n_words long, n_removed long, kept_text string, kept_sha256 string, "
         "factors array<array<long>>"
@@ -235,23 +243,20 @@ def remove_repeats(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = WordReader()
         for batch in batches:
-            ids = [None if gone else i for i, gone in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            facts = batch.column(3)
+            ids = [i if i != LAST else None for i in batch.column(0).to_pylist()]
+            copies, found = batch.column(2), batch.column(3)
             out = []
-            for k, (name, body) in enumerate(zip(ids, batch.column(2).cast(pa.binary()).to_pylist())):
+            for k, (name, body) in enumerate(zip(ids, batch.column(1).cast(pa.binary()).to_pylist())):
                 words = (body or b"").split()
                 cut = np.empty((0, 4), np.int64)
-                if facts[k].is_valid and len(words) >= window:
+                if (copies[k].is_valid or found[k].is_valid) and len(words) >= window:
                     raw = np.frombuffer(body, np.uint8)
                     mine = int(signatures(read(raw, np.array([0, len(raw)])))[0].view(np.int64)[0])
-                    for fact in facts[k].values:
-                        if fact["a"].as_py() != mine:
-                            continue
-                        if fact["first"].is_valid:
-                            cut = np.array([[0, len(words), fact["first"].as_py(), 0]])
-                        elif not len(cut):
-                            found = fact["found"].values
-                            cut = parse(*(found.field(j).to_numpy() for j in range(3)), window)
+                    whole = [c["first"] for c in copies[k].as_py() or () if c["a"] == mine]
+                    if whole:
+                        cut = np.array([[0, len(words), min(whole), 0]])
+                    elif found[k].is_valid:
+                        cut = parse(*windows_of(found[k].values, tag_of(mine)), window)
                 keep = np.ones(len(words), bool)
                 for start, n, *_ in cut.tolist():
                     keep[start : start + n] = False

@@ -7,6 +7,7 @@ bytes. Control bytes, kept apart from the data, hold four lengths of two bits ea
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -46,6 +47,8 @@ class CachedEncoder:
     """
 
     def __init__(self, path: str):
+        # Tasks already use all cores.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -131,7 +134,7 @@ def unpack(table: bytes, control: bytes, data: bytes, n: int) -> np.ndarray:
 
 BLOCKS = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()),
-    T.StructField("n_tokens", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())),
+    T.StructField("before", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())),
     T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("id_table", T.BinaryType()),
     T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType()),
 ])
@@ -143,7 +146,8 @@ def write_tokens(
     """Write the ids of all texts, each with ``end_id`` after it, in ascending id order.
 
     The blocks are rows of Parquet files, written by Spark's committer, so a lost executor
-    leaves none half done. ``part`` numbers ranges of ids and ``block`` the blocks in one.
+    leaves none half done. ``part`` numbers ranges of ids, ``block`` the blocks in one, and
+    ``before`` counts the tokens of its earlier blocks.
     Null texts count as empty; null ids come first; rows that repeat an id are ordered by
     text and all are written. An empty table gives a table without rows.
     """
@@ -158,12 +162,12 @@ def write_tokens(
         held: list[bytes] = []
         names: list[int | None] = []
         sizes: list[int] = []
-        block = 0
+        block = before = 0
 
         def out():
             table, control, data = pack(np.frombuffer(b"".join(held), "<u4"))
             row = {
-                "part": part, "block": block, "n_tokens": sum(sizes), "doc_ids": list(names), "counts": list(sizes),
+                "part": part, "block": block, "before": before, "n_tokens": sum(sizes), "doc_ids": list(names), "counts": list(sizes),
                 "id_table": table, "control": control, "data": data,
             }
             for kept in (held, names, sizes):
@@ -171,7 +175,7 @@ def write_tokens(
             return pa.RecordBatch.from_pylist([row], schema)
 
         schema = pa.schema([
-            ("part", pa.int32()), ("block", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
+            ("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
             ("counts", pa.list_(pa.int64())), ("id_table", pa.binary()), ("control", pa.binary()), ("data", pa.binary()),
         ])
         waiting = 0
@@ -186,7 +190,7 @@ def write_tokens(
                     waiting += sizes[-1]
                     if waiting >= BLOCK_TOKENS:
                         yield out()
-                        block, waiting = block + 1, 0
+                        block, before, waiting = block + 1, before + waiting, 0
         if names:
             yield out()
 
@@ -203,12 +207,6 @@ def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
         starts.append((part, at))
         at += n
     first = spark.createDataFrame(starts, "part int, part_start long")
-    sizes = blocks.select("part", "block", "n_tokens").join(first, "part")
-    # Blocks of one range: as many as one task wrote.
-    at_block = sizes.selectExpr(
-        "part", "block",
-        "part_start + sum(n_tokens) OVER (PARTITION BY part ORDER BY block) - n_tokens AS block_start",
-    )
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +217,7 @@ def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
                 parts = [ids[e - n : e] for e, n in zip(ends, row["counts"])]
                 columns = {
                     "doc_id": pa.array(row["doc_ids"], pa.int64()),
-                    "start": pa.array(row["block_start"] + ends - row["counts"], pa.int64()),
+                    "start": pa.array(row["part_start"] + row["before"] + ends - row["counts"], pa.int64()),
                     "n_tokens": pa.array(row["counts"], pa.int64()),
                     "ids_crc32": pa.array([zlib.crc32(p.astype("<u4").tobytes()) for p in parts], pa.int64()),
                 }
@@ -227,7 +225,7 @@ def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
                     columns["ids"] = pa.array([p.tolist() for p in parts], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return blocks.join(at_block, ["part", "block"]).mapInArrow(run, schema)
+    return blocks.join(first, "part").mapInArrow(run, schema)
 
 
 def token_file(df: DataFrame, tokenizer: str, end_id: int = 0, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -24,3 +24,40 @@ def repeats(rows, window=13):
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
         out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return out
+
+
+def shingles(text, length=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if 0 < len(words) < length:
+        return {tuple(words)}
+    return {tuple(words[i : i + length]) for i in range(len(words) - length + 1)}
+
+
+def similar(rows, length=5, percent=80):
+    """(id, n_shingles, component_id) for (id, text) rows, by all pairs that share a shingle."""
+    sets = [(i, shingles(t, length)) for i, t in rows]
+    at = defaultdict(list)
+    for k, (_, s) in enumerate(sets):
+        for x in s:
+            at[x].append(k)
+    root = list(range(len(sets)))
+
+    def find(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for k, (_, s) in enumerate(sets):
+        common = defaultdict(int)
+        for x in s:
+            for j in at[x]:
+                if j < k:
+                    common[j] += 1
+        for j, n in common.items():
+            if 100 * n >= percent * (len(s) + len(sets[j][1]) - n):
+                root[find(k)] = find(j)
+    least = {}
+    for k, (i, _) in enumerate(sets):
+        least[find(k)] = min(i, least.get(find(k), i))
+    return [(i, len(s), least[find(k)]) for k, (i, s) in enumerate(sets)]
