@@ -8,10 +8,11 @@ the choice with the fewest signatures for sets this large.) There are so many mo
 than ``k`` that agreeing on empty parts alone is rare; a set of which that can hold says so in one
 more signature, which keeps the join complete.
 
-Equal sets are one set from the start. Candidates are first compared with one member of
-their group each; sets that are linked by then need no further comparison, so a group of
-near copies never becomes all its pairs. Sets of one group that are not linked yet are then
-compared with all others, but for pairs that a bound on the difference excludes.
+Equal sets are one set from the start. Each set is first compared with a few members of its
+groups, and again with others in components it is not linked to. Sets that are linked
+need no further comparison, so a group of near copies does not become all its pairs. Sets of
+one group that are still not linked are then compared with all others of it, but for
+pairs that a bound on the difference excludes.
 """
 
 from __future__ import annotations
@@ -33,9 +34,12 @@ from .words import WordReader, Words, constants, shared_groups, sums_by_text
 SHINGLE = 5
 SIMILARITY = 80  # percent
 WIDTH = 1.6  # the largest size of a band against its smallest
-BUCKETS = 64  # of the counts that bound the difference of two sets
+BUCKETS = 256  # of the counts that bound the difference of two sets
 MEMBERS_AT_ONCE = 2048
 PAIRS_AT_ONCE = 1000
+# Before groups are compared completely: how often sets are tried, and against how many others.
+ROUNDS = 5
+TRIED = 4
 
 
 @dataclass
@@ -56,9 +60,9 @@ class Sets:
         return tuple(mix64(sums_by_text(mix64(self.shingles ^ x), self.first) + n) for x in c)
 
     def buckets(self) -> np.ndarray:
-        """How many shingles of each set fall into each bucket, at most 65,535."""
-        where = np.repeat(np.arange(len(self.sizes)), self.sizes) * BUCKETS + (self.shingles >> np.uint64(58)).astype(np.int64)
-        return np.minimum(np.bincount(where, minlength=len(self.sizes) * BUCKETS), 65_535).astype("<u2").reshape(-1, BUCKETS)
+        """How many shingles of each set fall into each bucket, at most 255."""
+        where = np.repeat(np.arange(len(self.sizes)), self.sizes) * BUCKETS + (self.shingles >> np.uint64(56)).astype(np.int64)
+        return np.minimum(np.bincount(where, minlength=len(self.sizes) * BUCKETS), 255).astype(np.uint8).reshape(-1, BUCKETS)
 
 
 def shingle_sets(words: Words, length: int = SHINGLE) -> Sets:
@@ -182,14 +186,14 @@ def _signed(docs: DataFrame, length: int, similarity: int) -> DataFrame:
 
 
 def _grouped(keys: DataFrame) -> DataFrame:
-    """Sets that share a signature, with the first set of each group; one shuffle."""
+    """Sets that share a signature, each with another set of its group; one shuffle."""
     ordered = keys.repartition("h").sortWithinPartitions("h", "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, member, head in shared_groups(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(member), pa.array(head)], names=["h", "a", "head"])
+        for key, member, partner in shared_groups(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(member), pa.array(partner)], names=["h", "a", "partner"])
 
-    return ordered.mapInArrow(run, "h long, a long, head long")
+    return ordered.mapInArrow(run, "h long, a long, partner long")
 
 
 def far_apart(n1, counts1, n2, counts2, similarity: int) -> np.ndarray:
@@ -200,15 +204,15 @@ def far_apart(n1, counts1, n2, counts2, similarity: int) -> np.ndarray:
     small, large = np.minimum(n1, n2), np.maximum(n1, n2)
     out = 100 * small < similarity * large
     near = np.flatnonzero(~out)
-    for i in range(0, len(near), 1 << 16):
-        some = near[i : i + (1 << 16)]
-        apart = np.abs(counts1[some].astype(np.int32) - counts2[some]).sum(axis=1)
+    for i in range(0, len(near), 1 << 14):
+        some = near[i : i + (1 << 14)]
+        apart = np.abs(counts1[some].astype(np.int16) - counts2[some]).sum(axis=1, dtype=np.int64)
         out[some] = apart > (n1[some] + n2[some]) * (100 - similarity) // (100 + similarity)
     return out
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, BUCKETS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BUCKETS)
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -334,6 +338,14 @@ def _open_pairs(rows: DataFrame, similarity: int) -> DataFrame:
     return ordered.mapInArrow(run, "x long, y long").distinct()
 
 
+def _unlinked(met: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (id, other) that no links connect yet."""
+    own = label.select("id", F.col("component").alias("p"))
+    theirs = label.select(F.col("id").alias("other"), F.col("component").alias("q"))
+    both = met.join(own, "id", "left").join(theirs, "other", "left")
+    return both.where(F.coalesce("p", "id") != F.coalesce("q", "other")).select("id", "other", "times")
+
+
 def similar_documents(
     df: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = SHINGLE, similarity: int = SIMILARITY
 ) -> DataFrame:
@@ -358,30 +370,44 @@ def similar_documents(
     described = stored(_described(docs, length), "jaccard-sets")
     classes = described.where("n > 0").groupBy("a", "b", "n").agg(F.min("id").alias("class_id"), F.first("counts").alias("counts"))
     names = classes.select("a", "class_id")
-    groups = _grouped(_signed(docs, length, similarity)).join(names, "a").select("h", "class_id", "head")
-    groups = stored(groups.join(names.select(F.col("a").alias("head"), F.col("class_id").alias("star")), "head").select(
-        "h", F.col("class_id").alias("id"), "star"
+    groups = _grouped(_signed(docs, length, similarity)).join(names, "a").select("h", "class_id", "partner")
+    groups = stored(groups.join(names.select(F.col("a").alias("partner"), F.col("class_id").alias("other")), "partner").select(
+        "h", F.col("class_id").alias("id"), "other"
     ), "jaccard-groups")
     live = groups.select("id").distinct()
     sets = stored(classes.join(live, F.col("class_id") == F.col("id"), "left_semi").select("class_id", "n", "counts"), "jaccard-bounds")
     texts = stored(docs.join(live, "id", "left_semi"), "jaccard-texts")
-    # Each set against the one it shares most signatures with among the firsts of its groups.
-    shared = groups.where("id <> star").groupBy("id", "star").agg(F.count(F.lit(1)).alias("times"))
-    best = shared.groupBy("id").agg(F.max_by("star", F.struct("times", -F.col("star"))).alias("star"))
-    first_pairs = best.select(F.greatest("id", "star").alias("x"), F.least("id", "star").alias("y")).distinct()
-    first_pairs = stored(_plausible(first_pairs, sets, similarity), "jaccard-pairs")
-    first_links = stored(_verified(texts, first_pairs, length, similarity), "jaccard-links")
-    # Groups of sets that are not all linked yet.
-    members = groups.select("h", "id").join(components(first_links), "id", "left").select(
+    # Each set against a few others, and again while that links sets that were not linked yet.
+    met = stored(
+        groups.where("id <> other").groupBy("id", "other").agg(F.count(F.lit(1)).alias("times")), "jaccard-met"
+    )
+    tested = links = label = None
+    for _ in range(ROUNDS):
+        some = met
+        if label is not None:
+            some = _unlinked(met, label).join(tested.select(F.col("x").alias("id"), F.col("y").alias("other")), ["id", "other"], "left_anti")
+            some = some.join(tested.select(F.col("y").alias("id"), F.col("x").alias("other")), ["id", "other"], "left_anti")
+        order = F.sort_array(F.collect_list(F.struct("times", F.xxhash64("id", "other").alias("r"), "other")), False)
+        chosen = some.groupBy("id").agg(F.slice(order, 1, TRIED).alias("others")).select("id", F.explode("others.other").alias("other"))
+        pairs = stored(chosen.select(F.greatest("id", "other").alias("x"), F.least("id", "other").alias("y")).distinct(), "jaccard-pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        near = stored(_plausible(pairs, sets, similarity), "jaccard-near")
+        new = stored(_verified(texts, near, length, similarity), "jaccard-links")
+        links = new if links is None else links.unionByName(new)
+        label = components(links)
+        if new.isEmpty():
+            break
+    # Groups of sets that are not all linked yet, completely.
+    members = groups.select("h", "id").distinct().join(label, "id", "left").select(
         "h", "id", F.coalesce("component", "id").alias("component")
     )
     open_ = members.groupBy("h").agg(
         F.min("component").alias("p"), F.max("component").alias("q"), F.count(F.lit(1)).alias("m")
     ).where("p <> q").select("h", "m")
     waiting = members.join(open_, "h").join(sets.withColumnRenamed("class_id", "id"), "id")
-    more = _open_pairs(waiting, similarity).join(first_pairs, ["x", "y"], "left_anti")
-    second_links = _verified(texts, stored(more, "jaccard-more"), length, similarity)
-    links = stored(first_links.unionByName(second_links).distinct(), "jaccard-all-links")
+    more = _open_pairs(waiting, similarity).join(tested, ["x", "y"], "left_anti")
+    last = _verified(texts, stored(more, "jaccard-more"), length, similarity)
+    links = stored(links.unionByName(last).distinct(), "jaccard-all-links")
     final = components(links)
     degree = (
         links.select(F.col("x").alias("class_id")).unionByName(links.select(F.col("y").alias("class_id")))

@@ -112,13 +112,14 @@ def sums_by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def shared_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(key, member, first member) of keys with two members or more.
+    """(key, member, partner) of keys with two members or more.
 
-    The batches come sorted by key and member. Members are given once for each key. A key
-    of any number of rows passes through: only its first member is remembered.
+    The batches come sorted by key and member. Members are given once for each key, each with
+    another member of the key: the next one in an order that a hash makes, round about.
+    A key of any number of rows passes through; only one member is remembered for it.
     """
-    last_key = last_member = head = None
-    shared = False
+    last_key = last_member = kept = None
+    alone = False
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -129,17 +130,21 @@ def shared_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarra
         key, member = key[new], member[new]
         if not len(key):
             continue
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        last_member = member[-1]
+        goes_on = last_key is not None and key[0] == last_key
+        if goes_on:  # a member of the part before takes part in this one
+            key, member = np.concatenate(([last_key], key)), np.concatenate(([kept], member))
+        group = np.cumsum(np.concatenate(([True], key[1:] != key[:-1])))
+        order = np.lexsort((mix64(member.view(np.uint64) ^ mix64(key.view(np.uint64))), group))
+        starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
         sizes = np.diff(np.append(starts, len(key)))
-        firsts, live = member[starts], sizes > 1
-        late = None
-        if last_key is not None and key[0] == last_key:
-            firsts[0], live[0] = head, True
-            if not shared:
-                late = (np.array([last_key]), np.array([head]), np.array([head]))
-        first_of, keep = np.repeat(firsts, sizes), np.repeat(live, sizes)
-        last_key, last_member, head, shared = key[-1], member[-1], firsts[-1], bool(live[-1])
-        if late is not None:
-            yield late
+        after = np.arange(1, len(key) + 1)
+        after[starts + sizes - 1] = starts
+        partner = np.empty(len(key), member.dtype)
+        partner[order] = member[order[after]]
+        keep = np.repeat(sizes > 1, sizes)
+        if goes_on and not alone:
+            keep[0] = False  # given already
+        last_key, kept, alone = key[-1], member[-1], sizes[-1] == 1
         if keep.any():
-            yield key[keep], member[keep], first_of[keep]
+            yield key[keep], member[keep], partner[keep]
