@@ -38,8 +38,8 @@ BUCKETS = 256  # of the counts that bound the difference of two sets
 MEMBERS_AT_ONCE = 2048
 PAIRS_AT_ONCE = 1000
 # Before groups are compared completely: how often sets are tried, and against how many others.
-ROUNDS = 5
-TRIED = 4
+ROUNDS = 2
+TRIED = 6
 
 
 @dataclass

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import mix64, unused, worker_cache
 
@@ -274,7 +275,7 @@ def encode(
     """
     body, = unused(df.select(*keep), "body")
     rows = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(body))
-    schema = rows.drop(body).schema.add("ids", "array<int>").add("n_ids", "long").add("ids_crc32", "long").add("round_trip", "boolean")
+    schema = rows.drop(body).schema.add("ids", T.ArrayType(T.IntegerType())).add("n_ids", "long").add("ids_crc32", "long").add("round_trip", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(model, kind)

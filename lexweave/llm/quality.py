@@ -161,7 +161,8 @@ def learn(
     rows = df.select(F.col(id_column).alias("id"), F.col(text).alias("text")).where(
         F.col("text").isNotNull() & (F.length("text") <= cfg.train_chars)
     )
-    sample = rows.join(chosen.select("id", "y").distinct(), "id").select("id", "y", "text").collect()
+    # At most 2 * per_class rows, so they go to the texts.
+    sample = rows.join(F.broadcast(chosen.select("id", "y").distinct()), "id").select("id", "y", "text").collect()
     sample = sorted(sample, key=lambda r: (r["id"], r["y"], r["text"]))[: 2 * cfg.per_class]
     marks = np.array([r["y"] for r in sample], np.float32)
     if len(set(marks.tolist())) < 2:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, jaccard, language, mixing, quality, rules, substrings, token_file
+from . import exact, html, jaccard, language, mixing, pieces, quality, rules, substrings, token_file
 from .common import held_out, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,15 @@ def op9_language_id(spark, d):
     return language.predict(docs, profiles).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
     )
+
+
+@query()
+def op5_html_extraction(spark, d):
+    return html.extract(table(spark, d, "pages"))
+
+
+@query()
+def op6_sentencepiece(spark, d):
+    import public_tokenizers
+
+    return pieces.encode(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
