@@ -100,3 +100,12 @@ def unused(df: DataFrame, *names: str) -> list[str]:
         out.append(name)
         taken.add(name.lower())
     return out
+
+
+# Rows of ids that are small enough for every executor.
+BROADCAST_ROWS = 500_000
+
+
+def if_small(ids: DataFrame, rows: int) -> DataFrame:
+    """Ids to be broadcast if their table, which has ``rows`` rows, is small; else they are joined as usual."""
+    return F.broadcast(ids) if rows <= BROADCAST_ROWS else ids

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import mix64
+from .common import if_small, mix64
 from .graph import components
 from .substrings import LAST
 from .words import WordReader, Words, constants, shared_groups, sums_by_text
@@ -38,7 +38,7 @@ BUCKETS = 256  # of the counts that bound the difference of two sets
 MEMBERS_AT_ONCE = 2048
 PAIRS_AT_ONCE = 1000
 # Before groups are compared completely: how often sets are tried, and against how many others.
-ROUNDS = 2
+ROUNDS = 3
 TRIED = 6
 
 
@@ -247,7 +247,8 @@ def _verified(texts: DataFrame, pairs: DataFrame, length: int, similarity: int)
             F.col("y").alias("id"), F.col("y").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
         ))
     )
-    sent = texts.join(roles, "id").select("hub", "salt", (F.col("id") != F.col("hub")).alias("other"), "id", "text")
+    # Each pair has two roles at most; ``pairs`` is a stored table, so it is counted cheaply.
+    sent = texts.join(if_small(roles, 2 * pairs.count()), "id").select("hub", "salt", (F.col("id") != F.col("hub")).alias("other"), "id", "text")
     ordered = sent.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "other", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +377,8 @@ def similar_documents(
     ), "jaccard-groups")
     live = groups.select("id").distinct()
     sets = stored(classes.join(live, F.col("class_id") == F.col("id"), "left_semi").select("class_id", "n", "counts"), "jaccard-bounds")
-    texts = stored(docs.join(live, "id", "left_semi"), "jaccard-texts")
+    wanted = if_small(sets.select(F.col("class_id").alias("id")), sets.count())
+    texts = stored(docs.join(wanted, "id", "left_semi"), "jaccard-texts")
     # Each set against a few others, and again while that links sets that were not linked yet.
     met = stored(
         groups.where("id <> other").groupBy("id", "other").agg(F.count(F.lit(1)).alias("times")), "jaccard-met"

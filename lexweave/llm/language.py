@@ -11,12 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unused, worker_cache
+from .common import if_small, unused, worker_cache
 
 # Stands for a run of characters that are no letters; it is itself no letter.
 BLANK = 1
 UNDECIDED = "und"
-BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -113,9 +112,8 @@ def learn(df: DataFrame, lang: str = "lang", id_column: str = "doc_id", text: st
         .where(F.col("n") <= min(cfg.per_language, 1000)).select("lang", "id").distinct()
     )
 
-    # At most per_language rows for each language; over a million the texts go to them instead.
-    if chosen.count() <= BROADCAST_ROWS:
-        chosen = F.broadcast(chosen)
+    # At most per_language rows for each language; over half a million the texts go to them instead.
+    chosen = if_small(chosen, chosen.count())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters = worker_cache("letters", _letters)
