@@ -37,6 +37,7 @@ WIDTH = 1.6  # the largest size of a band against its smallest
 BUCKETS = 256  # of the counts that bound the difference of two sets
 MEMBERS_AT_ONCE = 2048
 PAIRS_AT_ONCE = 1000
+PAIRS_HELD = 1_000_000
 # Before groups are compared completely: how often sets are tried, and against how many others.
 ROUNDS = 3
 TRIED = 6
@@ -274,7 +275,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, length: int, similarity: int)
     return ordered.select("hub", "other", "id", "text").mapInArrow(run, "x long, y long")
 
 
-def pairs_in_groups(key, block, other, ids, label, n, counts, similarity: int) -> tuple[np.ndarray, np.ndarray]:
+def pairs_in_groups(key, block, other, ids, label, n, counts, similarity: int) -> np.ndarray:
     """(larger id, smaller id) of pairs of rows with one key that aren't linked and no bound excludes.
 
     The rows come sorted by key. Where a group's two blocks differ, only rows of different
@@ -296,8 +297,7 @@ def pairs_in_groups(key, block, other, ids, label, n, counts, similarity: int) -
         xs.append(np.maximum(ids[p], ids[q])[near])
         ys.append(np.minimum(ids[p], ids[q])[near])
         step += 1
-    pairs = np.unique(np.stack((np.concatenate(xs), np.concatenate(ys))), axis=1)
-    return pairs[0], pairs[1]
+    return np.unique(np.stack((np.concatenate(xs), np.concatenate(ys))), axis=1)
 
 
 def _open_pairs(rows: DataFrame, similarity: int) -> DataFrame:
@@ -316,7 +316,8 @@ def _open_pairs(rows: DataFrame, similarity: int) -> DataFrame:
     ).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        # Sets share many groups, so a task's pairs are made distinct before they move.
+        held, found, waiting = None, [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -325,15 +326,23 @@ def _open_pairs(rows: DataFrame, similarity: int) -> DataFrame:
             h, i, j = (held.column(k).to_numpy() for k in range(3))
             cut = int(np.flatnonzero((h == h[-1]) & (i == i[-1]) & (j == j[-1]))[0])
             if cut:
-                yield out(held.slice(0, cut))
-                held = held.slice(cut)
+                found.append(pairs(held.slice(0, cut)))
+                held, waiting = held.slice(cut), waiting + found[-1].shape[1]
+            if waiting > PAIRS_HELD:
+                yield distinct(found)
+                found, waiting = [], 0
         if held is not None:
-            yield out(held)
+            yield distinct([*found, pairs(held)])
 
-    def out(rows: pa.Table) -> pa.RecordBatch:
+    def pairs(rows: pa.Table) -> np.ndarray:
         h, i, j, block, with_, ids, label, n = (rows.column(k).to_numpy() for k in range(8))
         new = np.concatenate(([True], (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-        x, y = pairs_in_groups(np.cumsum(new), block, np.where(i == j, block, -1), ids, label, n, _matrix(rows.column(8)), similarity)
+        return pairs_in_groups(
+            np.cumsum(new), block, np.where(i == j, block, -1), ids, label, n, _matrix(rows.column(8)), similarity
+        )
+
+    def distinct(found: list[np.ndarray]) -> pa.RecordBatch:
+        x, y = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
 
     return ordered.mapInArrow(run, "x long, y long").distinct()
