@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import mix64, unused, worker_cache
 
 SPACE = "▁"
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 TEXTS_AT_ONCE = 512
 # Longer words go one by one through a queue, since a matrix row is searched for each merge.
 LONG_WORD = 64

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_bytes, text_slices, unused
+from .common import text_slices
 
 PAD = 256
 # Blocks of a text that one pass of the network handles; longer texts go through in parts.
@@ -178,11 +178,11 @@ def score(df: DataFrame, net: ByteNet | None, text: str = "text", keep: tuple[st
     Null counts as empty; an empty text has the score of a text without bytes. Without a
     network every score is 0.5. Texts longer than a pass are read in overlapping parts.
     """
-    body, = unused(df.select(*keep), "body")
-    rows = df.select(*keep, F.col(text).alias(body))
     if net is None:
-        return rows.drop(body).withColumn("score", F.lit(0.5))
-    schema = rows.drop(body).schema.add("score", "double")
+        return df.select(*keep, F.lit(0.5).alias("score"))
+    schema = df.select(*keep).schema.add("score", "double")
+    # A text that is kept anyway goes to Python once.
+    rows, at = (df.select(*keep), keep.index(text)) if text in keep else (df.select(*keep, text), len(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
