@@ -6,6 +6,8 @@ in its checkpoint folder, so a restarted job goes on where it ended.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -40,11 +42,13 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Chunk, embed and add arriving documents (content, metadata).
 
-    The micro-batch number is the ingest id, so a repeated micro-batch replaces itself.
+    The checkpoint and the micro-batch number make the ingest id, so a repeated
+    micro-batch replaces itself and no other stream's rows.
     """
+    job = _job(checkpoint)
 
     def write(batch: DataFrame, number: int) -> None:
-        add_chunks(document_chunks(batch, cfg), root, name, mode, f"batch-{number}")
+        add_chunks(document_chunks(batch, cfg), root, name, mode, f"batch-{job}-{number}")
 
     return _start(documents, checkpoint, write)
 
@@ -77,9 +81,16 @@ def stream_prep(
     )
 
 
-def _write_update(out: str):
+def _job(checkpoint: str) -> str:
+    """What tells the streams with one target apart: each has a checkpoint of its own."""
+    return hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+
+
+def _write_update(out: str, checkpoint: str):
+    job = _job(checkpoint)
+
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/update={number}")
+        batch.write.mode("overwrite").parquet(f"{out}/job=j{job}/update={number}")
 
     return write
 
@@ -87,8 +98,8 @@ def _write_update(out: str):
 def current_rows(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     """The newest version of each row an updating job has written."""
     updates = spark.read.parquet(out)
-    values = [c for c in updates.columns if c not in (*keys, "update")]
-    newest = F.max_by(F.struct(*values), "update").alias("v")
+    values = [c for c in updates.columns if c not in (*keys, "job", "update")]
+    newest = F.max_by(F.struct(*values), F.struct("update", "job")).alias("v")
     return updates.groupBy(*keys).agg(newest).select(*keys, "v.*")
 
 
@@ -110,7 +121,7 @@ def stream_history(
             "listed", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))
         ).alias("messages"),
     )
-    return _start(history, checkpoint, _write_update(out), "update")
+    return _start(history, checkpoint, _write_update(out, checkpoint), "update")
 
 
 def metric_windows(log: DataFrame, window: str = "1 hour") -> DataFrame:
@@ -127,5 +138,5 @@ def stream_metrics(
     timed = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     return _start(
         metric_windows(timed, window),
-        checkpoint, _write_update(out), "update",
+        checkpoint, _write_update(out, checkpoint), "update",
     )

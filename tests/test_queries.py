@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as driver
 from check_queries import check, connect
+from lexweave.plans.all import QUERIES
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -17,7 +18,7 @@ def con():
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     assert check(spark, con, SF, name) is None
 
@@ -43,9 +44,9 @@ ARROW = {
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan(spark, plan, name):
-    shown = plan(driver.queries()[name](spark, SF))
+    shown = plan(QUERIES[name](spark, SF))
     python = any(word in shown for word in ("ArrowEvalPython", "MapInArrow", "BatchEvalPython", "InPandas"))
     assert python == (name in ARROW)
     assert "BatchEvalPython" not in shown

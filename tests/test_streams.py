@@ -85,3 +85,15 @@ def test_metric_windows_equal_the_batch_result(spark, feed, tmp_path):
     got = jobs.current_rows(spark, out, keys)
     want = jobs.metric_windows(spark.createDataFrame(rows, schema), "1 hour")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+
+
+def test_streams_with_one_target_keep_both_inputs(spark, tmp_path):
+    """A second checkpoint starts at batch 0 again and must not replace the first one's rows."""
+    out = str(tmp_path / "out")
+    for k in (1, 2):
+        source = str(tmp_path / f"in{k}")
+        spark.createDataFrame([(k, 0, "user", f"hello {k}")], "conv_id long, turn long, role string, text string") \
+            .write.parquet(source)
+        rows = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(source)
+        jobs.stream_history(rows, out, str(tmp_path / f"check{k}")).awaitTermination()
+    assert sorted(r["conv_id"] for r in jobs.current_rows(spark, out, ["conv_id", "part"]).collect()) == [1, 2]
