@@ -187,8 +187,8 @@ def score(df: DataFrame, net: ByteNet | None, text: str = "text", keep: tuple[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(net.scores(batch.columns[-1]), pa.float64())],
-                names=[*batch.schema.names[:-1], "score"],
+                [*batch.columns[: len(keep)], pa.array(net.scores(batch.column(at)), pa.float64())],
+                names=[*keep, "score"],
             )
 
     return rows.mapInArrow(run, schema)
