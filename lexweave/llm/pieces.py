@@ -25,24 +25,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, unused, worker_cache
+from .common import mix64, slices, text_bytes, unused, worker_cache
 
 SPACE = "▁"
 CACHED_WORDS = 200_000
-TEXTS_AT_ONCE = 512
+# Bytes of the texts whose new words are encoded together; a longer text goes alone.
+BYTES_AT_ONCE = 4_000_000
 # Longer words go one by one through a queue, since a matrix row is searched for each merge.
 LONG_WORD = 64
 NONE = -np.inf
+NOWHERE = -2
 
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _hash(points: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row of characters, from left to right."""
-    out = np.zeros(len(points), np.uint64)
-    for column in points.T:
-        out = mix64((out + column + np.uint64(1)) * _BASE)
+def _prefixes(points: np.ndarray) -> np.ndarray:
+    """Hashes of the first 0, 1, 2 ... characters of each row; two of them give that of a substring."""
+    out = np.zeros((len(points), points.shape[1] + 1), np.uint64)
+    marks = mix64(points + np.uint64(1))
+    for k in range(points.shape[1]):
+        out[:, k + 1] = out[:, k] * _BASE + marks[:, k]
     return out
 
 
@@ -77,18 +80,21 @@ class Pieces:
         lengths = np.array([len(t) for t in texts])
         for n in np.unique(lengths):
             some = np.flatnonzero(lengths == n)
-            keys[some] = _hash(_matrix([texts[k] for k in some]))
+            keys[some] = _prefixes(_matrix([texts[k] for k in some]))[:, -1]
         order = np.argsort(keys)
         self.keys = keys[order]
         self.ids = np.array(ids, np.int64)[order]
         self.scores = np.array(scores, np.float64)[order]
+        powers = np.full(max(self.longest, LONG_WORD) + 1, _BASE)
+        powers[0] = 1
+        self.powers = np.cumprod(powers)
         self.by_text = dict(zip(texts, zip(scores, ids)))
         # Worse than any sum of pieces, so that an unknown character is the last choice.
         self.worst = (min(scores, default=0.0) - 10.0)
 
-    def find(self, points: np.ndarray) -> np.ndarray:
-        """The place of each row among the keys, or -1."""
-        key = _hash(points)
+    def find(self, before: np.ndarray, upto: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        """The place among the keys, or -1, of substrings, by the prefixes before and up to them."""
+        key = upto - before * self.powers[size]
         at = np.searchsorted(self.keys, key)
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == key, at, -1)
@@ -97,10 +103,6 @@ class Pieces:
         """Ids of a character that is no piece: those of its bytes."""
         return [int(self.byte_ids[b]) for b in char.encode("utf-8", "surrogatepass")]
 
-    def ids_of(self, word: str) -> list[int]:
-        known = self.by_text.get(word)
-        return [known[1]] if known else self.fallback(word)
-
 
 def _matrix(words: Sequence[str]) -> np.ndarray:
     """Words of one length as rows of code points."""
@@ -108,10 +110,26 @@ def _matrix(words: Sequence[str]) -> np.ndarray:
     return np.frombuffer(data, "<u4").reshape(len(words), -1).astype(np.uint64)
 
 
-def viterbi(words: Sequence[str], pieces: Pieces) -> list[list[int]]:
+def _joined(words: Sequence[str], pieces: Pieces, row: np.ndarray, start: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Ids of each word as little-endian 32-bit integers.
+
+    Symbols come in order of row and start, with their place among the keys; those without one
+    are single characters and become the ids of their bytes.
+    """
+    data = pieces.ids[at].astype("<i4").tobytes()
+    cuts = (4 * np.searchsorted(row, np.arange(len(words) + 1))).tolist()
+    out = [data[i:j] for i, j in zip(cuts, cuts[1:])]
+    for k in np.unique(row[at < 0]).tolist():
+        some = slice(cuts[k] // 4, cuts[k + 1] // 4)
+        ids = ([int(pieces.ids[p])] if p >= 0 else pieces.fallback(words[k][i]) for i, p in zip(start[some].tolist(), at[some].tolist()))
+        out[k] = np.array(list(chain.from_iterable(ids)), "<i4").tobytes()
+    return out
+
+
+def viterbi(words: Sequence[str], pieces: Pieces) -> list[bytes]:
     """Ids with the best sum of scores for words of one length; ties go to the longer piece."""
-    points = _matrix(words)
-    rows, n = points.shape
+    prefix = _prefixes(_matrix(words))
+    rows, n = len(words), prefix.shape[1] - 1
     best = np.full((rows, n + 1), NONE)
     best[:, 0] = 0
     back, chosen = np.zeros((rows, n + 1), np.int64), np.full((rows, n + 1), -1, np.int64)
@@ -120,71 +138,59 @@ def viterbi(words: Sequence[str], pieces: Pieces) -> list[list[int]]:
         sums = np.empty((len(lengths), rows))
         found = np.empty((len(lengths), rows), np.int64)
         for k, size in enumerate(lengths):
-            at = found[k] = pieces.find(points[:, end - size : end])
+            at = found[k] = pieces.find(prefix[:, end - size], prefix[:, end], size)
             score = np.where(at >= 0, pieces.scores[at], pieces.worst if size == 1 else NONE)
             sums[k] = best[:, end - size] + score
         pick = len(lengths) - 1 - sums[::-1].argmax(axis=0)
         row = np.arange(rows)
         best[:, end], back[:, end], chosen[:, end] = sums[pick, row], pick + 1, found[pick, row]
-    out = []
-    for word, steps, picks in zip(words, back.tolist(), chosen.tolist()):
-        ids, end = [], n
-        while end:
-            at = picks[end]
-            ids.append([int(pieces.ids[at])] if at >= 0 else pieces.fallback(word[end - 1]))
-            end -= steps[end]
-        out.append(list(chain.from_iterable(reversed(ids))))
-    return out
+    begins = np.full((rows, n), NOWHERE)
+    row, end = np.arange(rows), np.full(rows, n)
+    while len(row):
+        start = end - back[row, end]
+        begins[row, start] = chosen[row, end]
+        row, end = row[start > 0], start[start > 0]
+    row, start = np.nonzero(begins > NOWHERE)
+    return _joined(words, pieces, row, start, begins[row, start])
 
 
-def merge(words: Sequence[str], pieces: Pieces) -> list[list[int]]:
+def merge(words: Sequence[str], pieces: Pieces) -> list[bytes]:
     """Ids after joining the best pair of each word until none is left, for words of one length.
 
     Of equally good pairs the leftmost is joined.
     """
-    points = _matrix(words)
-    rows, n = points.shape
+    prefix = _prefixes(_matrix(words))
+    rows, n = len(words), prefix.shape[1] - 1
     ends = np.tile(np.arange(1, n + 1), (rows, 1))  # where the symbol that begins here ends; 0: none does
     before = np.tile(np.arange(-1, n - 1), (rows, 1))
+    # What joining the symbol that begins here with the next one is worth.
     value = np.full((rows, n), NONE)
-
-    def score(row: np.ndarray, start: np.ndarray) -> None:
-        """What joining the symbol at ``start`` with the next one is worth."""
-        middle = ends[row, start]
-        last = np.where(middle < n, ends[row, np.minimum(middle, n - 1)], 0)
-        size = last - start
-        found = np.full(len(row), NONE)
-        for k in np.unique(size[(size > 1) & (size <= pieces.longest)]):
-            some = np.flatnonzero(size == k)
-            at = pieces.find(points[row[some][:, None], start[some][:, None] + np.arange(k)])
-            found[some] = np.where(at >= 0, pieces.scores[at], NONE)
-        value[row, start] = found
-
-    for start in range(n - 1):
-        score(np.arange(rows), np.full(rows, start))
+    at = pieces.find(prefix[:, :-2], prefix[:, 2:], 2)
+    value[:, :-1] = np.where(at >= 0, pieces.scores[at], NONE)
     busy = np.arange(rows)
     while n > 1 and len(busy):
         start = value[busy].argmax(axis=1)
         some = value[busy, start] > NONE
         busy, start = busy[some], start[some]
-        if not len(busy):
-            break
         middle = ends[busy, start]
         last = ends[busy, middle]
         ends[busy, start], ends[busy, middle] = last, 0
         value[busy, middle] = NONE
         inner = last < n
         before[busy[inner], last[inner]] = start[inner]
-        score(busy, start)
+        value[busy[~inner], start[~inner]] = NONE
         left = before[busy, start]
-        score(busy[left >= 0], left[left >= 0])
-    out = []
-    for word, row in zip(words, ends.tolist()):
-        out.append(list(chain.from_iterable(pieces.ids_of(word[i:j]) for i, j in enumerate(row) if j)))
-    return out
+        row = np.concatenate((busy[inner], busy[left >= 0]))
+        first = np.concatenate((start[inner], left[left >= 0]))
+        last = ends[row, ends[row, first]]
+        at = pieces.find(prefix[row, first], prefix[row, last], last - first)
+        value[row, first] = np.where(at >= 0, pieces.scores[at], NONE)
+    row, start = np.nonzero(ends)
+    last = ends[row, start]
+    return _joined(words, pieces, row, start, pieces.find(prefix[row, start], prefix[row, last], last - start))
 
 
-def merge_long(word: str, pieces: Pieces) -> list[int]:
+def merge_long(word: str, pieces: Pieces) -> bytes:
     """The same for one word of any length, by a queue of pairs."""
     n = len(word)
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -209,13 +215,15 @@ def merge_long(word: str, pieces: Pieces) -> list[int]:
         offer(start)
         if before[start] >= 0:
             offer(before[start])
-    return list(chain.from_iterable(pieces.ids_of(word[i:j]) for i, j in enumerate(end) if j))
+    known = ((pieces.by_text.get(word[i:j]), word[i:j]) for i, j in enumerate(end) if j)
+    ids = chain.from_iterable([found[1]] if found else pieces.fallback(text) for found, text in known)
+    return np.array(list(ids), "<i4").tobytes()
 
 
-def encode_words(words: Sequence[str], pieces: Pieces) -> list[list[int]]:
+def encode_words(words: Sequence[str], pieces: Pieces) -> list[bytes]:
     """Ids of words in the order given; those of one length are encoded together."""
     step = viterbi if pieces.kind == "unigram" else merge
-    out: list[list[int]] = [[]] * len(words)
+    out = [b""] * len(words)
     lengths = np.array([len(w) for w in words], np.int64)
     for n in np.unique(lengths):
         some = np.flatnonzero(lengths == n).tolist()
@@ -248,7 +256,7 @@ class Encoder:
         met = missing & self.older.keys()
         known.update((w, self.older[w]) for w in met)
         new = list(missing - met)
-        known.update((w, np.array(ids, "<i4").tobytes()) for w, ids in zip(new, encode_words(new, self.pieces)))
+        known.update(zip(new, encode_words(new, self.pieces)))
         for k in gaps:
             got[k] = known[words[k]]
         parts = iter(got)
@@ -280,8 +288,9 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(model, kind)
         for batch in batches:
-            for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(i, TEXTS_AT_ONCE)
+            _, starts = text_bytes(batch.column(batch.num_columns - 1))
+            for i, j in slices(starts, BYTES_AT_ONCE):
+                part = batch.slice(i, j - i)
                 texts = part.column(part.num_columns - 1).to_pylist()
                 found = code(texts)
                 sizes = np.array([len(f) for f in found], np.int64)

@@ -265,7 +265,7 @@ def test_viterbi_finds_the_best_sum():
 
     text_of = {i: t for t, (_, i) in table.by_text.items()}
     for word, ids in zip(words, pieces.viterbi(words, table)):
-        total = sum(table.by_text[text_of[i]][0] for i in ids if i in text_of)
+        total = sum(table.by_text[text_of[i]][0] for i in np.frombuffer(ids, "<i4").tolist() if i in text_of)
         unknown = sum(c not in table.by_text for c in word)
         assert total + unknown * table.worst == pytest.approx(best(word))
 
