@@ -108,7 +108,7 @@ def chat_messages(
 
 
 def render_roles(messages: Column) -> Column:
-    lines = F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    lines = F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), text_or_empty(m["content"])))
     return F.array_join(lines, "\n")
 
 
@@ -120,7 +120,7 @@ def _labelled(messages: Column, labels: dict[str, str], end: str = "") -> Column
         for role, label in labels.items():
             hit = m["role"] == role
             prefix = F.when(hit, F.lit(label)) if prefix is None else prefix.when(hit, F.lit(label))
-        return F.concat(prefix, m["content"], F.lit(end))
+        return F.concat(prefix, text_or_empty(m["content"]), F.lit(end))
 
     known = F.filter(messages, lambda m: m["role"].isin(*labels))
     return F.transform(known, one)
@@ -139,7 +139,7 @@ def render_tagged(messages: Column) -> Column:
 
 
 def render_single_turn(user: Column) -> Column:
-    return F.concat(F.lit("User: "), user, F.lit("\nAssistant:"))
+    return F.concat(F.lit("User: "), text_or_empty(user), F.lit("\nAssistant:"))
 
 
 def render_named(
@@ -154,7 +154,7 @@ def render_named(
     def one(m: Column) -> Column:
         text = None
         for role, prefix in prefixes.items():
-            piece = F.concat(F.lit(prefix), m["content"], F.lit(suffixes.get(role, "")))
+            piece = F.concat(F.lit(prefix), text_or_empty(m["content"]), F.lit(suffixes.get(role, "")))
             hit = m["role"] == role
             text = F.when(hit, piece) if text is None else text.when(hit, piece)
         return text
@@ -195,7 +195,7 @@ def render_qa(context: Column, question: Column, template: str = QA_TEMPLATE) ->
 
 def context_lines(entries: Column) -> Column:
     """``key: value`` lines of an ``array<struct<key,value>>``, in its order."""
-    lines = F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    lines = F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), text_or_empty(e["value"])))
     return F.array_join(lines, "\n")
 
 

@@ -59,9 +59,9 @@ def reduce_prompts(
     return stuff_prompt(answers, questions, query_id, content="answer", template=template)
 
 
-def rerank_answers(answers: DataFrame, query_id: str, score: str = "score") -> DataFrame:
-    """The per-hit answer with the highest score, the earlier hit on ties."""
-    best = F.max_by("answer", F.struct(F.col(score), -F.col("rank")))
+def rerank_answers(answers: DataFrame, query_id: str, rating: str = "rating") -> DataFrame:
+    """The per-hit answer that its generator rated highest, the earlier hit on ties."""
+    best = F.max_by("answer", F.struct(F.col(rating), -F.col("rank")))
     return answers.groupBy(query_id).agg(best.alias("answer"))
 
 

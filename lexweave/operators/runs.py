@@ -149,13 +149,16 @@ def _leaves(schema: T.StructType, path: str = "$", name: str = ""):
 
 def config_schema(runs: DataFrame, column: str) -> T.StructType:
     """The merged schema of all configurations, one aggregate over the table."""
-    merged = F.expr(f"schema_of_variant_agg(parse_json(`{column}`))")
+    merged = F.expr(f"schema_of_variant_agg(try_parse_json(`{column}`))")
     found = runs.agg(merged.alias("s")).first()["s"] or "OBJECT<>"
     return T.StructType.fromDDL(found.replace("OBJECT<", "STRUCT<")[len("STRUCT<") : -1])
 
 
 def flatten_params(runs: DataFrame, run: str, column: str) -> DataFrame:
-    """Nested configurations → run, dotted key, value, type; only plain scalars are kept."""
+    """Nested configurations → run, dotted key, value, type; only plain scalars are kept.
+
+    A text that is no JSON has no parameters.
+    """
     kinds = {
         "STRING": "str", "BIGINT": "int", "DOUBLE": "float", "FLOAT": "float", "BOOLEAN": "bool"
     }
@@ -178,7 +181,7 @@ def flatten_params(runs: DataFrame, run: str, column: str) -> DataFrame:
         "array<struct<key:string,value:string,type:string>>"
     )
     return (
-        runs.select(run, F.parse_json(column).alias("__config"))
+        runs.select(run, F.try_parse_json(column).alias("__config"))
         .select(run, F.explode(entries).alias("p"))
         .select(run, "p.key", "p.value", "p.type")
         .where(F.col("type").isNotNull())

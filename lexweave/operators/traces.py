@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from .ranking import KEY, Running, block, running, segmented, top_per_group
 
-# Messages per assembled row, so that a conversation of any length stays in bounded rows.
+# Messages sorted together before the parts of a run are joined in order.
 PART = 1000
 END = "end"
 
@@ -22,10 +22,11 @@ def assemble(
     two_roles: bool = False,
     part: int = PART,
 ) -> DataFrame:
-    """Ordered message lists: run, part number, messages.
+    """The whole ordered message list of each run: run, messages.
 
-    The turn is unique in its run. Part p holds turns ``p*part`` and on, so one row
-    has ``part`` messages at most. ``two_roles`` maps every role but assistant to user.
+    The turn is unique in its run. Turns are gathered and sorted in parts of ``part``, which
+    spreads a long run over tasks; the sorted parts are then joined in order. ``two_roles``
+    maps every role but assistant to user.
     """
     who = F.col(role)
     if two_roles:
@@ -35,7 +36,15 @@ def assemble(
     messages = F.transform(
         listed, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))
     )
-    return df.groupBy(run, block(turn, part).alias("part")).agg(messages.alias("messages"))
+    parts = df.groupBy(run, block(turn, part).alias("part")).agg(messages.alias("messages"))
+    return join_parts(parts, run)
+
+
+def join_parts(parts: DataFrame, run: str) -> DataFrame:
+    """Numbered parts of message lists (run, part, messages) → one list per run."""
+    listed = F.array_sort(F.collect_list(F.struct("part", "messages")))
+    whole = F.flatten(F.transform(listed, lambda p: p["messages"]))
+    return parts.groupBy(run).agg(whole.alias("messages"))
 
 
 def final_output(df: DataFrame, run: str, turn: str = "turn", content: str = "text") -> DataFrame:
@@ -50,13 +59,14 @@ def fold_context(
 ) -> DataFrame:
     """``{agent}_output`` → the agent's latest text, in the order agents first spoke.
 
-    The list per run has one entry per roster agent at most.
+    The list per run has one entry per roster agent at most, and none where no agent spoke.
     """
-    spoken = df.where(F.col(agent).isin(agents)).groupBy(run, agent).agg(
+    known = F.when(F.col(agent).isin(agents), F.col(agent))
+    spoken = df.groupBy(run, known.alias(agent)).agg(
         F.min(turn).alias("first"), F.max_by(content, turn).alias("value")
     )
     entry = F.struct("first", F.concat(agent, F.lit("_output")).alias("key"), "value")
-    listed = F.array_sort(F.collect_list(entry))
+    listed = F.array_sort(F.collect_list(F.when(F.col(agent).isNotNull(), entry)))
     context = F.transform(
         listed, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))
     )
@@ -95,11 +105,12 @@ def route_next(context: Column, iteration: Column, agents: list[str], max_iter:
     """The first roster agent without output yet, or the end.
 
     ``iteration`` counts from 1. All context entries count towards the end test,
-    also those the run started with.
+    also those the run started with. A null context has no entries.
     """
-    keys = F.transform(context, lambda e: e["key"])
+    none = F.array().cast("array<string>")
+    keys = F.coalesce(F.transform(context, lambda e: e["key"]), none)
     waiting = [F.when(~F.array_contains(keys, f"{a}_output"), F.lit(a)) for a in agents]
-    over = (iteration > max_iter) | (F.size(context) >= len(agents))
+    over = (iteration > max_iter) | (F.size(keys) >= len(agents))
     return F.when(over, F.lit(END)).otherwise(F.coalesce(*waiting, F.lit(END)))
 
 

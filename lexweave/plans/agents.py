@@ -19,19 +19,19 @@ def _messages(spark, d, **options):
 
 
 def _chat(spark, d, renderer):
-    return _messages(spark, d).select("conv_id", "part", renderer(F.col("messages")).alias("text"))
+    return _messages(spark, d).select("conv_id", renderer(F.col("messages")).alias("text"))
 
 
 def _sql_chat(line: str, sep: str, tail: str = "") -> str:
-    return f"""SELECT conv_id, turn // 1000 AS part,
+    return f"""SELECT conv_id,
   string_agg({line}, {sep} ORDER BY turn) || {tail or "''"} AS text
 FROM conversations GROUP BY ALL"""
 
 
 @query(_sql_chat("CASE role WHEN 'assistant' THEN role ELSE 'user' END || ': ' || text", "chr(10)"))
 def assemble_conversations(spark, d):
-    parts = _messages(spark, d, two_roles=True)
-    return parts.select("conv_id", "part", render.render_roles(F.col("messages")).alias("text"))
+    whole = _messages(spark, d, two_roles=True)
+    return whole.select("conv_id", render.render_roles(F.col("messages")).alias("text"))
 
 
 @query(_sql_chat("role || ': ' || text", "chr(10)"))
@@ -52,7 +52,7 @@ def render_tagged(spark, d):
     return _chat(spark, d, render.render_tagged)
 
 
-@query("""SELECT conv_id, turn // 1000 AS part, '<s>' || string_agg(
+@query("""SELECT conv_id, '<s>' || string_agg(
   CASE role WHEN 'system' THEN '[S] ' || text || ' [/S]' || chr(10)
             WHEN 'user' THEN '[U] ' || text || ' [/U]' || chr(10)
             ELSE '[A] ' || text || chr(10) END, '' ORDER BY turn) || '[A] ' AS text
@@ -70,7 +70,7 @@ def render_single_turn(spark, d):
     return users.select("conv_id", "turn", render.render_single_turn(F.col("text")).alias("text"))
 
 
-@query("""SELECT conv_id, turn // 1000 AS part,
+@query("""SELECT conv_id,
   string_agg(CASE role WHEN 'user' THEN '<image> ' || text ELSE text END, chr(10) ORDER BY turn) AS text,
   coalesce(string_agg(conv_id || '/' || turn || '.png', ' ' ORDER BY turn)
     FILTER (WHERE role = 'user'), '') AS images
@@ -88,8 +88,8 @@ def flatten_multipart(spark, d):
         F.array_sort(F.collect_list(entry)).alias("messages")
     )
     flat = render.flatten_parts(F.col("messages"))
-    return grouped.select(
-        "conv_id", "part",
+    return traces.join_parts(grouped, "conv_id").select(
+        "conv_id",
         F.array_join(F.transform(flat, lambda m: m["content"]), "\n").alias("text"),
         F.array_join(render.image_paths(F.col("messages")), " ").alias("images"),
     )

@@ -87,31 +87,31 @@ def _requests(spark, d, style):
     turns = traces.assemble(conversations(spark, d), "conv_id")
     last = F.element_at("messages", -1)["content"]
     rows = evaluate.resolve_generation(turns.withColumn("prompt", last), 512, 0.7)
-    return evaluate.request_rows(rows, "some-model", style).select("conv_id", "part", "request")
+    return evaluate.request_rows(rows, "some-model", style).select("conv_id", "request")
 
 
 _OPTIONS = "json_object('num_predict', 512, 'temperature', 0.7, 'top_p', 0.9, 'top_k', 50)"
-_CONV = """conv AS (SELECT conv_id, turn // 1000 AS part, arg_max(text, turn) AS prompt,
+_CONV = """conv AS (SELECT conv_id, arg_max(text, turn) AS prompt,
   list({role: role, content: text} ORDER BY turn) AS messages,
   string_agg('<|' || role || '|>' || chr(10) || text || '</s>', chr(10) ORDER BY turn)
     || chr(10) || '<|assistant|>' AS tagged
   FROM conversations GROUP BY ALL)"""
 
 
-@query(f"""WITH {_CONV} SELECT conv_id, part, json_object('inputs', tagged, 'parameters', json_object(
+@query(f"""WITH {_CONV} SELECT conv_id, json_object('inputs', tagged, 'parameters', json_object(
   'max_new_tokens', 512, 'temperature', 0.7, 'top_p', 0.9, 'return_full_text', false))::VARCHAR AS request
 FROM conv""")
 def request_rows_tagged(spark, d):
     return _requests(spark, d, "tagged")
 
 
-@query(f"""WITH {_CONV} SELECT conv_id, part, json_object('model', 'some-model', 'prompt', prompt,
+@query(f"""WITH {_CONV} SELECT conv_id, json_object('model', 'some-model', 'prompt', prompt,
   'stream', false, 'options', {_OPTIONS})::VARCHAR AS request FROM conv""")
 def request_rows_prompt(spark, d):
     return _requests(spark, d, "prompt")
 
 
-@query(f"""WITH {_CONV} SELECT conv_id, part, json_object('model', 'some-model', 'messages', messages,
+@query(f"""WITH {_CONV} SELECT conv_id, json_object('model', 'some-model', 'messages', messages,
   'stream', false, 'options', {_OPTIONS})::VARCHAR AS request FROM conv""")
 def request_rows_chat(spark, d):
     return _requests(spark, d, "messages")

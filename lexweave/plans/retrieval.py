@@ -225,15 +225,16 @@ def map_prompts(spark, d):
     return grounding.map_prompts(_sourced(spark, d), questions(spark, d), "query_id")
 
 
-# A recorded answer per hit: the start of the chunk.
+# A recorded answer per hit, the chunk itself, with a recorded rating that depends on all of it.
 _ANSWERS = f"""{HITS}, answers AS (
-  SELECT query_id, rank, score, substr(content, 1, 80) AS answer
+  SELECT query_id, rank, content AS answer, ('0x' || substr(md5(content), 1, 4))::INTEGER % 101 AS rating
   FROM hits JOIN chunks USING (chunk_id))"""
 
 
 def _answers(spark, d):
+    rating = F.conv(F.substring(F.md5("content"), 1, 4), 16, 10).cast("int") % 101
     return _sourced(spark, d).select(
-        "query_id", "rank", "score", F.substring("content", 1, 80).alias("answer")
+        "query_id", "rank", F.col("content").alias("answer"), rating.alias("rating")
     )
 
 
@@ -247,7 +248,7 @@ def reduce_prompts(spark, d):
 
 
 @query(f"""WITH {_ANSWERS} SELECT query_id, answer FROM answers
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) = 1""")
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rating DESC, rank) = 1""")
 def rerank_answers(spark, d):
     return grounding.rerank_answers(_answers(spark, d), "query_id")
 

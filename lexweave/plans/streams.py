@@ -41,7 +41,7 @@ def stream_ingest(spark, d):
     )
 
 
-@query("""SELECT conv_id, turn // 1000 AS part, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text
+@query("""SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text
 FROM conversations GROUP BY ALL""")
 def stream_history(spark, d):
     out = scratch_path(spark, "history")
@@ -49,8 +49,8 @@ def stream_history(spark, d):
         jobs.stream_history, _arriving(spark, conversations(spark, d), "arriving"), out,
         scratch_path(spark, "progress"),
     )
-    rows = jobs.current_rows(spark, out, ["conv_id", "part"])
-    return rows.select("conv_id", "part", render_roles(F.col("messages")).alias("text"))
+    rows = jobs.current_history(spark, out)
+    return rows.select("conv_id", render_roles(F.col("messages")).alias("text"))
 
 
 @query(f"""WITH {RAW} SELECT DISTINCT {sql_strip('instruction')} AS instruction,

@@ -58,7 +58,7 @@ def instructions(spark, d) -> DataFrame:
 
 
 def preferences(spark, d) -> DataFrame:
-    """The n-th good text of a source and language beside its n-th bad one."""
+    """The n-th good text of a source and language beside its n-th bad one, under the request for such a text."""
     docs = table(spark, d, "documents", "doc_id", "source", "lang")
     rated = docs.join(table(spark, d, "labels", "doc_id", "quality"), "doc_id")
     placed = with_position(rated, "n", "doc_id", by=["source", "lang", "quality"])
@@ -71,8 +71,9 @@ def preferences(spark, d) -> DataFrame:
     texts = table(spark, d, "documents", "doc_id", "text")
     chosen = texts.withColumnRenamed("text", "chosen")
     rejected = texts.select(F.col("doc_id").alias("bad_id"), F.col("text").alias("rejected"))
+    asked = F.concat(F.lit("Write a text in "), "lang", F.lit(" as found in "), "source", F.lit("."))
     return pairs.join(chosen, "doc_id").join(rejected, "bad_id").select(
-        "doc_id", F.substring("chosen", 1, 80).alias("prompt"), "chosen", "rejected"
+        "doc_id", asked.alias("prompt"), "chosen", "rejected"
     )
 
 
@@ -185,7 +186,7 @@ PREF = """rated AS (
          row_number() OVER (PARTITION BY source, lang, quality ORDER BY d.doc_id) AS n
   FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
 pref AS (
-  SELECT g.doc_id, substr(g.text, 1, 80) AS prompt, g.text AS chosen, b.text AS rejected
+  SELECT g.doc_id, 'Write a text in ' || g.lang || ' as found in ' || g.source || '.' AS prompt, g.text AS chosen, b.text AS rejected
   FROM rated g JOIN rated b ON g.source = b.source AND g.lang = b.lang AND g.n = b.n
   WHERE g.quality = 1 AND b.quality = 0)"""
 CHUNKS = f"""cleaned AS (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 from dataclasses import replace
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -150,7 +151,7 @@ def load_documents(spark: SparkSession, path: str, file_type: str = "txt") -> Da
         files = spark.read.options(**named).text(path).inputFiles()
     except AnalysisException as e:
         raise ValueError(f"no file or directory at {path}") from e
-    single = any(f.endswith(place) for f in files)
+    single = any(unquote(f).endswith(place) for f in files)
     tree = {} if single else {"recursiveFileLookup": True, "pathGlobFilter": f"*.{file_type}"}
     if file_type == "csv":
         return read_csv_docs(spark, path, tree=tree)

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import ChunkConfig, ColumnMap, PrepConfig
 from ..operators.prep import filter_length, lowercase_text, strip_text
+from ..operators.traces import PART, join_parts
 from ..sources.collections import add_chunks, document_chunks
 
 
@@ -104,12 +105,12 @@ def current_rows(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
 
 
 def stream_history(
-    messages: DataFrame, out: str, checkpoint: str, run: str = "conv_id", part: int = 1000
+    messages: DataFrame, out: str, checkpoint: str, run: str = "conv_id", part: int = PART
 ) -> StreamingQuery:
     """Message lists per conversation part, rewritten as turns arrive.
 
     Columns: run, turn, role, text. A part has ``part`` messages at most, which bounds
-    the state per key.
+    the state per key; ``current_history`` gives the whole conversations.
     """
     entry = F.struct("turn", "role", F.col("text").alias("content"))
     listed = messages.groupBy(run, F.floor(F.col("turn") / part).alias("part")).agg(
@@ -124,6 +125,11 @@ def stream_history(
     return _start(history, checkpoint, _write_update(out, checkpoint), "update")
 
 
+def current_history(spark: SparkSession, out: str, run: str = "conv_id") -> DataFrame:
+    """The whole message list of each conversation, from the newest version of its parts."""
+    return join_parts(current_rows(spark, out, [run, "part"]), run)
+
+
 def metric_windows(log: DataFrame, window: str = "1 hour") -> DataFrame:
     """Count and sum of each run's metric per tumbling window."""
     return log.groupBy("run_id", "metric", F.window("ts", window).alias("w")).agg(

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lexweave.functions import render
 from lexweave.operators import traces
 
 TURNS = [
@@ -14,17 +15,32 @@ def turns(spark):
     return spark.createDataFrame(TURNS, "conv int, turn long, role string, text string").repartition(4)
 
 
-def test_assembly_in_parts_keeps_every_message(turns):
+def test_assembly_keeps_every_message_in_one_row(turns):
     rows = traces.assemble(turns, "conv", part=2).collect()
-    got = {(r["conv"], r["part"]): [tuple(m) for m in r["messages"]] for r in rows}
+    got = {r["conv"]: [tuple(m) for m in r["messages"]] for r in rows}
     want = {}
     for c, t, role, text in TURNS:
-        want.setdefault((c, t // 2), []).append((role, text))
-    assert got == want
+        want.setdefault(c, []).append((role, text))
+    assert got == want and len(rows) == 3
     two = traces.assemble(turns, "conv", two_roles=True).where("conv = 3").first()["messages"]
     assert [m["role"] for m in two] == ["user", "assistant"]
 
 
+def test_a_conversation_of_any_length_has_one_prompt(spark):
+    long = spark.range(2001).selectExpr("7 AS conv", "id AS turn", "'user' AS role", "IF(id = 5, NULL, string(id)) AS text")
+    whole = traces.assemble(long.repartition(4), "conv")
+    (text,) = [r[0] for r in whole.select(render.render_tagged(F.col("messages"))).collect()]
+    said = [f"<|user|>\n{'' if i == 5 else i}</s>" for i in range(2001)]
+    assert text == "\n".join([*said, "<|assistant|>"])
+
+
+def test_runs_in_which_no_agent_spoke(turns):
+    rows = traces.fold_context(turns, "conv", ["tool"])
+    assert {r["conv"]: [tuple(e) for e in r["context"]] for r in rows.collect()} == {1: [], 2: [], 3: [("tool_output", "t")]}
+    first = traces.route_next(F.when(F.size("context") > 0, F.col("context")), F.lit(1), ["user", "tool"])
+    assert {r[0] for r in rows.select(first).collect()} == {"user"}
+
+
 def test_final_output_is_the_last_text(turns):
     assert dict(traces.final_output(turns, "conv").collect()) == {1: "u2", 2: "", 3: "x"}
 

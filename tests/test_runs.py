@@ -78,6 +78,7 @@ def test_nested_configurations(spark):
         (1, '{"a": {"b": 1, "c": {"d": "x", "e": null}}, "l": [1], "f": 1.5, "t": true}'),
         (2, '{"a": {"b": "two"}, "k.z": 3, "n": null}'),
         (3, "{}"),
+        (4, "no json {"),
     ]
     df = spark.createDataFrame(rows, "run int, config string")
     got = {(r["run"], r["key"]): (r["value"], r["type"]) for r in runs.flatten_params(df, "run", "config").collect()}

@@ -210,7 +210,8 @@ def test_prompts_from_hits(spark):
     answers = hits.withColumn("answer", F.upper("content"))
     reduced = dict(grounding.reduce_prompts(answers, asked, "query_id", template).collect())
     assert reduced[1] == "A\n\nB {QUESTION}|Q1?"
-    assert dict(grounding.rerank_answers(answers, "query_id").collect()) == {1: "A"}
+    rated = lambda rating: dict(grounding.rerank_answers(answers.withColumn("rating", rating), "query_id").collect())
+    assert rated(F.col("rank")) == {1: "B {QUESTION}"} and rated(F.lit(1)) == {1: "A"}
     rows = grounding.answer_rows(hits, asked.select("query_id", F.lit("x").alias("answer")), "query_id", ["score"])
     got = {r["query_id"]: [(s["content"], s["metadata"]["score"]) for s in r["source_documents"]] for r in rows.collect()}
     assert got == {1: [("a", 0.9), ("b {question}", 0.5)], 2: []}

@@ -73,6 +73,9 @@ def test_text_files_anywhere_below(spark, tree):
     assert all(r["metadata"]["source"].endswith(".txt") for r in docs)
     one = readers.load_documents(spark, str(tree / "a.txt")).collect()
     assert [r["content"] for r in one] == ["first\n\nfile"]
+    (tree / "my notes.md").write_text("spaced")
+    spaced = readers.load_documents(spark, str(tree / "my notes.md")).collect()
+    assert [r["content"] for r in spaced] == ["spaced"]
 
 
 def test_rows_as_documents(spark, tree):
