@@ -169,6 +169,8 @@ def sample_head(df: DataFrame, order: list[Column], n: int = 10) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def shuffled(df: DataFrame, *ids: str, seed: int = 42) -> DataFrame:
-    """The same random order under any partitioning."""
-    return df.orderBy(seeded_key(seed, *ids))
+def shuffled(df: DataFrame, *ids: str, seed: int = 42, position: str | None = None) -> DataFrame:
+    """The same random order under any partitioning, with the row's place if it is named."""
+    if position is None:
+        return df.orderBy(seeded_key(seed, *ids))
+    return global_rank(df, position, *ids, seed=seed).orderBy(position)

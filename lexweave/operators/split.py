@@ -8,6 +8,7 @@ counts to the driver per level. The rows are then labelled by comparing keys.
 from __future__ import annotations
 
 import math
+import os.path
 from functools import reduce
 from itertools import accumulate
 
@@ -16,11 +17,13 @@ from pyspark.sql import functions as F
 
 from ..config import SplitConfig
 from ..functions.text import seeded_key
-from .ranking import with_position
+from .ranking import KEY, SEGMENT, segmented
 
 MIN_ROWS = 10
 DIGITS = 3
-KEY_DIGITS = 32
+# Hex digits of a seeded key, and of an integer id in order.
+HASH_DIGITS = 32
+ORDER_DIGITS = 16
 SORT_ROWS = 100_000
 
 
@@ -65,22 +68,29 @@ def _descend(counts: dict[str, int], prefix: str, rank: int) -> tuple[str, int,
 
 
 def _keys_at(
-    keys: DataFrame, counts: dict[str, int], ranks: list[int], sort_rows: int
+    keys: DataFrame, counts: dict[str, int], ranks: list[int], sort_rows: int, digits: int
 ) -> list[str]:
-    """The keys at 0-based ranks; all ranks share each pass."""
+    """The keys at 0-based ranks; all ranks share each pass. A cut through equal keys is an error."""
     places = [_descend(counts, "", r) for r in ranks]
-    while any(n > sort_rows for _, _, n in places) and len(places[0][0]) < KEY_DIGITS:
+    while any(n > sort_rows for _, _, n in places) and len(places[0][0]) < digits:
         counts = _counts(keys, sorted({p for p, _, _ in places}))
         places = [_descend(counts, p, r) for p, r, _ in places]
     if not places:
         return []
+    if any(n > sort_rows for _, _, n in places):
+        raise ValueError("the row ids are not unique")
     prefix = F.substring("key", 1, len(places[0][0]))
     near = keys.select(prefix.alias("prefix"), "key").where(
         F.col("prefix").isin(sorted({p for p, _, _ in places}))
     )
-    place = F.row_number().over(Window.partitionBy("prefix").orderBy("key")) - 1
+    in_order = Window.partitionBy("prefix").orderBy("key")
     wanted = [(F.col("prefix") == p) & (F.col("place") == r) for p, r, _ in places]
-    rows = near.withColumn("place", place).where(reduce(Column.__or__, wanted)).collect()
+    placed = near.withColumn("place", F.row_number().over(in_order) - 1).withColumn(
+        "again", F.lag("key").over(in_order) == F.col("key")
+    )
+    rows = placed.where(reduce(Column.__or__, wanted)).collect()
+    if any(r["again"] for r in rows):
+        raise ValueError("the row ids are not unique")
     found = {(r["prefix"], r["place"]): r["key"] for r in rows}
     return [found[p, r] for p, r, _ in places]
 
@@ -90,43 +100,92 @@ def _ordered_key(cfg: SplitConfig, ids: list[str]) -> Column:
         return seeded_key(cfg.seed, *ids)
     if len(ids) != 1:
         raise ValueError("keeping the row order needs one integer row id")
-    return F.lpad(F.hex(F.col(ids[0]).cast("long")), KEY_DIGITS, "0")
+    # The sign bit turned over puts negative ids before the others.
+    unsigned = F.col(ids[0]).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+    return F.lpad(F.hex(unsigned), ORDER_DIGITS, "0")
 
 
 def split(
     df: DataFrame, ids: list[str], cfg: SplitConfig = SplitConfig(), sort_rows: int = SORT_ROWS
 ) -> DataFrame:
-    """Add a ``split`` column. ``ids`` name a unique key (``with_row_id`` makes one)."""
+    """Add a ``split`` column. ``ids`` name a unique key (``with_row_id`` makes one).
+
+    Ids in order are counted from the digits on in which they differ.
+    """
     if cfg.stratify:
         return _split_stratified(df, ids, cfg)
     key = _ordered_key(cfg, ids)
     keys = df.select(key.alias("key"))
-    counts = _counts(keys, [""])
+    start, digits = "", HASH_DIGITS
+    if not cfg.shuffle:
+        ends_of = keys.agg(F.min("key"), F.max("key")).first()
+        start, digits = os.path.commonprefix([k or "" for k in ends_of]), ORDER_DIGITS
+    counts = _counts(keys, [start])
     sizes = split_sizes(sum(counts.values()), cfg.train, cfg.val, cfg.test)
     names = list(sizes)
     ends = list(accumulate(sizes[name] for name in names[:-1]))
     label = F.lit(names[-1])
-    for name, cut in reversed(list(zip(names, _keys_at(keys, counts, ends, sort_rows)))):
+    for name, cut in reversed(list(zip(names, _keys_at(keys, counts, ends, sort_rows, digits)))):
         label = F.when(F.col("__order") < cut, F.lit(name)).otherwise(label)
     return df.withColumn("__order", key).withColumn("split", label).drop("__order")
 
 
 def _split_stratified(df: DataFrame, ids: list[str], cfg: SplitConfig) -> DataFrame:
-    """The ratio applied inside each stratum, with ranks taken in two levels."""
-    stratum = cfg.stratify
+    """Every split takes its rows at even steps through the strata, one after the other.
+
+    The sizes are those of ``split_sizes``, and a stratum's share differs from its
+    proportion by less than one row. Rows of a stratum come in seeded order, so
+    there is no row order to keep.
+    """
+    if not cfg.shuffle:
+        raise ValueError("a stratified split does not keep the row order")
+    placed, n = _through_strata(df, ids, cfg)
+    sizes = split_sizes(n, cfg.train, cfg.val, cfg.test)
+    names, left, label = list(sizes), n, None
+    for name in names[:-1]:
+        taken = f"cast(cast({{0}} AS decimal(18,0)) * {sizes[name]} div {left} AS bigint)"
+        upto = F.expr(taken.format("__pos"))
+        chosen = upto > F.expr(taken.format("(__pos - 1)"))
+        placed = placed.withColumn(f"__{name}", chosen).withColumn("__pos", F.col("__pos") - upto)
+        mine = F.col(f"__{name}")
+        label = F.when(mine, name) if label is None else label.when(mine, name)
+        left -= sizes[name]
+    last = F.lit(names[-1])
+    return placed.withColumn("split", last if label is None else label.otherwise(last)).select(
+        *df.columns, "split"
+    )
+
+
+def _through_strata(df: DataFrame, ids: list[str], cfg: SplitConfig) -> tuple[DataFrame, int]:
+    """1-based ``__pos`` by hash prefix of the stratum, stratum and seeded key; and the rows.
+
+    Strata are cut by prefixes of the seeded key, so a hot one is spread over tasks. Rows
+    before a piece are summed among the pieces of one hash prefix, and over the 4,096
+    prefixes by the driver.
+    """
+    def bucket(stratum: Column) -> Column:
+        return F.substring(F.md5(F.coalesce(stratum.cast("string"), F.lit(""))), 1, DIGITS)
+
+    counted = df.groupBy(bucket(F.col(cfg.stratify)).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    counts = sorted((r["p"], r["n"]) for r in counted.collect())
+    n = sum(c for _, c in counts)
+    ends = accumulate(c for _, c in counts)
+    offsets = df.sparkSession.createDataFrame(
+        [(p, end - c) for (p, c), end in zip(counts, ends)], "__bucket string, __offset long"
+    )
+    digits = max(DIGITS, math.ceil(math.log(max(n, 1) / SEGMENT, 16)))
     keyed = df.withColumn("__order", seeded_key(cfg.seed, *ids))
-    sizes = df.groupBy(F.col(stratum).alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = with_position(keyed, "__pos", "__order", by=[stratum])
-    with_n = ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("__s")))
-    held = cfg.val + cfg.test
-    n_train = F.floor(F.lit(cfg.train) * F.col("__n"))
-    n_val = F.floor((F.col("__n") - n_train) * F.lit(cfg.val / held if held else 0.0))
-    label = (
-        F.when(F.col("__pos") <= n_train, F.lit("train"))
-        .when(F.col("__pos") <= n_train + n_val, F.lit("validation"))
-        .otherwise(F.lit("test") if cfg.test > 0 else F.lit("validation"))
+    marked = segmented(keyed, [cfg.stratify], F.substring("__order", 1, digits))
+    earlier = (
+        Window.partitionBy("__bucket").orderBy(KEY).rowsBetween(Window.unboundedPreceding, -1)
     )
-    return with_n.withColumn("split", label).select(*df.columns, "split")
+    pieces = marked.groupBy(KEY).agg(F.count(F.lit(1)).alias("__n"))
+    pieces = pieces.withColumn("__bucket", bucket(F.col(KEY)[cfg.stratify]))
+    before = F.col("__offset") + F.coalesce(F.sum("__n").over(earlier), F.lit(0))
+    starts = pieces.join(F.broadcast(offsets), "__bucket").select(KEY, before.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(KEY).orderBy("__order"))
+    rows = marked.withColumn("__inside", inside).join(starts, KEY)
+    return rows.select(*df.columns, (F.col("__before") + F.col("__inside")).alias("__pos")), n
 
 
 def union_splits(train: DataFrame, val: DataFrame | None, test: DataFrame | None) -> DataFrame:

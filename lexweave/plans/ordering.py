@@ -25,13 +25,13 @@ def group_position(spark, d):
     return ranking.with_position(events, "pos", "event_id", by=["user_id"])
 
 
-@query("SELECT count(*) AS rows, count(*) AS ids FROM orders")
+@query("SELECT o_orderkey, 1::BIGINT AS rows_of_id FROM orders")
 def row_ids(spark, d):
     # Straight from the scan, whose order is fixed.
     orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey")
-    return ranking.with_row_id(orders).agg(
-        F.count(F.lit(1)).alias("rows"), F.countDistinct("row_id").alias("ids")
-    )
+    return ranking.with_row_id(orders).groupBy("row_id").agg(
+        F.min("o_orderkey").alias("o_orderkey"), F.count(F.lit(1)).alias("rows_of_id")
+    ).drop("row_id")
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '...' ELSE text END AS short,
@@ -51,9 +51,11 @@ def sample_head(spark, d):
     return ranking.sample_head(docs, order).select("doc_id", "lang")
 
 
-@query("SELECT event_id, event_type FROM events ORDER BY md5('42:' || event_id)")
+@query("""SELECT event_id, event_type, row_number() OVER (ORDER BY md5('42:' || event_id)) AS place
+FROM events""")
 def shuffled(spark, d):
-    return ranking.shuffled(table(spark, d, "events", "event_id", "event_type"), "event_id")
+    events = table(spark, d, "events", "event_id", "event_type")
+    return ranking.shuffled(events, "event_id", position="place")
 
 
 @query("""SELECT user_id, event_type, event_id, value FROM events

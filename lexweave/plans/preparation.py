@@ -198,14 +198,16 @@ def split_in_order(spark, d):
 
 
 @query("""WITH ordered AS (
-  SELECT event_id, event_type,
-         row_number() OVER (PARTITION BY event_type ORDER BY md5('42:' || event_id)) AS pos,
-         count(*) OVER (PARTITION BY event_type) AS n
+  SELECT event_id, event_type, count(*) OVER () AS n, row_number() OVER (
+    ORDER BY substr(md5(event_type), 1, 3), event_type, md5('42:' || event_id)) AS pos
   FROM events),
-sized AS (SELECT *, floor(0.8::DOUBLE * n)::BIGINT AS n_train FROM ordered)
-SELECT event_id, event_type, CASE WHEN pos <= n_train THEN 'train'
-  WHEN pos <= n_train + floor((n - n_train) * 0.5::DOUBLE)::BIGINT THEN 'validation'
-  ELSE 'test' END AS split FROM sized""")
+sized AS (SELECT *, floor(0.8::DOUBLE * n)::BIGINT AS n_train FROM ordered),
+trained AS (SELECT *, pos - pos * n_train // n AS later, n - n_train AS n_later,
+  floor((n - n_train) * 0.5::DOUBLE)::BIGINT AS n_val,
+  pos * n_train // n > (pos - 1) * n_train // n AS in_train FROM sized)
+SELECT event_id, event_type, CASE WHEN in_train THEN 'train'
+  WHEN later * n_val // n_later > (later - 1) * n_val // n_later THEN 'validation'
+  ELSE 'test' END AS split FROM trained""")
 def split_stratified(spark, d):
     events = table(spark, d, "events", "event_id", "event_type")
     return split(events, ["event_id"], SplitConfig(stratify="event_type"))

@@ -171,3 +171,27 @@ def test_lookup_join_with_hot_and_missing_keys(spark, plan):
         assert {r["i"]: r["v"] for r in joined.collect()} == want
         assert joined.count() == 100
     assert "Union" in plan(lookup_join(left, right, "k", 40))
+
+
+def test_ordered_split_of_negative_and_large_ids(spark):
+    for start, step in ((-50, 1), (-(1 << 62), 1 << 55)):
+        df = spark.createDataFrame([(start + i * step,) for i in range(100)], "id long")
+        out = split(df, ["id"], SplitConfig(shuffle=False), sort_rows=4).orderBy("id").collect()
+        assert [r["split"] for r in out] == ["train"] * 80 + ["validation"] * 10 + ["test"] * 10
+
+
+def test_repeated_ids_are_an_error(spark):
+    same = spark.range(100).select(F.lit(7).alias("id"))
+    for rows in (1000, 10):
+        with pytest.raises(ValueError):
+            split(same, ["id"], SplitConfig(), sort_rows=rows)
+
+
+def test_small_strata_add_up(spark):
+    for strata, n in ((100, 100), (50, 100), (7, 100), (3, 9)):
+        df = spark.range(n).withColumn("g", F.col("id") % strata)
+        out = split(df, ["id"], SplitConfig(stratify="g"))
+        got = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
+        assert got == split_sizes(n, 0.8, 0.1, 0.1)
+    with pytest.raises(ValueError):
+        split(df, ["id"], SplitConfig(stratify="g", shuffle=False))
