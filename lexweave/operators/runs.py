@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .ranking import KEY, SEGMENT, Running, block, running, segmented, top_per_group
 
@@ -74,6 +73,16 @@ def load_best_run(log: DataFrame, metric: str = "eval_loss", maximize: bool = Fa
     return row
 
 
+def in_experiment(
+    log: DataFrame, runs: DataFrame, experiment: str, column: str = "experiment"
+) -> tuple[DataFrame, DataFrame]:
+    """The values and the runs of one named experiment; an unknown name is an error."""
+    named = runs.where(F.col(column) == experiment)
+    if named.isEmpty():
+        raise ValueError(f"no experiment {experiment!r}")
+    return log.join(named.select("run_id"), "run_id", "left_semi"), named
+
+
 def early_stop(
     log: DataFrame,
     patience: int = 3,
@@ -138,51 +147,52 @@ def retain_checkpoints(log: DataFrame, limit: int = 3, maximize: bool = False) -
     return kept.select(*by, "step", "best")
 
 
-def _leaves(schema: T.StructType, path: str = "$", name: str = ""):
-    for f in schema.fields:
-        inner, key = f'{path}["{f.name}"]', f"{name}.{f.name}" if name else f.name
-        if isinstance(f.dataType, T.StructType):
-            yield from _leaves(f.dataType, inner, key)
-        else:
-            yield key, inner
-
-
-def config_schema(runs: DataFrame, column: str) -> T.StructType:
-    """The merged schema of all configurations, one aggregate over the table."""
-    merged = F.expr(f"schema_of_variant_agg(try_parse_json(`{column}`))")
-    found = runs.agg(merged.alias("s")).first()["s"] or "OBJECT<>"
-    return T.StructType.fromDDL(found.replace("OBJECT<", "STRUCT<")[len("STRUCT<") : -1])
+def _depth(text: str) -> Column:
+    """How deep the objects of a JSON text are nested: braces outside its strings."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"\\.", ""), '"[^"]*"', "")
+    braces = F.split(F.regexp_replace(bare, "[^{}]", ""), "")
+    step = F.aggregate(
+        braces,
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
+        lambda at, b: F.struct(
+            (at["now"] + F.when(b == "{", 1).when(b == "}", -1).otherwise(0)).alias("now"),
+            F.greatest(at["top"], at["now"] + F.when(b == "{", 1).otherwise(0)).alias("top"),
+        ),
+    )
+    return step["top"]
 
 
 def flatten_params(runs: DataFrame, run: str, column: str) -> DataFrame:
     """Nested configurations → run, dotted key, value, type; only plain scalars are kept.
 
-    A text that is no JSON has no parameters.
+    A key may hold an object in one row and a scalar in another. A text that is no JSON
+    object has no parameters. Objects are opened level by level in one chain; before it,
+    one number, the greatest depth, is read from the texts.
     """
     kinds = {
         "STRING": "str", "BIGINT": "int", "DOUBLE": "float", "FLOAT": "float", "BOOLEAN": "bool"
     }
-    config = F.col("__config")
-
-    def entry(key: str, path: str) -> Column:
-        leaf = F.try_variant_get(config, path, "variant")
-        kind = F.schema_of_variant(leaf)
-        plain = F.when(kind.startswith("DECIMAL"), F.lit("float"))
-        for spark_type, tag in kinds.items():
-            plain = plain.when(kind == spark_type, F.lit(tag))
-        return F.struct(
-            F.lit(key).alias("key"),
-            F.try_variant_get(config, path, "string").alias("value"),
-            plain.alias("type"),
+    entry_type = "array<struct<key:string,value:variant>>"
+    fields = F.map_entries(F.try_variant_get("value", "$", "map<string,variant>"))
+    parsed = runs.select(run, F.try_parse_json(column).alias("value"), F.lit("").alias("key"))
+    deepest = runs.where(F.try_parse_json(column).isNotNull()).agg(F.max(_depth(column))).first()[0]
+    rows = parsed.where(fields.isNotNull())
+    for _ in range(deepest or 0):
+        opened = F.transform(
+            fields,
+            lambda e: F.struct(
+                F.when(F.col("key") != "", F.concat("key", F.lit("."), e["key"]))
+                .otherwise(e["key"]).alias("key"),
+                e["value"].alias("value"),
+            ),
         )
-
-    paths = list(_leaves(config_schema(runs, column)))
-    entries = F.array(*(entry(*p) for p in paths)) if paths else F.lit(None).cast(
-        "array<struct<key:string,value:string,type:string>>"
-    )
-    return (
-        runs.select(run, F.try_parse_json(column).alias("__config"))
-        .select(run, F.explode(entries).alias("p"))
-        .select(run, "p.key", "p.value", "p.type")
-        .where(F.col("type").isNotNull())
-    )
+        itself = F.array(F.struct("key", "value"))
+        entries = F.coalesce(opened.cast(entry_type), itself.cast(entry_type))
+        rows = rows.select(run, F.explode(entries).alias("p")).select(run, "p.key", "p.value")
+    kind = F.schema_of_variant("value")
+    plain = F.when(kind.startswith("DECIMAL"), F.lit("float"))
+    for spark_type, tag in kinds.items():
+        plain = plain.when(kind == spark_type, F.lit(tag))
+    text = F.try_variant_get("value", "$", "string")
+    flat = rows.select(run, "key", text.alias("value"), plain.alias("type"))
+    return flat.where(F.col("type").isNotNull())

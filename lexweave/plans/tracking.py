@@ -44,6 +44,21 @@ def best_run_maximize(spark, d):
     return runs.best_run(metric_log(spark, d), "signup", maximize=True, unique_steps=True)
 
 
+# A run's experiment is named after its first metric.
+@query(f"""WITH {RUNS}, first AS (
+  SELECT run_id, arg_min(metric, step) AS experiment FROM metric_log GROUP BY run_id)
+SELECT run_id, run_name, status, start_time,
+  arg_max(value, step) FILTER (WHERE metric = 'view') AS view,
+  arg_max(value, step) FILTER (WHERE metric = 'click') AS click
+FROM run_list JOIN first USING (run_id) JOIN metric_log USING (run_id)
+WHERE experiment = 'click' GROUP BY ALL""")
+def experiment_runs(spark, d):
+    log = metric_log(spark, d)
+    first = log.groupBy("run_id").agg(F.min_by("metric", "step").alias("experiment"))
+    known = run_list(spark, d).join(first, "run_id")
+    return runs.compare_runs(*runs.in_experiment(log, known, "click"), ["view", "click"], unique_steps=True)
+
+
 @query(f"""WITH {RUNS}, wide AS (
   SELECT run_id, arg_max(value, step) FILTER (WHERE metric = 'view') AS view FROM metric_log GROUP BY 1)
 SELECT run_id, status, view FROM run_list JOIN wide USING (run_id) ORDER BY view DESC NULLS LAST, run_id""")
@@ -113,6 +128,17 @@ def flatten_nested_params(spark, d):
     )
 
 
+@query("""SELECT event_id, CASE WHEN value > 10 THEN 'opt.rate' ELSE 'opt' END AS key,
+  event_type AS value, 'str' AS type FROM events""")
+def flatten_mixed_params(spark, d):
+    """One key that is an object in some rows and a plain value in others."""
+    events = table(spark, d, "events", "event_id", "event_type", "value")
+    nested = F.to_json(F.struct(F.struct(F.col("event_type").alias("rate")).alias("opt")))
+    plain = F.to_json(F.struct(F.col("event_type").alias("opt")))
+    config = F.when(F.col("value") > 10, nested).otherwise(plain)
+    return runs.flatten_params(events.select("event_id", config.alias("config")), "event_id", "config")
+
+
 @query(f"""WITH {LOG} SELECT run_id, metric, step, value FROM metric_log""")
 def log_metrics(spark, d):
     """Two appends, one per half of the metrics, read back as one log."""

@@ -94,3 +94,26 @@ def test_log_appends(spark, tmp_path):
     runs.log_metrics(log, path)
     runs.log_metrics(log.where(F.col("metric") == "acc"), path)
     assert spark.read.parquet(path).groupBy("metric").count().orderBy("metric").collect() == [("acc", 2), ("loss", 1)]
+
+
+def test_mixed_quoted_and_malformed_configurations(spark):
+    rows = [
+        (1, '{"a": 1}'), (2, '{"a": {"b": 2}}'), (3, '{"q\\"k": "x{\\\\\\"}", "OBJECT<y": 1}'),
+        (4, "{bad"), (5, "[1]"), (6, None), (7, '{"a": {"b": {"c": {"d": 0.5}}}}'), (8, '{"": {"z": 1}}'), (9, "7"),
+    ]
+    df = spark.createDataFrame(rows, "run int, config string")
+    got = {(r["run"], r["key"]): (r["value"], r["type"]) for r in runs.flatten_params(df, "run", "config").collect()}
+    assert got == {
+        (1, "a"): ("1", "int"), (2, "a.b"): ("2", "int"), (3, 'q"k'): ('x{\\"}', "str"),
+        (3, "OBJECT<y"): ("1", "int"), (7, "a.b.c.d"): ("0.5", "float"), (8, "z"): ("1", "int"),
+    }
+    assert runs.flatten_params(df.where("run = 6"), "run", "config").collect() == []
+
+
+def test_experiments_are_separate(spark):
+    log = log_of(spark, [(1, "loss", 0, 1.0), (2, "loss", 0, 0.5)])
+    known = spark.createDataFrame([(1, "x"), (2, "y")], "run_id long, experiment string")
+    mine, named = runs.in_experiment(log, known, "x")
+    assert runs.best_run(mine, "loss", runs=named).first()["run_id"] == 1
+    with pytest.raises(ValueError):
+        runs.in_experiment(log, known, "z")
