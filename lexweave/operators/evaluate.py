@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -48,6 +49,12 @@ def _echo() -> Generator:
     return lambda prompts: [p.rstrip().rsplit("\n", 1)[-1] for p in prompts]
 
 
+@register_generator("digest")
+def _digest() -> Generator:
+    """An offline stand-in whose answer depends on the whole prompt."""
+    return lambda prompts: [hashlib.md5(p.encode()).hexdigest() for p in prompts]
+
+
 def generate(
     df: DataFrame, make: Callable[[], Generator], prompt: str = "prompt", batch: int = 32
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from ..config import RetrievalConfig
 from ..functions.render import QA_TEMPLATE
 from ..functions import render, text, vectors as vec
 from ..operators import chunk, embed, evaluate, grounding, search
+from ..operators.grounding import REFINE_TEMPLATE
 from .registry import query
 from .tables import (
     CENTRES, CHUNKS, HITS, INSTR, chunk_vectors, chunks, instructions, joined, label_centres,
@@ -266,9 +267,30 @@ def answer_rows(spark, d):
     return rows.select("query_id", F.concat("answer", F.array_join(places, " ")).alias("answer"))
 
 
-@query()
+def _sql_refined(context: str, question: str, answer: str) -> str:
+    body = "'" + REFINE_TEMPLATE.replace("'", "''") + "'"
+    for name, value in (("context", context), ("question", question), ("answer", answer)):
+        body = body.replace("{" + name + "}", f"' || coalesce({value}, '') || '")
+    return body
+
+
+# Four rounds: an answer is the digest of its prompt, and each prompt holds the answer before.
+_REFINED = f"""{HITS}, pieces AS (
+  SELECT item_id AS query_id, text AS question,
+    max(content) FILTER (WHERE rank = 1) AS c1, max(content) FILTER (WHERE rank = 2) AS c2,
+    max(content) FILTER (WHERE rank = 3) AS c3, max(content) FILTER (WHERE rank = 4) AS c4
+  FROM benchmark LEFT JOIN (SELECT query_id, rank, content FROM hits JOIN chunks USING (chunk_id)) h
+    ON item_id = query_id GROUP BY item_id, text),
+round1 AS (SELECT *, CASE WHEN c1 IS NULL THEN '' ELSE md5({_sql_qa('c1', 'question')}) END AS a1 FROM pieces)"""
+for _n in (2, 3, 4):
+    _REFINED += f""",
+round{_n} AS (SELECT *, CASE WHEN c{_n} IS NULL THEN a{_n - 1}
+  ELSE md5({_sql_refined(f'c{_n}', 'question', f'a{_n - 1}')}) END AS a{_n} FROM round{_n - 1})"""
+
+
+@query(f"WITH {_REFINED} SELECT query_id, a4 AS answer FROM round4")
 def refine_answers(spark, d):
-    echo = evaluate.make_generator("echo")
+    digest = evaluate.make_generator("digest")
     return grounding.refine(
-        _sourced(spark, d), questions(spark, d), "query_id", lambda df: evaluate.generate(df, echo)
+        _sourced(spark, d), questions(spark, d), "query_id", lambda df: evaluate.generate(df, digest)
     ).select("query_id", "answer")
