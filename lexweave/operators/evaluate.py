@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.render import render_tagged
 from ..functions.text import preview
-from .joins import HOT_ROWS, lookup_join
+from .joins import lookup_join
 from .ranking import sample_head
 from .split import evaluation_split
 
@@ -101,11 +101,11 @@ def generate(
 
 
 def attach_generations(
-    prompts: DataFrame, responses: DataFrame, key: str, hot_rows: int = HOT_ROWS
+    prompts: DataFrame, responses: DataFrame, key: str
 ) -> DataFrame:
     """Recorded responses laid beside their prompts; one response per key is kept."""
     one = responses.groupBy(key).agg(F.min("generated").alias("generated"))
-    return lookup_join(prompts, one, key, hot_rows)
+    return lookup_join(prompts, one, key)
 
 
 def resolve_generation(df: DataFrame, max_new_tokens: int, temperature: float) -> DataFrame:

@@ -1,37 +1,14 @@
-"""A lookup join that keeps hot keys off a single task."""
+"""A lookup of one right row per key."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 1000
 
-
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list:
-    """The 1,000 most frequent keys of those with ``hot_rows`` rows or more.
-
-    A key left out has under a thousandth of the rows, which one task can take.
-    """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    hot = counts.where(F.col("n") >= hot_rows).orderBy(F.col("n").desc()).limit(MAX_HOT_KEYS)
-    return [r[key] for r in hot.collect()]
-
-
-def lookup_join(
-    left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left join on ``key``, of which ``right`` has one row each.
 
-    Rows of hot keys, and rows without a key, stay where they are and meet a
-    broadcast of the few right rows they need; the others take the plain join.
+    Frequent and missing keys of the left side are left to the adaptive skew join, which
+    splits their partitions at run time.
     """
-    hot = hot_keys(left, key, hot_rows)
-    if not hot:
-        return left.join(right, key, "left")
-    stays = F.col(key).isNull() | F.col(key).isin(hot)
-    few = F.broadcast(right.where(F.col(key).isin(hot)))
-    return left.where(stays).join(few, key, "left").unionByName(
-        left.where(~stays).join(right, key, "left")
-    )
+    return left.join(right, key, "left")

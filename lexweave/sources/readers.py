@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import codecs
 from dataclasses import replace
-from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,15 +142,12 @@ def read_csv_docs(
 
 def load_documents(spark: SparkSession, path: str, file_type: str = "txt") -> DataFrame:
     """A file, or every file of the type anywhere below a directory."""
-    place = path.split(":")[-1].rstrip("/")
-    named = {"recursiveFileLookup": True, "pathGlobFilter": place.rsplit("/", 1)[-1]}
-    try:
-        # A file finds itself by its own name, a directory has (almost) nothing of that name.
-        files = spark.read.options(**named).text(path).inputFiles()
-    except AnalysisException as e:
-        raise ValueError(f"no file or directory at {path}") from e
-    single = any(unquote(f).endswith(place) for f in files)
-    tree = {} if single else {"recursiveFileLookup": True, "pathGlobFilter": f"*.{file_type}"}
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(place)
+    if not found:
+        raise ValueError(f"no file or directory at {path}")
+    tree = {} if all(f.isFile() for f in found) else {"recursiveFileLookup": True, "pathGlobFilter": f"*.{file_type}"}
     if file_type == "csv":
         return read_csv_docs(spark, path, tree=tree)
     return read_text_docs(spark, path, tree)

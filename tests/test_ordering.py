@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexweave import SplitConfig
 from lexweave.operators import ranking
-from lexweave.operators.joins import hot_keys, lookup_join
+from lexweave.operators.joins import lookup_join
 from lexweave.operators.split import (
     evaluation_split, split, split_counts, split_sizes, union_splits,
 )
@@ -164,13 +164,11 @@ def test_lookup_join_with_hot_and_missing_keys(spark, plan):
     rows = [(i, "hot" if i < 50 else None if i < 70 else f"k{i % 7}") for i in range(100)]
     left = spark.createDataFrame(rows, "i int, k string").repartition(4)
     right = spark.createDataFrame([("hot", "H")] + [(f"k{j}", f"v{j}") for j in range(6)], "k string, v string")
-    assert hot_keys(left, "k", 40) == ["hot"]
     want = {i: {"hot": "H", None: None, "k6": None}.get(k, k and "v" + k[1:]) for i, k in rows}
-    for hot_rows in (40, 1_000_000):
-        joined = lookup_join(left, right, "k", hot_rows)
-        assert {r["i"]: r["v"] for r in joined.collect()} == want
-        assert joined.count() == 100
-    assert "Union" in plan(lookup_join(left, right, "k", 40))
+    joined = lookup_join(left, right, "k")
+    assert {r["i"]: r["v"] for r in joined.collect()} == want
+    assert joined.count() == 100
+    assert "Union" not in plan(joined)
 
 
 def test_ordered_split_of_negative_and_large_ids(spark):

@@ -189,3 +189,9 @@ def test_images_are_joined_by_path(spark, tmp_path):
     refs = spark.createDataFrame([(1, [path, "gone.png"]), (2, [])], "i int, images array<string>")
     got = {r["image"]: r["length"] for r in readers.attach_images(refs, images).collect()}
     assert got == {path: 5, "gone.png": None}
+
+
+def test_a_single_file_with_a_blank_in_its_name(spark, tmp_path):
+    (tmp_path / "my notes.md").write_text("noted")
+    assert [r["content"] for r in readers.load_documents(spark, str(tmp_path / "my notes.md")).collect()] == ["noted"]
+    assert readers.load_documents(spark, f"file:{tmp_path}", "md").count() == 1
