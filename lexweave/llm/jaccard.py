@@ -13,6 +13,9 @@ groups, and again with others in components it is not linked to. Sets that are l
 need no further comparison, so a group of near copies does not become all its pairs. Sets of
 one group that are still not linked are then compared with all others of it, but for
 pairs that a bound on the difference excludes.
+
+That makes the components. All links lie inside them, so the links of a component are found by
+counting what all pairs of its sets share, block by block, unless those known are all pairs already.
 """
 
 from __future__ import annotations
@@ -38,6 +41,10 @@ BUCKETS = 256  # of the counts that bound the difference of two sets
 MEMBERS_AT_ONCE = 2048
 PAIRS_AT_ONCE = 1000
 PAIRS_HELD = 1_000_000
+# Of a block of a component whose pairs are all compared, and how columns of it are counted.
+SHINGLES_AT_ONCE = 1 << 20
+FEW = 32
+COLUMNS_AT_ONCE = 2048
 # Before groups are compared completely: how often sets are tried, and against how many others.
 ROUNDS = 3
 TRIED = 6
@@ -356,19 +363,177 @@ def _unlinked(met: DataFrame, label: DataFrame) -> DataFrame:
     return both.where(F.coalesce("p", "id") != F.coalesce("q", "other")).select("id", "other", "times")
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """How many shingles each set of ``left`` shares with each of ``right``; without it, with each later one.
+
+    Shingles of few sets are counted by the distance of two sets in their list, and
+    the others by products of matrices.
+    """
+    both = left if right is None else left + right
+    off, wide = (0, len(left)) if right is None else (len(left), len(right))
+    sizes = [len(x) for x in both]
+    row = np.repeat(np.arange(len(both)), sizes)
+    values = np.concatenate(both) if both else np.empty(0, np.uint64)
+    order = np.argsort(values, kind="stable")  # rows of one shingle stay in order
+    values, row = values[order], row[order]
+    starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, np.int64)
+    each = np.diff(np.append(starts, len(values)))
+    out = np.zeros(len(left) * wide, np.int64)
+
+    few = np.repeat((each > 1) & (each <= FEW), each)
+    near, ends = np.flatnonzero(few), np.repeat(starts + each, each)
+    step = 1
+    while len(near := near[near + step < ends[near]]):
+        p, q = row[near], row[near + step]
+        if right is not None:
+            inside = (p < off) & (q >= off)
+            p, q = p[inside], q[inside]
+        if len(p) * 8 > len(out):
+            out += np.bincount(p * wide + q - off, minlength=len(out))
+        else:
+            np.add.at(out, p * wide + q - off, 1)
+        step += 1
+    out = out.reshape(len(left), wide)
+
+    many = np.flatnonzero(each > FEW)
+    for i in range(0, len(many), COLUMNS_AT_ONCE):
+        some = many[i : i + COLUMNS_AT_ONCE]
+        n = each[some]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[some], n)
+        there = np.zeros((len(both), len(some)), np.float32)
+        there[row[at], np.repeat(np.arange(len(some)), n)] = 1
+        out += (there[: len(left)] @ there[off:].T).astype(np.int64)
+    return np.triu(out, 1) if right is None else out
+
+
+def _links_inside(texts: DataFrame, members: DataFrame, length: int, similarity: int, counted: bool) -> DataFrame:
+    """All links (x, y) between ``members`` (id, component, m, words) of one component; ``counted``: (id, n) of them.
+
+    A component of ``m`` sets and ``words`` shingles is cut into blocks, and each pair of blocks
+    is compared in one task; each pair of sets meets once.
+    """
+    blocks = F.ceil(F.greatest(F.col("m") / MEMBERS_AT_ONCE, F.col("words") / SHINGLES_AT_ONCE)).cast("int")
+    cut = members.select("id", "component", blocks.alias("blocks"))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn(
+        "with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    )
+    ordered = texts.join(cut, "id").select(
+        "component", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "text"
+    ).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "block", "id")
+
+    def links(key: tuple, rows: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        ids = np.array([r[1] for r in rows], np.int64)
+        n = np.array([len(r[2]) for r in rows], np.int64)
+        k = len(rows) if key[1] == key[2] else sum(r[0] == key[1] for r in rows)
+        sets = [r[2] for r in rows]
+        right = None if key[1] == key[2] else sets[k:]
+        off = 0 if right is None else k
+        shared = shared_counts(sets[:k], right)
+        near = (shared > 0) & (100 * shared >= similarity * (n[:k, None] + n[None, off:] - shared))
+        if counted:
+            got = np.zeros(len(rows), np.int64)
+            got[:k] += near.sum(axis=1)
+            got[off:] += near.sum(axis=0)
+            some = got > 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(got[some])], names=["id", "n"])
+            return
+        for at in range(k):  # a set at a time, so no more pairs are held than a block has sets
+            other = ids[off:][near[at]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.maximum(ids[at], other)), pa.array(np.minimum(ids[at], other))], names=["x", "y"]
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, key, held = WordReader(fold_case=True), None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            block, ids = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            for i, words in read.texts(batch.column(5)):
+                sets = shingle_sets(words, length)
+                for k in range(len(sets.sizes)):
+                    if keys[i + k] != key:
+                        if held:
+                            yield from links(key, held)
+                        key, held = keys[i + k], []
+                    held.append((block[i + k], ids[i + k], sets.shingles[sets.first[k] : sets.first[k + 1]].copy()))
+        if held:
+            yield from links(key, held)
+
+    return ordered.mapInArrow(run, "id long, n long" if counted else "x long, y long")
+
+
+@dataclass
+class Linked:
+    """Tables of one run: sets of all rows, classes of equal sets, texts that can link, and what is known of links."""
+
+    described: DataFrame
+    classes: DataFrame
+    sets: DataFrame
+    texts: DataFrame
+    links: DataFrame
+    component: DataFrame
+
+
+def _all_links(found: Linked, length: int, similarity: int, counted: bool) -> DataFrame:
+    """All links (x, y) between classes; ``counted``: (class_id, n_links) of every class that has some."""
+    of = found.component.join(found.sets.select(F.col("class_id").alias("id"), "n"), "id")
+    sizes = of.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("words"))
+    placed = found.links.join(found.component.withColumnRenamed("id", "x"), "x")
+    known = placed.groupBy("component").agg(F.count(F.lit(1)).alias("known"))
+    open_ = sizes.join(known, "component").where(F.col("m") * (F.col("m") - 1) > 2 * F.col("known")).drop("known")
+    settled = placed.join(open_, "component", "left_anti")
+    inside = _links_inside(found.texts, found.component.join(open_, "component"), length, similarity, counted)
+    if not counted:
+        return settled.select("x", "y").unionByName(inside)
+    ends = settled.select(F.col("x").alias("id"), F.lit(1).cast("long").alias("n")).unionByName(
+        settled.select(F.col("y").alias("id"), F.lit(1).cast("long").alias("n"))
+    )
+    return ends.unionByName(inside).groupBy(F.col("id").alias("class_id")).agg(F.sum("n").alias("n_links"))
+
+
+def _shown(c):
+    return F.when(c != LAST, c)
+
+
+def _rows(found: Linked, id_column: str, degree: DataFrame | None = None) -> DataFrame:
+    classes = found.classes.drop("counts").join(found.component, F.col("class_id") == F.col("id"), "left").drop("id")
+    if degree is not None:
+        classes = classes.join(degree, "class_id", "left")
+    rows = found.described.drop("counts").join(classes, ["a", "b", "n"], "left")
+    class_id = F.coalesce("class_id", "id")
+    return rows.select(
+        _shown(F.col("id")).alias(id_column), F.col("n").alias("n_shingles"), _shown(class_id).alias("class_id"),
+        _shown(F.coalesce("component", class_id)).alias("component_id"),
+        *([] if degree is None else [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]),
+    )
+
+
 def similar_documents(
     df: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = SHINGLE, similarity: int = SIMILARITY
 ) -> DataFrame:
     """One row per row of ``df``: id, n_shingles, class_id, component_id, n_links.
 
     ``class_id`` is the smallest id with the same set of shingles, ``component_id`` the smallest
-    id reachable over links of at least ``similarity`` percent. ``n_links`` counts the verified
-    links of the class to other classes, which connect all of its component. Texts are folded
+    id reachable over links of at least ``similarity`` percent. ``n_links`` counts the other
+    classes that the class links with; ``similar_pairs`` has them. Texts are folded
     to lower case (A to Z). A text of fewer words than a shingle is one shingle; null, empty
     and blank texts have none and link with nothing: each row is alone. A null id counts as
     larger than all others and comes back as null. Rows that repeat an id are each other's
     component. Sets are compared by 64-bit hashes of shingles. Other columns are ignored.
     """
+    found = _linked(df, id_column, text, length, similarity)
+    return _rows(found, id_column, _all_links(found, length, similarity, counted=True))
+
+
+def similar_pairs(
+    df: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = SHINGLE, similarity: int = SIMILARITY
+) -> DataFrame:
+    """Every link of ``similar_documents`` once: class_id and the smaller other_id, each of a class."""
+    links = _all_links(_linked(df, id_column, text, length, similarity), length, similarity, counted=False)
+    return links.select(_shown(F.col("x")).alias("class_id"), _shown(F.col("y")).alias("other_id"))
+
+
+def _linked(df: DataFrame, id_column: str, text: str, length: int, similarity: int) -> Linked:
     spark = df.sparkSession
     docs = df.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("text"))
 
@@ -419,29 +584,12 @@ def similar_documents(
     more = _open_pairs(waiting, similarity).join(tested, ["x", "y"], "left_anti")
     last = _verified(texts, stored(more, "jaccard-more"), length, similarity)
     links = stored(links.unionByName(last).distinct(), "jaccard-all-links")
-    final = components(links)
-    degree = (
-        links.select(F.col("x").alias("class_id")).unionByName(links.select(F.col("y").alias("class_id")))
-        .groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
-    )
-    found = (
-        classes.drop("counts").join(final, F.col("class_id") == F.col("id"), "left").drop("id").join(degree, "class_id", "left")
-    )
-    rows = described.drop("counts").join(found, ["a", "b", "n"], "left")
-    class_id = F.coalesce("class_id", "id")
-
-    def shown(c):
-        return F.when(c != LAST, c)
-
-    return rows.select(
-        shown(F.col("id")).alias(id_column), F.col("n").alias("n_shingles"), shown(class_id).alias("class_id"),
-        shown(F.coalesce("component", class_id)).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-    )
+    return Linked(described, classes, sets, texts, links, components(links))
 
 
 def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of the smallest id of each component, with all their columns."""
-    kept = similar_documents(df, id_column, text).where(F.col(id_column).eqNullSafe(F.col("component_id")))
+    found = _linked(df, id_column, text, SHINGLE, SIMILARITY)
+    kept = _rows(found, id_column).where(F.col(id_column).eqNullSafe(F.col("component_id")))
     kept = kept.select(F.col(id_column).alias("_kept_id")).distinct()
     return df.join(kept, F.col(id_column).eqNullSafe(F.col("_kept_id")), "left_semi")

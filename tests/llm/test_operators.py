@@ -124,6 +124,43 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == sorted(brute.similar(rows))
 
 
+def near_copies(n):
+    """Texts of 60 words of which most pairs differ in a few, a chain, and copies."""
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(base[:5] + [f"x{i % 40}"] + base[6:])) for i in range(n)]
+    return rows + [(1000 + i, " ".join(f"c{k}" for k in range(3 * i, 3 * i + 60))) for i in range(30)] + [(2000, "alone " * 9)]
+
+
+def test_all_links_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MEMBERS_AT_ONCE", 16)
+    rows = near_copies(90)
+    classes = {}
+    for i, t in rows:
+        classes.setdefault(frozenset(brute.shingles(t)), i)
+    want = {
+        (max(i, j), min(i, j)) for s, i in classes.items() for r, j in classes.items()
+        if i < j and 100 * len(s & r) >= 80 * len(s | r)
+    }
+    assert len(want) > 700
+    found = jaccard._linked(documents(spark, rows).repartition(3), "doc_id", "text", jaccard.SHINGLE, jaccard.SIMILARITY)
+    monkeypatch.setattr(jaccard, "_linked", lambda *_: found)
+    got = jaccard.similar_documents(documents(spark, rows)).collect()
+    assert all(r["n_links"] == sum(r["class_id"] in p for p in want) for r in got)
+    pairs = [tuple(r) for r in jaccard.similar_pairs(documents(spark, rows)).collect()]
+    assert len(pairs) == len(want) and set(pairs) == want
+
+
+@pytest.mark.parametrize("few", [0, 3, 100])
+def test_shared_counts(monkeypatch, few):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "COLUMNS_AT_ONCE", 5)
+    draw = np.random.default_rng(few)
+    sets = [np.unique(draw.integers(0, 40, draw.integers(1, 30))).astype(np.uint64) for _ in range(30)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    assert (jaccard.shared_counts(sets, None) == np.triu(want, 1)).all()
+    assert (jaccard.shared_counts(sets[:11], sets[11:]) == want[:11, 11:]).all()
+
+
 def test_components(spark):
     draw = random.Random(4)
     links = [(draw.randrange(400), draw.randrange(400)) for _ in range(230)] + [(1000 + i, 1001 + i) for i in range(60)]
