@@ -20,8 +20,8 @@ WEIGHTS = (3, 1, 2)
 class MixConfig:
     """``share`` of all words is dealt out; a source gives ``most`` times its words at most.
 
-    A block has ``block_words`` words, or a hundredth of the smallest source if that is
-    less. A shard has ``shard_words`` words, or so many that there are ``most_shards``
+    A block has ``block_words`` words, or a hundredth of its source if that is less, so a
+    small source makes its own blocks finer and no others. A shard has ``shard_words`` words, or so many that there are ``most_shards``
     shards besides one for each source: their quotas are found on the driver.
     """
 
@@ -151,7 +151,7 @@ def mix(
     sizes = [by_name[n] for n in names]
     wanted = source_targets(sizes, [weights[i % len(weights)] for i in range(len(names))], cfg.share, cfg.most)
     words = sum(sizes)
-    block = max(1, min(cfg.block_words, min((s for s in sizes if s), default=1) // 100))
+    block = {n: max(1, min(cfg.block_words, s // 100)) for n, s in zip(names, sizes)}
     shard_words = max(cfg.shard_words, -(-words // cfg.most_shards))
     info = spark.createDataFrame(
         [(n, s, t, max(1, -(-s // shard_words))) for n, s, t in zip(names, sizes, wanted)],
@@ -195,17 +195,21 @@ def mix(
 
 
 def shard_quotas(
-    shards: list[tuple[str | None, int, int]], sources: dict[str | None, tuple[int, float]], block: int, most: int
+    shards: list[tuple[str | None, int, int]], sources: dict[str | None, tuple[int, float]],
+    block: dict[str | None, int], most: int,
 ) -> list[tuple[str | None, int, int, int]]:
     """(source, shard, blocks, quota) for each shard with words.
 
-    Blocks go to the sources first and then, within a source, to its shards.
+    ``block`` has the words of a source's blocks. Words go to the sources first, as seats of the
+    finest block, and then, as blocks of a source, to its shards.
     """
     names = list(dict.fromkeys(s for s, _, _ in shards))
-    blocks = {s: [max(1, round(n / block)) for name, _, n in shards if name == s] for s in names}
-    votes = np.array([sources[s][1] / sources[s][0] * sum(blocks[s]) for s in names])
-    limits = np.array([most * sum(blocks[s]) for s in names])
+    blocks = {s: [max(1, round(n / block[s])) for name, _, n in shards if name == s] for s in names}
+    finest = min((block[s] for s in names), default=1)
+    votes = np.array([sources[s][1] / sources[s][0] * sum(blocks[s]) * block[s] / finest for s in names])
+    limits = np.array([most * sum(blocks[s]) * block[s] // finest for s in names])
     seats = sainte_lague(votes, limits, round(votes.sum())) if names else []
+    seats = [round(int(n) * finest / block[s]) for s, n in zip(names, seats)]
     out, at = [], {s: iter(range(len(blocks[s]))) for s in names}
     given = {s: sainte_lague(np.array(blocks[s]), most * np.array(blocks[s]), int(n)) for s, n in zip(names, seats)}
     for name, shard, _ in shards:

@@ -89,3 +89,15 @@ def test_mixed_texts_have_the_words_taken(spark):
     got = mixed_texts(df)
     assert got.columns == df.columns
     assert {r["doc_id"]: len(r["text"].split()) for r in got.collect()} == {i: n for i, n in plan.items() if n}
+
+
+def test_a_small_source_leaves_the_blocks_of_others(spark):
+    rows = [(i, "large", "w " * 500) for i in range(400)] + [(1000 + i, None, "w " * 15) for i in range(10)]
+    got = mix(documents(spark, rows), word_count(F.col("text"))).toPandas()
+    large, small = got[got.source == "large"], got[got.source.isna()]
+    assert small["size"].sum() == 150 and abs(small.taken.sum() - small.target.iloc[0]) <= 1
+    assert abs(large.taken.sum() - large.target.iloc[0]) <= 1024
+    # Runs of whole blocks end inside a document at most once for each 1,000 words or so.
+    cuts = sum(a > 0 for parts, n in zip(large.pieces, large["size"]) for a in parts[::2])
+    cuts += sum(b < n for parts, n in zip(large.pieces, large["size"]) for b in parts[1::2])
+    assert 0 < cuts <= 200
