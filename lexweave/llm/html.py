@@ -50,15 +50,25 @@ CLOSES = {
 }
 # An end tag looks for its start tag no further up than the nearest of these.
 SCOPE = {"table", "td", "th", "caption", "html", "body"}
+# Parts of a table that hold no text; what else is in them belongs before the table.
+PARTS = GROUPS | {"tr", "table", "colgroup"}
+STRUCTURE = CELLS | GROUPS | {"tr", "caption", "colgroup", "col"}
+IN_PLACE = STRUCTURE | {"script", "style", "template"}
+# The part that a start tag of the structure ends all elements up to.
+HOLDERS = {
+    **dict.fromkeys(GROUPS | {"caption", "colgroup"}, {"table"}), "tr": GROUPS | {"table"},
+    **dict.fromkeys(CELLS, GROUPS | {"tr", "table"}), "col": {"colgroup", "table"},
+}
 # Deeper elements become children of the last one at this depth.
 DEEPEST = 200
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
+    # A quote delimits a value only right after the sign.
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]++)?)?)*+)(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _STYLE = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
@@ -89,9 +99,30 @@ def tree(source: str) -> Element:
     root = Element("html")
     stack = [root]
 
+    def add(child: Element | str) -> None:
+        """To the innermost element; what no part of a table can hold goes before the table."""
+        if stack[-1].tag in PARTS and not (child.isspace() if isinstance(child, str) else child.tag in IN_PLACE):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == "table":
+                    stack[i - 1].children.insert(-1, child)  # an open table is the last child
+                    return
+        stack[-1].children.append(child)
+
+    def part() -> int:
+        """Where the table is whose parts the next tag is in, outside of cells and captions; or 0."""
+        inside = False
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag == "table":
+                return i
+            if stack[i].tag in PARTS:
+                inside = True
+            elif not inside and stack[i].tag in CELLS | {"caption"}:
+                return 0
+        return 0
+
     def open_(tag: str, attributes: dict[str, str] | None = None) -> Element:
         made = Element(tag, attributes)
-        stack[-1].children.append(made)
+        add(made)
         if tag not in VOID and len(stack) < DEEPEST:
             stack.append(made)
         return made
@@ -109,7 +140,7 @@ def tree(source: str) -> Element:
 
     def text(piece: str) -> None:
         if piece:
-            stack[-1].children.append(html.unescape(piece) if "&" in piece else piece)
+            add(html.unescape(piece) if "&" in piece else piece)
 
     at, raw = 0, None
     while at < len(source):
@@ -130,7 +161,9 @@ def tree(source: str) -> Element:
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
-                stack[-1].children.append(m[0][9:].removesuffix("]]>"))
+                text_ = m[0][9:].removesuffix("]]>")
+                if text_:
+                    add(text_)
             continue
         tag = m[2].lower()
         if m[1]:
@@ -148,7 +181,7 @@ def tree(source: str) -> Element:
                     break
             else:
                 if tag == "p":
-                    stack[-1].children.append(Element("p"))
+                    add(Element("p"))
             continue
         attributes = attributes_of(m[3])
         if tag in ("html", "body", "head"):
@@ -166,6 +199,13 @@ def tree(source: str) -> Element:
             close({"p"}, {"table", "td", "th", "caption", "button", "object"})
         if tag in CLOSES:
             close(*CLOSES[tag])
+        if tag == "table" and (at_table := part()):
+            del stack[at_table:]
+        if tag == "form" and part():
+            continue
+        if tag in STRUCTURE and any(x.tag == "table" for x in stack):
+            while stack[-1].tag not in HOLDERS[tag]:
+                stack.pop()
         if tag in HEADINGS and stack[-1].tag in HEADINGS:
             stack.pop()
         if tag == "tr" and stack[-1].tag == "table":

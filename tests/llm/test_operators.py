@@ -328,6 +328,31 @@ def test_pages(source, text):
     assert html.render(source) == text
 
 
+@pytest.mark.parametrize("source, text", [
+    ("<table><tr><form action=x><td>a<td>b</form></table>", "a  b"),
+    ("<form><table><form><tr><td>a</table>b</form>c", "a\n\nb\nc"),
+    ("x<table><tr>loose<td>a</table>", "xloose\n\na"),
+    ("<table><tbody><p>loose<tr><td>a</table>z", "loose\n\na\n\nz"),
+    ("<table><tr hidden>loose<td>a</table>z", "loose\n\nz"),
+    ("<table><tr><a href=x>link<td>a</a><td>b</table>", "link\n\na  b"),
+    ("<table><tr><center>mid<td>a</center><td>b<tr><td>c</table>", "mid\n\na  b\nc"),
+    ("<table><colgroup><col><tr><td>a</table>", "a"),
+    ("<table><caption>cap<tr><td>a</table>", "cap\na"),
+    ("<table><tr><td>a<tr><table><tr><td>b</table>", "a\n\nb"),
+    ("<table><tr><td>a<table><tr><td>b</table>c<td>d</table>", "a  d\n\nb\n\nc"),
+    ('<p class="a"">Hello "x" y</p>', 'Hello "x" y'),
+    ("<a title=don't>it's</a> so", "it's so"),
+    ("<p a='1>2' b=\"3>4\">text", "text"),
+    ('<a href=a="b>c">d', 'c">d'),
+    ('<a =">x">y', 'x">y'),
+    ("<p title = '>' hidden>gone</p>here", "here"),
+    ('<p title="open>text', "text"),
+    ("<img alt=a><br/>z", "a\nz"),
+])
+def test_pages_of_odd_tables_and_quotes(source, text):
+    assert html.render(source) == text
+
+
 def test_pages_of_a_table(spark):
     deep = "<div>" * 5000 + "deep" + "</div>" * 5000
     rows = [(1, "u", "<title>A  b</title><p>x"), (None, None, None), (3, "u", deep), (3, "u", deep), (4, "", "<p>" + "y " * 50_000)]
