@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, html, jaccard, language, mixing, pieces, quality, rules, substrings, token_file
+from . import exact, html, jaccard, language, mixing, pieces, quality, rules, substrings, suffixes, token_file
 from .common import held_out, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,10 @@ def op6_sentencepiece(spark, d):
     import public_tokenizers
 
     return pieces.encode(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query()
+def op11_suffix_dedup(spark, d):
+    return suffixes.remove_repeated_strings(table(spark, d, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )

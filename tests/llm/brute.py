@@ -61,3 +61,22 @@ def similar(rows, length=5, percent=80):
     for k, (i, _) in enumerate(sets):
         least[find(k)] = min(i, least.get(find(k), i))
     return [(i, len(s), least[find(k)]) for k, (i, s) in enumerate(sets)]
+
+
+def repeated_strings(rows, length=400):
+    """(id, n_bytes, n_removed, n_spans, sha256 of the kept bytes) for (id, text) rows."""
+    bodies = [(i, (t or "").encode()) for i, t in rows]
+    times = defaultdict(int)
+    for _, b in bodies:
+        for k in range(len(b) - length + 1):
+            times[b[k : k + length]] += 1
+    out = []
+    for i, b in bodies:
+        gone = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if times[b[k : k + length]] > 1:
+                gone[k : k + length] = b"\1" * length
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        spans = sum(g and not before for g, before in zip(gone, b"\0" + bytes(gone)))
+        out.append((i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out
