@@ -3,7 +3,8 @@
 A position or running value over a large group is computed in two levels: inside
 ordered segments of bounded size, and over one summary row per segment. A segment
 is a block of ``SEGMENT`` consecutive integer keys (unique in the group, so at most
-that many rows) or a prefix of a uniform hash key.
+that many rows), a prefix of a uniform hash key, or, for keys of any kind and
+distribution, a range between sampled quantiles.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import seeded_key
+from ..session import scratch_path
 
 SEGMENT = 1_000_000
 # Hex digits of a hash key that are counted first: at most 4,096 prefixes.
@@ -145,6 +147,37 @@ def with_position(
     return running(marked, by, [F.col(key)], {name: Running("count", F.lit(1))}).drop(KEY)
 
 
+def range_segments(df: DataFrame, by: list[str], order: list[str], segment: str) -> DataFrame:
+    """The rows as a stored table, cut at sampled quantiles of group and order into numbered segments.
+
+    The numbers rise with the order, and a group of any size lies in as many segments as its
+    share of the rows. Equal keys share a segment.
+    """
+    path = scratch_path(df.sparkSession, "segments")
+    df.repartitionByRange(*by, *order).withColumn(segment, F.spark_partition_id()).write.parquet(path)
+    return df.sparkSession.read.schema(df.withColumn(segment, F.lit(0)).schema).parquet(path)
+
+
+def position_by_range(df: DataFrame, name: str, by: list[str], order: list[str]) -> DataFrame:
+    """1-based position by keys of any kind and distribution, nulls first; equal keys in any order.
+
+    The segments' counts are one row per segment; those of a table without groups pass the driver.
+    """
+    part = "__part"
+    stored = range_segments(df, by, order, part)
+    keys = [F.col(c) for c in order]
+    if by:
+        marked = segmented(stored, by, F.col(part))
+        return running(marked, by, keys, {name: Running("count", F.lit(1))}).drop(KEY, part)
+    counts = sorted(stored.groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect())
+    ends = accumulate(r["n"] for r in counts)
+    offsets = df.sparkSession.createDataFrame(
+        [(r[part], end - r["n"]) for r, end in zip(counts, ends)], f"{part} int, __before long"
+    )
+    placed = stored.withColumn("__inside", F.row_number().over(Window.partitionBy(part).orderBy(*keys)))
+    return placed.join(F.broadcast(offsets), part).select(*df.columns, (F.col("__before") + F.col("__inside")).alias(name))
+
+
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Row ids in scan order. Call it right after a file scan, whose splits are fixed."""
     return df.withColumn(name, F.monotonically_increasing_id())
