@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, html, jaccard, language, mixing, pieces, quality, rules, substrings, suffixes, token_file
+from . import divergence, exact, html, jaccard, language, mixing, pieces, prefix_trie, quality, rules, substrings, suffixes, token_file
 from .common import held_out, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,13 @@ def op11_suffix_dedup(spark, d):
     return suffixes.remove_repeated_strings(table(spark, d, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
     )
+
+
+@query(divergence.divergences_sql())
+def op12_source_divergence(spark, d):
+    return divergence.divergences(table(spark, d, "documents"))
+
+
+@query(prefix_trie.TRIE_SQL)
+def op13_prefix_trie(spark, d):
+    return prefix_trie.trie(table(spark, d, "conversations"))

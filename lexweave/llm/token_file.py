@@ -8,11 +8,9 @@ bytes. Control bytes, kept apart from the data, hold four lengths of two bits ea
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator, Sequence
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,21 +19,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path
-from .common import worker_cache
+from .common import text_slices, worker_cache
 
 BLOCK_TOKENS = 1 << 20
 # Words whose ids a worker remembers; those that were not met again make room for others.
 CACHED_WORDS = 500_000
-TEXTS_AT_ONCE = 512
+# Bytes of text whose words are made distinct together.
+ENCODED_AT_ONCE = 8 << 20
 
-# A word with the white space before it. Punctuation right after a Latin letter or a digit
-# begins a word of its own, which saves knowing each word with and without it.
-_CHUNK = re.compile(
-    r"[ \t\n\v\f\r]*[^ \t\n\v\f\r.,!#$%&*]+(?:(?<![A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff])[^ \t\n\v\f\r]+)?"
-    r"|[ \t\n\v\f\r]*[^ \t\n\v\f\r]+|[ \t\n\v\f\r]+"
-)
-# White space that joins the runs above: such texts go to the tokenizer whole.
-_ODD_BLANK = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# Longer words are not remembered.
+LONG_WORD = 64
+
+# Bytes by kind: white space, punctuation that begins a word right after a Latin letter or a
+# digit (which saves knowing each word with and without it), letters and digits.
+_BLANK, _MARK, _ALNUM = (np.zeros(256, bool) for _ in range(3))
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_MARK[list(b".,!#$%&*")] = True
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def odd_blanks(data: np.ndarray) -> np.ndarray:
+    """Where white space beyond ASCII begins; it joins the runs of white space around it."""
+    at = np.flatnonzero((data == 0xC2) | (data >= 0xE1) & (data <= 0xE3))
+    if not len(at):
+        return at
+    b, c = (np.append(data, np.zeros(3, np.uint8))[at + k] for k in (1, 2))
+    a = data[at]
+    wide = (a == 0xE2) & (
+        (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F)
+    )
+    return at[(a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | wide | (a == 0xE3) & (b == 0x80) & (c == 0x80)]
+
+
+def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where words begin: white space and what follows it. Every byte is in one word.
+
+    A text with white space beyond ASCII is one word.
+    """
+    blank, letter = _BLANK[data], _ALNUM[data]
+    # Two-byte Latin letters; the two that are signs are left out.
+    latin = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    cut = np.zeros(len(data), bool)
+    cut[1:] = blank[1:] & ~blank[:-1] | _MARK[data[1:]] & letter[:-1]
+    cut[2:] |= _MARK[data[2:]] & latin[:-1]
+    for k in np.unique(np.searchsorted(offsets, odd_blanks(data), "right") - 1).tolist():
+        cut[offsets[k] : offsets[k + 1]] = False
+    cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    return np.flatnonzero(cut)
 
 
 class CachedEncoder:
@@ -52,34 +82,50 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
-        return [array("I", e.ids).tobytes() for e in found]
-
-    def __call__(self, texts: Sequence[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        odd = [i for i, t in enumerate(texts) if not t.isascii() and _ODD_BLANK.search(t)]
-        cut = [_CHUNK.findall(t) for t in texts]
-        words = list(chain.from_iterable(cut))
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words, as little-endian 32-bit integers."""
         if len(self.known) > CACHED_WORDS:
             self.known, self.older = {}, self.known
-        known = self.known
-        got = list(map(known.get, words))
+        got = list(map(self.known.get, words))
         gaps = [k for k, ids in enumerate(got) if ids is None]
-        missing = {words[k] for k in gaps}
-        met = missing & self.older.keys()
-        known.update((w, self.older[w]) for w in met)
-        new = list(missing - met)
-        known.update(zip(new, self._ids(new)))
+        new = []
         for k in gaps:
-            got[k] = known[words[k]]
-        parts = iter(got)
-        out = [b"".join(islice(parts, len(c))) for c in cut]
-        for i, ids in zip(odd, self._ids([texts[i] for i in odd])):
-            out[i] = ids
+            got[k] = self.older.get(words[k])
+            if got[k] is None:
+                new.append(k)
+        if new:
+            found = self.tokenizer.encode_batch_fast([words[k].decode() for k in new], add_special_tokens=False)
+            for k, e in zip(new, found):
+                got[k] = array("I", e.ids).tobytes()
+        self.known.update((words[k], got[k]) for k in gaps if len(words[k]) <= LONG_WORD)
+        return got
+
+    def column(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first text, ids, ids of each text) for runs of texts of bounded size."""
+        for i, data, offsets in text_slices(texts, ENCODED_AT_ONCE):
+            start = word_starts(data, offsets)
+            bounds = pa.py_buffer(np.append(start, len(data)).astype(np.int64))
+            words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, bounds, pa.py_buffer(data)])
+            coded = words.dictionary_encode()
+            ids = self._ids(coded.dictionary.to_pylist())
+            each = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            pool, which = np.frombuffer(b"".join(ids), "<u4"), coded.indices.to_numpy()
+            n = each[which]
+            ends = np.cumsum(n)
+            first = np.cumsum(each) - each
+            # The ids of each word lie together in the pool; texts take them word by word.
+            at = np.repeat(first[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+            total = np.concatenate(([0], ends))[np.searchsorted(start, offsets)]
+            yield i, pool[at], np.diff(total)
+
+    def __call__(self, texts: Sequence[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        out = []
+        for _, ids, counts in self.column(pa.array(texts, pa.string())):
+            out += [p.tobytes() for p in np.split(ids, np.cumsum(counts)[:-1])]
         return out
 
 
@@ -158,14 +204,13 @@ def write_tokens(
         from pyspark import TaskContext
 
         encode, part = encoder(tokenizer), TaskContext.get().partitionId()
-        stop = np.array([end_id], "<u4").tobytes()
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         names: list[int | None] = []
         sizes: list[int] = []
-        block = before = 0
+        block = before = waiting = 0
 
         def out():
-            table, control, data = pack(np.frombuffer(b"".join(held), "<u4"))
+            table, control, data = pack(np.concatenate(held))
             row = {
                 "part": part, "block": block, "before": before, "n_tokens": sum(sizes), "doc_ids": list(names), "counts": list(sizes),
                 "id_table": table, "control": control, "data": data,
@@ -178,16 +223,21 @@ def write_tokens(
             ("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
             ("counts", pa.list_(pa.int64())), ("id_table", pa.binary()), ("control", pa.binary()), ("data", pa.binary()),
         ])
-        waiting = 0
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for i in range(0, len(ids), TEXTS_AT_ONCE):
-                texts = batch.column(1).slice(i, TEXTS_AT_ONCE).to_pylist()
-                for name, got in zip(ids[i : i + TEXTS_AT_ONCE], encode(texts)):
-                    held.append(got + stop)
-                    names.append(name)
-                    sizes.append(len(held[-1]) // 4)
-                    waiting += sizes[-1]
+            for i, tokens, counts in encode.column(batch.column(1)):
+                tokens = np.insert(tokens, np.cumsum(counts), end_id)
+                counts = counts + 1
+                ends, done = np.cumsum(counts), 0
+                while done < len(counts):
+                    # A block takes whole texts until it is large enough.
+                    at = ends[done] - counts[done]
+                    upto = min(int(np.searchsorted(ends, at + BLOCK_TOKENS - waiting)) + 1, len(counts))
+                    held.append(tokens[at : ends[upto - 1]])
+                    names += ids[i + done : i + upto]
+                    sizes += counts[done:upto].tolist()
+                    waiting += int(ends[upto - 1] - at)
+                    done = upto
                     if waiting >= BLOCK_TOKENS:
                         yield out()
                         block, before, waiting = block + 1, before + waiting, 0
