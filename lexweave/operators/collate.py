@@ -73,23 +73,33 @@ def collate_seq2seq(batches: DataFrame, pad_id: int = PAD_ID) -> DataFrame:
     return _padded(batches, {"input_ids": pad_id, "attention_mask": 0, "labels": IGNORED})
 
 
-def collate_dpo(
-    batches: DataFrame,
-    tokenizer: Tokenizer,
-    max_len: int = 512,
-    max_prompt: int = 256,
-    pad_id: int = PAD_ID,
+def encode_dpo(
+    pairs: DataFrame, tokenizer: Tokenizer, max_len: int = 512, max_prompt: int = 256
 ) -> DataFrame:
-    """Six padded columns. Prompt and answer are joined as text before tokenizing."""
+    """Three id columns for prompt, chosen and rejected. Prompt and answer are joined as text before tokenizing.
+
+    Encode before batching, so that the shuffle by batch moves cut ids and not texts.
+    """
     short, full = encoder(tokenizer, max_prompt), encoder(tokenizer, max_len)
     prompt = F.col("prompt")
-    coded = batches.withColumns(
+    return pairs.withColumns(
         {
             "prompt_input_ids": short(prompt),
             "chosen_input_ids": full(F.concat(prompt, F.col("chosen"))),
             "rejected_input_ids": full(F.concat(prompt, F.col("rejected"))),
         }
     ).drop("prompt", "chosen", "rejected")
+
+
+def collate_dpo(
+    batches: DataFrame,
+    tokenizer: Tokenizer | None = None,
+    max_len: int = 512,
+    max_prompt: int = 256,
+    pad_id: int = PAD_ID,
+) -> DataFrame:
+    """Six padded columns, of encoded pairs or, with a tokenizer, of texts."""
+    coded = batches if tokenizer is None else encode_dpo(batches, tokenizer, max_len, max_prompt)
     parts = ("prompt", "chosen", "rejected")
     masked = coded.withColumns(
         {f"{p}_attention_mask": mask(F.col(f"{p}_input_ids")) for p in parts}

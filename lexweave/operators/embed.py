@@ -12,8 +12,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import words
+
 # An embedder maps a list of texts to a float matrix, one row per text.
 Embedder = Callable[[Sequence[str]], np.ndarray]
 
@@ -52,29 +55,34 @@ def embed(
     batch: int = 32,
     into: str = "embedding",
 ) -> DataFrame:
-    """Add vectors. ``make`` runs once per Python worker for a name and definition."""
+    """Add vectors. ``make`` runs once per Python worker for a name and definition.
+
+    Only the texts go to Python and only the vectors come back.
+    """
     key = f"{name}-{hashlib.md5(cloudpickle.dumps(make)).hexdigest()}"
-    schema = T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.FloatType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("array<float>")
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         loaded = _loaded()
         if key not in loaded:
             loaded[key] = make()
         model = loaded[key]
-        for rows in batches:
-            if rows.num_rows == 0:
-                continue
-            texts = [t or "" for t in rows.column(rows.schema.get_field_index(column)).to_pylist()]
+        for column in batches:
+            texts = [t or "" for t in column.to_pylist()]
             parts = [model(texts[i : i + batch]) for i in range(0, len(texts), batch)]
-            matrix = np.concatenate(parts).astype(np.float32)
+            matrix = np.concatenate(parts).astype(np.float32) if parts else np.zeros((0, 0), np.float32)
             offsets = np.arange(len(texts) + 1, dtype=np.int32) * matrix.shape[1]
-            vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [*rows.columns, vectors], names=[*rows.schema.names, into]
-            )
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
 
-    return df.mapInArrow(run, schema)
+    return df.withColumn(into, vectors(F.col(f"`{column}`")))
 
 
 def hash_embed(df: DataFrame, column: str, dim: int = 256, into: str = "embedding") -> DataFrame:
-    return embed(df, column, lambda: HashEmbedder(dim), f"hash-{dim}", batch=1024, into=into)
+    """Token counts by hash bucket as column expressions, the values of ``HashEmbedder``."""
+    bucket = lambda t: (F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("int") % dim).cast("int")
+    tokens = words(F.lower(F.coalesce(F.col(f"`{column}`"), F.lit(""))))
+    # A count is what an array loses when its bucket is taken out.
+    count = lambda found, i: (F.size(found) - F.size(F.array_remove(found, i))).cast("float")
+    counts = lambda found: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: count(found, i))
+    # The one array in an array is worked out once, however often it is named.
+    return df.withColumn(into, F.element_at(F.transform(F.array(F.transform(tokens, bucket)), counts), 1))

@@ -22,6 +22,8 @@ from ..session import scratch_path
 SEGMENT = 1_000_000
 # Hex digits of a hash key that are counted first: at most 4,096 prefixes.
 DIGITS = 3
+# Blocks of integer keys that a table may have; keys further apart are cut at quantiles.
+MOST_BLOCKS = 1024
 # Group and segment in one struct: nulls in the group compare as equal, and the window,
 # the summary and the join all use the same partitioning.
 KEY = "__key"
@@ -133,20 +135,51 @@ def with_position(
 ) -> DataFrame:
     """1-based position by ``key``, which is unique within each group.
 
-    A string key must be a uniform hex hash (see ``seeded_key``); an integer key
-    may have any distribution.
+    A string key must be a uniform hex hash (see ``seeded_key``); a number may have any
+    distribution (see ``key_segments``).
     """
     by = by or []
-    if dict(df.dtypes)[key] == "string":
-        if not by:
-            return hash_position(df, name, key, digits, segment)[0]
-        seg = F.substring(key, 1, digits)
+    if dict(df.dtypes)[key] != "string":
+        marked = key_segments(df, by, key, segment)
+    elif not by:
+        return hash_position(df, name, key, digits, segment)[0]
     else:
-        seg = block(key, segment)
-    marked = segmented(df, by, seg)
+        # A group may hold nearly all rows, so the prefix is long enough for all of them.
+        rows = df.count()
+        digits = max(digits, math.ceil(math.log(max(rows / segment, 1), 16)))
+        marked = segmented(df, by, F.substring(key, 1, digits))
+    if not by:
+        return _placed(marked, name, [F.col(key)])
     return running(marked, by, [F.col(key)], {name: Running("count", F.lit(1))}).drop(KEY)
 
 
+def key_segments(df: DataFrame, by: list[str], key: str, segment: int = SEGMENT) -> DataFrame:
+    """Segments of a number key: blocks of consecutive keys, or ranges between quantiles.
+
+    Blocks need no pass of their own. They are right for keys that lie close together; of
+    hashed or otherwise scattered keys nearly each would be a block, so those are cut at
+    quantiles of the rows. The least and greatest key tell.
+    """
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    if low is None or (high - low) / segment < MOST_BLOCKS:
+        return segmented(df, by, block(key, segment))
+    part = "__part"
+    return segmented(range_segments(df, by, [key], part), by, F.col(part)).drop(part)
+
+
+def _placed(marked: DataFrame, name: str, order: list[Column]) -> DataFrame:
+    """Positions over all rows of a segmented table; one count per segment passes the driver."""
+    part = F.coalesce(F.col(KEY)["__segment"].cast("long"), F.lit(-(1 << 63)))
+    counts = sorted(marked.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    ends = accumulate(r["n"] for r in counts)
+    rows = [(r["part"], end - r["n"]) for r, end in zip(counts, ends)]
+    offsets = marked.sparkSession.createDataFrame(rows, "__p long, __before long")
+    placed = marked.withColumn("__p", part).drop(KEY)
+    placed = placed.withColumn("__inside", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
+    columns = [F.col(f"`{c}`") for c in marked.columns if c != KEY]
+    return placed.join(F.broadcast(offsets), "__p").select(*columns, (F.col("__before") + F.col("__inside")).alias(name))
+
+
 def range_segments(df: DataFrame, by: list[str], order: list[str], segment: str) -> DataFrame:
     """The rows as a stored table, cut at sampled quantiles of group and order into numbered segments.
 
@@ -161,21 +194,13 @@ def range_segments(df: DataFrame, by: list[str], order: list[str], segment: str)
 def position_by_range(df: DataFrame, name: str, by: list[str], order: list[str]) -> DataFrame:
     """1-based position by keys of any kind and distribution, nulls first; equal keys in any order.
 
-    The segments' counts are one row per segment; those of a table without groups pass the driver.
     """
     part = "__part"
-    stored = range_segments(df, by, order, part)
+    marked = segmented(range_segments(df, by, order, part), by, F.col(part)).drop(part)
     keys = [F.col(c) for c in order]
-    if by:
-        marked = segmented(stored, by, F.col(part))
-        return running(marked, by, keys, {name: Running("count", F.lit(1))}).drop(KEY, part)
-    counts = sorted(stored.groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect())
-    ends = accumulate(r["n"] for r in counts)
-    offsets = df.sparkSession.createDataFrame(
-        [(r[part], end - r["n"]) for r, end in zip(counts, ends)], f"{part} int, __before long"
-    )
-    placed = stored.withColumn("__inside", F.row_number().over(Window.partitionBy(part).orderBy(*keys)))
-    return placed.join(F.broadcast(offsets), part).select(*df.columns, (F.col("__before") + F.col("__inside")).alias(name))
+    if not by:
+        return _placed(marked, name, keys)
+    return running(marked, by, keys, {name: Running("count", F.lit(1))}).drop(KEY)
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:

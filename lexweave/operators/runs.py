@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import KEY, SEGMENT, Running, block, running, segmented, top_per_group
+from .ranking import KEY, SEGMENT, Running, key_segments, position_by_range, running, top_per_group
 
 
 def log_metrics(log: DataFrame, path: str) -> None:
@@ -30,12 +30,20 @@ def latest_metrics(log: DataFrame, unique_steps: bool = False) -> DataFrame:
 def compare_runs(
     log: DataFrame, runs: DataFrame, metrics: list[str] | None = None, unique_steps: bool = False
 ) -> DataFrame:
-    """One row per run: its name, status, start, and the latest value per metric named."""
+    """One row per run: its name, status, start, and the latest value per metric named.
+
+    A metric that no run has gets no column; one pass over the names alone finds those.
+    """
     summary = runs.select("run_id", "run_name", "status", "start_time")
     if not metrics:
         return summary
-    latest = latest_metrics(log.where(F.col("metric").isin(metrics)), unique_steps)
-    wide = latest.groupBy("run_id").pivot("metric", metrics).agg(F.first("value"))
+    mine = log.where(F.col("metric").isin(metrics))
+    there = {r["metric"] for r in mine.select("metric").distinct().collect()}
+    known = [m for m in metrics if m in there]
+    if not known:
+        return summary
+    latest = latest_metrics(mine, unique_steps)
+    wide = latest.groupBy("run_id").pivot("metric", known).agg(F.first("value"))
     return summary.join(wide, "run_id", "left")
 
 
@@ -44,6 +52,13 @@ def order_runs(runs: DataFrame, metric: str, maximize: bool = False) -> list[Col
     return [m.desc_nulls_last() if maximize else m.asc_nulls_last(), F.col("run_id")]
 
 
+def placed_runs(runs: DataFrame, metric: str, maximize: bool = False, name: str = "place") -> DataFrame:
+    """The runs with their place in the order by a metric, for any number of runs."""
+    m = F.col(metric)
+    keyed = runs.withColumns({"__none": m.isNull(), "__by": -m if maximize else m})
+    return position_by_range(keyed, name, [], ["__none", "__by", "run_id"]).drop("__none", "__by")
+
+
 def best_run(
     log: DataFrame,
     metric: str = "eval_loss",
@@ -99,7 +114,7 @@ def early_stop(
     by = ["run_id", "metric"]
     score = -F.col("value") if maximize else F.col("value")
     # One shuffle, by segment, serves the values per step and both running passes.
-    steps = segmented(log, by, block("step", segment)).repartition(KEY)
+    steps = key_segments(log, by, "step", segment).repartition(KEY)
     if not unique_steps:
         value = F.max_by("value", F.struct("ts", "value")).alias("value")
         steps = steps.groupBy(KEY, *by, "step").agg(value)
@@ -166,29 +181,35 @@ def flatten_params(runs: DataFrame, run: str, column: str) -> DataFrame:
     """Nested configurations → run, dotted key, value, type; only plain scalars are kept.
 
     A key may hold an object in one row and a scalar in another. A text that is no JSON
-    object has no parameters. Objects are opened level by level in one chain; before it,
-    one number, the greatest depth, is read from the texts.
+    object has no parameters. Each row opens its own objects, level by level inside one
+    expression, as often as its text is deep: the plan does not depend on the rows.
     """
     kinds = {
         "STRING": "str", "BIGINT": "int", "DOUBLE": "float", "FLOAT": "float", "BOOLEAN": "bool"
     }
     entry_type = "array<struct<key:string,value:variant>>"
-    fields = F.map_entries(F.try_variant_get("value", "$", "map<string,variant>"))
-    parsed = runs.select(run, F.try_parse_json(column).alias("value"), F.lit("").alias("key"))
-    deepest = runs.where(F.try_parse_json(column).isNotNull()).agg(F.max(_depth(column))).first()[0]
-    rows = parsed.where(fields.isNotNull())
-    for _ in range(deepest or 0):
-        opened = F.transform(
-            fields,
-            lambda e: F.struct(
-                F.when(F.col("key") != "", F.concat("key", F.lit("."), e["key"]))
-                .otherwise(e["key"]).alias("key"),
-                e["value"].alias("value"),
+
+    def fields(value: Column) -> Column:
+        return F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+
+    def opened(entry: Column) -> Column:
+        named = F.transform(
+            fields(entry["value"]),
+            lambda f: F.struct(
+                F.when(entry["key"] != "", F.concat(entry["key"], F.lit("."), f["key"]))
+                .otherwise(f["key"]).alias("key"),
+                f["value"].alias("value"),
             ),
         )
-        itself = F.array(F.struct("key", "value"))
-        entries = F.coalesce(opened.cast(entry_type), itself.cast(entry_type))
-        rows = rows.select(run, F.explode(entries).alias("p")).select(run, "p.key", "p.value")
+        return F.coalesce(named.cast(entry_type), F.array(entry).cast(entry_type))
+
+    parsed = runs.select(run, F.try_parse_json(column).alias("value"), _depth(column).alias("depth"))
+    parsed = parsed.where(fields(F.col("value")).isNotNull())
+    whole = F.array(F.struct(F.lit("").alias("key"), F.col("value").alias("value"))).cast(entry_type)
+    entries = F.aggregate(
+        F.sequence(F.lit(1), F.col("depth")), whole, lambda found, _: F.flatten(F.transform(found, opened)).cast(entry_type)
+    )
+    rows = parsed.select(run, F.explode(entries).alias("p")).select(run, "p.key", "p.value")
     kind = F.schema_of_variant("value")
     plain = F.when(kind.startswith("DECIMAL"), F.lit("float"))
     for spark_type, tag in kinds.items():

@@ -59,6 +59,18 @@ def _distances(rows: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray
     return np.round(found, DECIMALS)
 
 
+def _probed(
+    rows: np.ndarray, cells: np.ndarray, queries: np.ndarray, probes: np.ndarray, metric: str
+) -> np.ndarray:
+    """Distances of each cell's rows to the queries that ask for it; the others stay infinite."""
+    scores = np.full((len(rows), len(queries)), np.inf)
+    for cell in np.unique(cells):
+        mine, asked = np.flatnonzero(cells == cell), np.flatnonzero(probes[:, cell])
+        if len(asked):
+            scores[np.ix_(mine, asked)] = _distances(rows[mine], queries[asked], metric)
+    return scores
+
+
 def _trim(hits: pd.DataFrame, k: int) -> pd.DataFrame:
     ordered = hits.sort_values(["q", "score", "item"]).drop_duplicates(["q", "item"])
     return ordered.groupby("q", sort=False).head(k)
@@ -85,10 +97,10 @@ def _best_hits(
                 kept = ~items.duplicated().to_numpy()
                 rows, items = rows.filter(pa.array(kept)), items[kept]
             items = items.to_numpy()
-            scores = _distances(_matrix(rows.column(1)), queries, metric)
-            if probes is not None:
-                cells = rows.column(2).to_numpy(zero_copy_only=False)
-                scores = np.where(probes[:, cells].T, scores, np.inf)
+            if probes is None:
+                scores = _distances(_matrix(rows.column(1)), queries, metric)
+            else:
+                scores = _probed(_matrix(rows.column(1)), rows.column(2).to_numpy(), queries, probes, metric)
             kth = np.partition(scores, min(k, len(scores)) - 1, axis=0)[min(k, len(scores)) - 1]
             row, query = np.nonzero((scores <= np.minimum(bound, kth)) & np.isfinite(scores))
             if not len(row):
@@ -123,6 +135,7 @@ def _block(
     columns = [item_id, vector] + (["cell"] if probe else [])
     if probe:
         wanted = np.flatnonzero(probes.any(axis=0)).tolist()
+        # On a table written by cell these are partition filters.
         corpus = corpus.where(F.col("cell").isin(wanted))
     shipped = corpus.sparkSession.sparkContext.broadcast((ids, matrix, probes))
 

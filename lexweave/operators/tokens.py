@@ -11,11 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..session import scratch_path
 
 PAD_ID = 0
 UNK_ID = 1
 FIRST_ID = 2
-MAX_VOCAB = 1_000_000
+# Tokens that a driver and each Python worker can hold as one table.
+DRIVER_TOKENS = 1_000_000
+# Leading bits that tell counts apart in the histogram.
+LEVEL_BITS = 7
 
 
 class Tokenizer(Protocol):
@@ -37,33 +41,53 @@ class WordTokenizer:
 
 
 def vocabulary(df: DataFrame, column: str, size: int = 30_000) -> DataFrame:
-    """The most frequent tokens (ties by token) with ids by rank."""
-    if not 0 < size <= MAX_VOCAB:
-        raise ValueError(f"a vocabulary has 1 to {MAX_VOCAB} tokens, not {size}")
-    counts = (
-        df.select(F.explode(words(column)).alias("token"))
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("n"))
+    """The most frequent tokens (ties by token) with ids by rank, for any size.
+
+    The counts are stored once. How many tokens have which count is a histogram of a few
+    thousand rows at most, with counts that agree in their leading bits taken together: it tells
+    which counts can be in, and at which rank each starts. Only those tokens are sorted, each
+    group of counts by itself.
+    """
+    if size <= 0:
+        raise ValueError(f"a vocabulary has one token at least, not {size}")
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "token-counts")
+    df.select(F.explode(words(column)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")) \
+        .write.parquet(path)
+    counts = spark.read.schema("token string, n long").parquet(path)
+    grouped = counts.withColumn("level", count_level(F.col("n")))
+    levels = sorted(grouped.groupBy("level").agg(F.count(F.lit(1)).alias("tokens")).collect(), reverse=True)
+    starts, at = [], 0
+    for r in levels:
+        if at >= size:
+            break
+        starts.append((r["level"], at))
+        at += r["tokens"]
+    offsets = spark.createDataFrame(starts, "level long, before long")
+    place = F.row_number().over(Window.partitionBy("level").orderBy(F.col("n").desc(), F.col("token").asc()))
+    ranked = grouped.join(F.broadcast(offsets), "level").withColumn("place", F.col("before") + place)
+    return ranked.where(F.col("place") <= size).select(
+        "token", "n", (F.col("place") - 1 + FIRST_ID).cast("int").alias("token_id")
     )
-    order = [F.col("n").desc(), F.col("token").asc()]
-    top = counts.orderBy(*order).limit(size)
-    # One task ranks the kept tokens, ``size`` rows at most.
-    rank = F.row_number().over(Window.orderBy(*order))
-    return top.select("token", "n", (rank - 1 + FIRST_ID).cast("int").alias("token_id"))
-
-
-def load_tokenizer(vocab: DataFrame) -> WordTokenizer:
-    """Bring a vocabulary, bounded by its size, to the driver."""
-    rows = vocab.select("token", "token_id").limit(MAX_VOCAB + 1).collect()
-    if len(rows) > MAX_VOCAB:
-        raise ValueError(f"the vocabulary has over {MAX_VOCAB} tokens")
+
+
+def count_level(n: Column) -> Column:
+    """A number that rises with a count and is shared by counts with the same length and leading bits."""
+    bits = F.length(F.bin(n))
+    shift = F.greatest(bits - LEVEL_BITS, F.lit(0))
+    return bits.cast("long") * (1 << LEVEL_BITS) + F.call_function("shiftright", n, shift)
+
+
+def load_tokenizer(vocab: DataFrame, most: int = DRIVER_TOKENS) -> WordTokenizer:
+    """Bring a vocabulary to the driver; one of over ``most`` tokens is for ``lookup_ids``."""
+    rows = vocab.select("token", "token_id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} tokens: look them up with a join")
     return WordTokenizer({r["token"]: r["token_id"] for r in rows})
 
 
 def lookup_ids(tokens: DataFrame, vocab: DataFrame, unk_id: int = UNK_ID) -> DataFrame:
-    """Add ``token_id``; ``vocab`` is bounded by its size and may be broadcast."""
-    known = F.broadcast(vocab.select("token", "token_id"))
-    joined = tokens.join(known, "token", "left")
+    """Add ``token_id``. Spark broadcasts a small vocabulary and splits frequent tokens otherwise."""
+    joined = tokens.join(vocab.select("token", "token_id"), "token", "left")
     return joined.withColumn("token_id", F.coalesce("token_id", F.lit(unk_id)))
 
 

@@ -73,6 +73,28 @@ def fold_context(
     return spoken.groupBy(run).agg(context.alias("context"))
 
 
+def agent_step(state: DataFrame, agent: Column | str, response: Column | str) -> DataFrame:
+    """The states after one agent's response: messages, context and final_output, other columns as they were.
+
+    ``messages`` (role, content) gains ``[agent]: response`` as an assistant message; the
+    context entry ``{agent}_output`` gets the response, in its old place if it was there;
+    the response is the final output. A null list counts as empty, a null response as no text.
+    """
+    agent = F.lit(agent) if isinstance(agent, str) else agent
+    said = F.coalesce(F.col(response) if isinstance(response, str) else response, F.lit(""))
+    message = F.struct(F.lit("assistant").alias("role"), F.concat(F.lit("["), agent, F.lit("]: "), said).alias("content"))
+    entry = F.struct(F.concat(agent, F.lit("_output")).alias("key"), said.alias("value"))
+    listed = lambda name, one: F.coalesce(F.col(name), F.array().cast(f"array<struct<{one}>>"))
+    context = listed("context", "key:string,value:string")
+    there = F.exists(context, lambda e: e["key"] == entry["key"])
+    replaced = F.transform(context, lambda e: F.when(e["key"] == entry["key"], entry).otherwise(e))
+    return state.withColumns({
+        "messages": F.concat(listed("messages", "role:string,content:string"), F.array(message)),
+        "context": F.when(there, replaced).otherwise(F.concat(context, F.array(entry))),
+        "final_output": said,
+    })
+
+
 def recent_messages(
     df: DataFrame, run: str, n: int = 5, turn: str = "turn"
 ) -> DataFrame:

@@ -126,6 +126,25 @@ def fold_context(spark, d):
     return folded.select("conv_id", render.context_lines(F.col("context")).alias("context"))
 
 
+@query(f"""WITH {STATES}, told AS (
+  SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS chat,
+         max(text) FILTER (WHERE role = 'assistant') IS NOT NULL AS known FROM conversations GROUP BY conv_id),
+listed AS (SELECT conv_id, string_agg(role || '_output: ' || CASE WHEN role = 'assistant' THEN 'step of ' || conv_id ELSE value END,
+  chr(10) ORDER BY first) AS context FROM spoken GROUP BY conv_id)
+SELECT conv_id, chat || chr(10) || 'assistant: [assistant]: step of ' || conv_id AS messages,
+  context || CASE WHEN known THEN '' ELSE chr(10) || 'assistant_output: step of ' || conv_id END AS context,
+  'step of ' || conv_id AS final_output
+FROM told JOIN listed USING (conv_id)""")
+def agent_step(spark, d):
+    """One more step of the agent named assistant, after each conversation."""
+    states = agent_states(spark, d).join(_messages(spark, d), "conv_id")
+    stepped = traces.agent_step(states, "assistant", F.concat(F.lit("step of "), F.col("conv_id").cast("string")))
+    return stepped.select(
+        "conv_id", render.render_roles(F.col("messages")).alias("messages"),
+        render.context_lines(F.col("context")).alias("context"), "final_output",
+    )
+
+
 @query(f"""WITH {STATES} SELECT conv_id, 'Task: ' || any_value(task) || chr(10) || chr(10) || 'Context:'
   || chr(10) || string_agg(role || '_output: ' || value, chr(10) ORDER BY first) AS prompt
 FROM spoken JOIN tasks USING (conv_id) GROUP BY conv_id""")

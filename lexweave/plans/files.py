@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DatasetConfig, ReadConfig, RetrievalConfig
 from ..operators.split import split
 from ..sources import collections, readers, writers
 from ..session import scratch_path
+from .chunk_sql import recursive_chunks
 from .registry import query
 from .tables import INSTR, HITS, chunk_vectors, chunks, instructions, questions, table, DIM
 from ..operators.embed import hash_embed
@@ -86,10 +90,18 @@ def read_text_docs(spark, d):
 
 
 @query("""SELECT 'o_orderkey: ' || o_orderkey || chr(10) || 'o_orderstatus: ' || o_orderstatus || chr(10)
-  || 'o_orderpriority: ' || o_orderpriority AS content FROM orders""")
+  || 'o_orderpriority: ' || o_orderpriority AS content, o_orderstatus AS status,
+  (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1)::VARCHAR AS row FROM orders""")
 def read_csv_docs(spark, d):
+    """Each row with its file, named by what the file holds, and its place in the file."""
     orders = table(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority")
-    return readers.load_documents(spark, _write_csv(orders, "csvdocs"), "csv").select("content")
+    # One file per status, sorted, so that a row's place in its file is known.
+    files = orders.withColumn("status", F.col("o_orderstatus")).repartition("status").sortWithinPartitions("status", "o_orderkey")
+    path = scratch_path(spark, "csvdocs")
+    files.write.partitionBy("status").options(header=True, quote='"', escape='"').csv(path)
+    docs = readers.load_documents(spark, path, "csv")
+    status = F.regexp_extract(F.col("metadata")["source"], "status=([A-Z])/", 1)
+    return docs.select("content", status.alias("status"), F.col("metadata")["row"].alias("row"))
 
 
 @query("SELECT page_id::VARCHAR AS page_id, octet_length(encode(html))::BIGINT + 1 AS length FROM pages")
@@ -108,28 +120,29 @@ def attach_images(spark, d):
 @query(f"""WITH {INSTR}, kept AS (
   SELECT DISTINCT instruction, input, output FROM instr
   WHERE length(instruction) BETWEEN 10 AND 10000 AND length(output) BETWEEN 10 AND 10000),
-n AS (SELECT count(*) AS n FROM kept),
-s AS (SELECT n, floor(0.8::DOUBLE * n)::BIGINT AS a FROM n),
-t AS (SELECT n, a, floor((n - a) * 0.5::DOUBLE)::BIGINT AS b FROM s)
-SELECT 'train' AS split, a AS rows FROM t UNION ALL
-SELECT 'validation', b FROM t UNION ALL SELECT 'test', n - a - b FROM t""")
+named AS (SELECT *, sha256(to_json([instruction, coalesce(input, chr(0)), output])::VARCHAR) AS row_id FROM kept),
+ordered AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || row_id)) AS pos, count(*) OVER () AS n FROM named),
+sized AS (SELECT *, floor(0.8::DOUBLE * n)::BIGINT AS a FROM ordered)
+SELECT instruction, input, output, CASE WHEN pos <= a THEN 'train'
+  WHEN pos <= a + floor((n - a) * 0.5::DOUBLE)::BIGINT THEN 'validation' ELSE 'test' END AS split FROM sized""")
 def load_dataset(spark, d):
     path = _write_csv(instructions(spark, d).select("instruction", "input", "output"), "dataset")
-    rows = readers.load_dataset(spark, DatasetConfig(train_file=path))
-    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    return readers.load_dataset(spark, DatasetConfig(train_file=path))
 
 
 @query("""WITH ordered AS (
   SELECT doc_id, lang, row_number() OVER (ORDER BY md5('42:' || doc_id)) AS pos, count(*) OVER () AS n
   FROM documents),
 sized AS (SELECT *, floor(0.8::DOUBLE * n)::BIGINT AS a FROM ordered)
-SELECT doc_id, lang FROM sized
-WHERE pos > a AND pos <= a + floor((n - a) * 0.5::DOUBLE)::BIGINT""")
+SELECT doc_id, lang, CASE WHEN pos <= a THEN 'train'
+  WHEN pos <= a + floor((n - a) * 0.5::DOUBLE)::BIGINT THEN 'validation' ELSE 'test' END AS split FROM sized""")
 def write_dataset(spark, d):
-    """Written by split; reading one split back touches its folder alone."""
+    """Written by split; each split read back from its folder alone."""
     path = scratch_path(spark, "splits")
     writers.write_dataset(split(table(spark, d, "documents", "doc_id", "lang"), ["doc_id"]), path)
-    return spark.read.parquet(path).where(F.col("split") == "validation").drop("split")
+    written = spark.read.parquet(path)
+    parts = (written.where(F.col("split") == name) for name in ("train", "validation", "test"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _texts(spark, d):
@@ -175,7 +188,9 @@ def clear_collection(spark, d):
     return counted("cleared").union(counted("kept")).union(counted("added_again"))
 
 
-@query()
+@query(f"""WITH RECURSIVE page AS (SELECT page_id, html || chr(10) AS body FROM pages),
+{recursive_chunks('page', 'page_id', 'body')}
+SELECT page_id::VARCHAR AS page_id, chunk_no::INTEGER AS chunk_no, content FROM cut""")
 def ingest_documents(spark, d):
     """Page files loaded, cut, embedded and stored; one row per stored chunk."""
     root = scratch_path(spark, "store")

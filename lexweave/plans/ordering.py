@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import preview as preview_of
-from ..operators import ranking
+from ..operators import collate, ranking
 from .preparation import LINE_IDS, LINE_KEY
 from .registry import query
 from .tables import table
@@ -25,6 +25,22 @@ def group_position(spark, d):
     return ranking.with_position(events, "pos", "event_id", by=["user_id"])
 
 
+# A number that is spread over 60 bits, as hashed ids are.
+_SCATTERED = "('0x' || substr(md5(event_id::VARCHAR), 1, 15))::BIGINT"
+
+
+@query(f"""SELECT event_id, row_number() OVER (ORDER BY {_SCATTERED}) AS pos,
+  row_number() OVER (PARTITION BY user_id ORDER BY {_SCATTERED}) AS user_pos,
+  (row_number() OVER (ORDER BY {_SCATTERED}) - 1) // 32 AS batch_id FROM events""")
+def scattered_positions(spark, d):
+    """Positions and ordered batches by hashed integer ids, over all rows and per user."""
+    key = F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 15), 16, 10).cast("long")
+    events = table(spark, d, "events", "event_id", "user_id").withColumn("key", key)
+    placed = ranking.with_position(events, "pos", "key")
+    placed = ranking.with_position(placed, "user_pos", "key", by=["user_id"])
+    return collate.assign_batches(placed, ["key"], 32, shuffle=False).drop("key", "user_id")
+
+
 @query("SELECT o_orderkey, 1::BIGINT AS rows_of_id FROM orders")
 def row_ids(spark, d):
     # Straight from the scan, whose order is fixed.

@@ -84,7 +84,7 @@ def absent_columns(spark, d):
     return formats.to_instruction(docs, COLUMNS)
 
 
-@query(f"WITH {PREF} SELECT prompt, chosen, rejected FROM pref")
+@query(f"WITH {PREF} SELECT prompt, coalesce(chosen, '') AS chosen, coalesce(rejected, '') AS rejected FROM pref")
 def to_preference(spark, d):
     return formats.to_preference(preferences(spark, d), PAIRS)
 
@@ -222,7 +222,7 @@ def split_sizes(spark, d):
     return split_counts(split(_lines(spark, d), LINE_IDS))
 
 
-@query(f"""WITH {PREF} SELECT doc_id, 'PROMPT ' || prompt || ' {{chosen}} ' || chosen AS text FROM pref""")
+@query(f"""WITH {PREF} SELECT doc_id, 'PROMPT ' || prompt || ' {{chosen}} ' || coalesce(chosen, '') AS text FROM pref""")
 def literal_braces(spark, d):
     rows = preferences(spark, d)
     body = render.fill(

@@ -10,10 +10,13 @@ from ..functions.render import QA_TEMPLATE
 from ..functions import render, text, vectors as vec
 from ..operators import chunk, embed, evaluate, grounding, search
 from ..operators.grounding import REFINE_TEMPLATE
+from ..session import scratch_path
+from ..sources import vector_index
+from .chunk_sql import recursive_chunks
 from .registry import query
 from .tables import (
-    CENTRES, CHUNKS, HITS, INSTR, chunk_vectors, chunks, instructions, joined, label_centres,
-    question_vectors, questions, table, vectors,
+    CENTRES, CHUNKS, DIM, HITS, INSTR, chunk_vectors, chunks, instructions, joined, label_centres,
+    question_vectors, questions, stored_chunks, table, vectors,
 )
 
 
@@ -22,7 +25,9 @@ def chunk_fixed(spark, d):
     return chunks(spark, d)
 
 
-@query()
+@query(f"""WITH RECURSIVE {recursive_chunks('documents', 'doc_id', 'text')}
+SELECT doc_id, lang, chunk_no::INTEGER AS chunk_no, content, sha256(concat_ws(chr(10), doc_id, chunk_no, content)) AS chunk_id
+FROM cut JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)""")
 def chunk_recursive(spark, d):
     docs = table(spark, d, "documents", "doc_id", "lang", "text")
     return chunk.with_chunk_id(chunk.chunk_recursive(docs, "text"), "doc_id")
@@ -102,16 +107,18 @@ def centre_distances(spark, d):
     )
 
 
-def _hits(spark, d):
+def _hits(spark, d, store=None):
     return search.nearest(
-        question_vectors(spark, d), chunk_vectors(spark, d),
+        question_vectors(spark, d), chunk_vectors(spark, d) if store is None else store,
         query_id="query_id", item_id="chunk_id", metric="unit_l2",
     )
 
 
 def _sourced(spark, d):
+    """Hits with their chunks: the chunks are stored once, and read for vectors and for content."""
+    store = stored_chunks(spark, d)
     most = questions(spark, d).count() * 4
-    return search.attach_sources(_hits(spark, d), chunks(spark, d), "chunk_id", most)
+    return search.attach_sources(_hits(spark, d, store), store.drop("embedding"), "chunk_id", most)
 
 
 @query(f"WITH {HITS} SELECT query_id, rank, round(score, 6) AS score, chunk_id FROM hits")
@@ -135,8 +142,13 @@ def top_sources(spark, d):
     return shown.select("query_id", "rank", "doc_id", text.preview("content", 100).alias("content"))
 
 
-def _sql_mmr(k: int = 4, fetch_k: int = 20, weight: float = 0.5) -> str:
-    """One step per pick: likeness to the query against likeness to what is picked."""
+def _sql_mmr(
+    head: str, scored: str, asked: str, item: str, k: int = 4, fetch_k: int = 20, weight: float = 0.5
+) -> str:
+    """One step per pick: likeness to the query against likeness to what is picked.
+
+    ``scored`` gives the query, the item, its vector v and the distance score.
+    """
     cos = (
         "list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a}) * list_dot_product({b}, {b}))"
     )
@@ -161,18 +173,18 @@ def _sql_mmr(k: int = 4, fetch_k: int = 20, weight: float = 0.5) -> str:
         f"SELECT label, rank, round(1 - likeness, 6) AS score, vec_id FROM pick{i}"
         for i in range(1, k + 1)
     )
-    return f"""WITH {CENTRES},
-scored AS (
-  SELECT label, vec_id, v, round({_COS}, 9) AS score FROM centres,
-    (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) e),
+    found = f"""{head}, likened AS ({scored}),
 cand AS (
   SELECT label, vec_id, v, 1 - score AS likeness,
     row_number() OVER (PARTITION BY label ORDER BY score, vec_id) AS place
-  FROM scored QUALIFY place <= {fetch_k}),
+  FROM likened QUALIFY place <= {fetch_k}),
 {', '.join(steps)} {picks}"""
+    return found.replace("label", asked).replace("vec_id", item)
 
 
-@query(_sql_mmr())
+@query(_sql_mmr(f"WITH {CENTRES}", f"""
+  SELECT label, vec_id, v, round({_COS}, 9) AS score FROM centres,
+    (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) e""", "label", "vec_id"))
 def mmr_search(spark, d):
     hits = search.mmr(
         label_centres(spark, d), vectors(spark, d), query_id="label", item_id="vec_id"
@@ -180,21 +192,67 @@ def mmr_search(spark, d):
     return hits.withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(_sql_mmr(f"""WITH {HITS}, near AS (
+  SELECT query_id, chunk_id, round(1 - dot / sqrt(k.n * q.n), 9) AS score
+  FROM dots JOIN chunk_norms k USING (chunk_id) JOIN question_norms q USING (query_id)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) <= 20),
+dense AS (
+  SELECT chunk_id, list(coalesce(c, 0)::DOUBLE ORDER BY b) AS v
+  FROM (SELECT DISTINCT chunk_id FROM near) n CROSS JOIN (SELECT unnest(range({DIM})) AS b) r
+  LEFT JOIN (SELECT chunk_id, bucket AS b, c FROM chunk_counts) USING (chunk_id, b) GROUP BY chunk_id)""",
+    "SELECT query_id, chunk_id, v, score FROM near JOIN dense USING (chunk_id)", "query_id", "chunk_id"))
 def mmr_text_search(spark, d):
-    return search.mmr(
+    hits = search.mmr(
         question_vectors(spark, d), chunk_vectors(spark, d), RetrievalConfig("mmr"),
         query_id="query_id", item_id="chunk_id",
     )
+    return hits.withColumn("score", F.round("score", 6))
+
+
+def _vector_index(spark, d):
+    """The vectors of a table in a fresh index: half of them at first, half added later."""
+    path = scratch_path(spark, "index")
+    corpus = vectors(spark, d)
+    early = F.col("vec_id") % 2 == 0
+    vector_index.create_index(corpus.where(early), path, item_id="vec_id")
+    vector_index.add_to_index(corpus.where(~early), path, item_id="vec_id")
+    return path
+
+
+_NAMES = {"query_id": "query_id", "item_id": "vec_id"}
+
+
+def _vector_queries(spark, d):
+    return vectors(spark, d).where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
 
 
 @query()
 def ivf_search(spark, d):
-    corpus = vectors(spark, d)
-    centres = search.train_cells(corpus, cells=16)
-    return search.nearest_in_cells(
-        label_centres(spark, d), search.assign_cells(corpus, centres), centres, nprobe=4,
-        query_id="label", item_id="vec_id",
+    path, asked = _vector_index(spark, d), _vector_queries(spark, d)
+    vector_index.calibrate(asked, path, **_NAMES)
+    return vector_index.search_index(asked, path, **_NAMES)
+
+
+@query(_sql_centre_hits(_L2))
+def ivf_full_probe(spark, d):
+    """Asking every cell of the stored index is the exact search."""
+    hits = vector_index.search_index(
+        label_centres(spark, d), _vector_index(spark, d), query_id="label", item_id="vec_id"
+    )
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@query("""SELECT 4 AS k, count(*) AS queries, 4 * count(*) AS hits, true AS recall_reached
+FROM embeddings WHERE vec_id % 100 = 0""")
+def ivf_recall(spark, d):
+    """What the calibrated search finds of the four truly nearest, over all queries."""
+    path, asked = _vector_index(spark, d), _vector_queries(spark, d)
+    vector_index.calibrate(asked, path, **_NAMES)
+    found = vector_index.search_index(asked, path, **_NAMES).select("query_id", "vec_id", F.lit(1).alias("got"))
+    exact = search.nearest(asked, vectors(spark, d), **_NAMES).join(found, ["query_id", "vec_id"], "left")
+    return exact.agg(
+        F.lit(4).alias("k"), F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("hits"),
+        (F.count("got") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"),
     )
 
 

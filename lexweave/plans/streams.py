@@ -9,6 +9,7 @@ from ..functions.render import render_roles
 from ..session import scratch_path
 from ..sources import collections
 from ..streaming import jobs
+from .chunk_sql import recursive_chunks
 from .registry import query
 from .tables import LOG, RAW, conversations, metric_log, raw, sql_strip, table
 
@@ -25,7 +26,8 @@ def _run(start, *args, **options):
     job.awaitTermination()
 
 
-@query()
+@query(f"""WITH RECURSIVE {recursive_chunks('documents', 'doc_id', 'text')}
+SELECT doc_id::VARCHAR AS source, chunk_no::INTEGER AS chunk_no, content FROM cut""")
 def stream_ingest(spark, d):
     docs = table(spark, d, "documents", "doc_id", "text").select(
         F.col("text").alias("content"),
@@ -64,7 +66,7 @@ def stream_prep(spark, d):
         jobs.stream_prep, _arriving(spark, rows, "arriving"), out,
         scratch_path(spark, "progress"), ColumnMap(),
     )
-    return spark.read.schema(rows.schema).parquet(out)
+    return jobs.clean_rows(spark, out, rows)
 
 
 @query(f"""WITH {LOG} SELECT run_id, metric, strftime(ts, '%Y-%m-%d %H') AS hour,
@@ -75,8 +77,7 @@ def stream_metrics(spark, d):
         jobs.stream_metrics, _arriving(spark, metric_log(spark, d), "arriving"), out,
         scratch_path(spark, "progress"),
     )
-    rows = jobs.current_rows(spark, out, ["run_id", "metric", "window_start"])
-    return rows.select(
+    return jobs.current_windows(spark, out).select(
         "run_id", "metric", F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "points",
         F.col("total").cast("double").alias("total"),
     )

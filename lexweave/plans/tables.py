@@ -14,7 +14,7 @@ from ..operators.joins import lookup_join
 from ..operators.ranking import with_position
 from ..operators.tokens import vocabulary
 from ..operators.traces import fold_context, next_turn_pairs
-from ..session import spread
+from ..session import scratch_path, spread
 
 DIM = 256
 VOCAB = 5000
@@ -58,7 +58,10 @@ def instructions(spark, d) -> DataFrame:
 
 
 def preferences(spark, d) -> DataFrame:
-    """The n-th good text of a source and language beside its n-th bad one, under the request for such a text."""
+    """The n-th good text of a source and language beside its n-th bad one, under the request for such a text.
+
+    Where there are more of one kind, the other text is null and the row goes by the one there is.
+    """
     docs = table(spark, d, "documents", "doc_id", "source", "lang")
     rated = docs.join(table(spark, d, "labels", "doc_id", "quality"), "doc_id")
     placed = with_position(rated, "n", "doc_id", by=["source", "lang", "quality"])
@@ -72,8 +75,8 @@ def preferences(spark, d) -> DataFrame:
     chosen = texts.withColumnRenamed("text", "chosen")
     rejected = texts.select(F.col("doc_id").alias("bad_id"), F.col("text").alias("rejected"))
     asked = F.concat(F.lit("Write a text in "), "lang", F.lit(" as found in "), "source", F.lit("."))
-    return pairs.join(chosen, "doc_id").join(rejected, "bad_id").select(
-        "doc_id", asked.alias("prompt"), "chosen", "rejected"
+    return pairs.join(chosen, "doc_id", "left").join(rejected, "bad_id", "left").select(
+        F.coalesce("doc_id", "bad_id").alias("doc_id"), asked.alias("prompt"), "chosen", "rejected"
     )
 
 
@@ -98,6 +101,14 @@ def chunk_vectors(spark, d) -> DataFrame:
     return hash_embed(chunks(spark, d).select("chunk_id", "content"), "content", DIM).drop("content")
 
 
+def stored_chunks(spark, d) -> DataFrame:
+    """The chunks with their vectors as a stored table: cut and hashed once, however often it is read."""
+    rows = hash_embed(chunks(spark, d), "content", DIM)
+    path = scratch_path(spark, "chunks")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def vectors(spark, d) -> DataFrame:
     return table(spark, d, "embeddings", "vec_id", "embedding")
 
@@ -186,9 +197,10 @@ PREF = """rated AS (
          row_number() OVER (PARTITION BY source, lang, quality ORDER BY d.doc_id) AS n
   FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
 pref AS (
-  SELECT g.doc_id, 'Write a text in ' || g.lang || ' as found in ' || g.source || '.' AS prompt, g.text AS chosen, b.text AS rejected
-  FROM rated g JOIN rated b ON g.source = b.source AND g.lang = b.lang AND g.n = b.n
-  WHERE g.quality = 1 AND b.quality = 0)"""
+  SELECT coalesce(g.doc_id, b.doc_id) AS doc_id, g.text AS chosen, b.text AS rejected,
+    'Write a text in ' || coalesce(g.lang, b.lang) || ' as found in ' || coalesce(g.source, b.source) || '.' AS prompt
+  FROM (FROM rated WHERE quality = 1) g FULL JOIN (FROM rated WHERE quality = 0) b
+    ON g.source = b.source AND g.lang = b.lang AND g.n = b.n)"""
 CHUNKS = f"""cleaned AS (
   SELECT doc_id, lang, {sql_clean('text')} AS text FROM documents),
 starts AS (

@@ -44,6 +44,14 @@ def best_run_maximize(spark, d):
     return runs.best_run(metric_log(spark, d), "signup", maximize=True, unique_steps=True)
 
 
+@query(f"""WITH {RUNS} SELECT run_id, run_name, status, start_time,
+  arg_max(value, step) FILTER (WHERE metric = 'view') AS view
+FROM run_list LEFT JOIN metric_log USING (run_id) GROUP BY ALL""")
+def compare_existing_metrics(spark, d):
+    """A metric that no run has gets no column."""
+    return runs.compare_runs(metric_log(spark, d), run_list(spark, d), ["view", "nowhere"], unique_steps=True)
+
+
 # A run's experiment is named after its first metric.
 @query(f"""WITH {RUNS}, first AS (
   SELECT run_id, arg_min(metric, step) AS experiment FROM metric_log GROUP BY run_id)
@@ -61,11 +69,12 @@ def experiment_runs(spark, d):
 
 @query(f"""WITH {RUNS}, wide AS (
   SELECT run_id, arg_max(value, step) FILTER (WHERE metric = 'view') AS view FROM metric_log GROUP BY 1)
-SELECT run_id, status, view FROM run_list JOIN wide USING (run_id) ORDER BY view DESC NULLS LAST, run_id""")
+SELECT run_id, status, view, row_number() OVER (ORDER BY view DESC NULLS LAST, run_id) AS place
+FROM run_list JOIN wide USING (run_id)""")
 def order_runs(spark, d):
-    table_ = runs.compare_runs(metric_log(spark, d), run_list(spark, d), ["view"])
-    ordered = table_.orderBy(*runs.order_runs(table_, "view", maximize=True))
-    return ordered.select("run_id", "status", "view")
+    table_ = runs.compare_runs(metric_log(spark, d), run_list(spark, d), ["view"], unique_steps=True)
+    placed = runs.placed_runs(table_, "view", maximize=True)
+    return placed.select("run_id", "status", "view", "place")
 
 
 # The stopping rule step by step: patience 3, threshold 0.001.

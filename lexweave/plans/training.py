@@ -94,8 +94,9 @@ def assign_ordered_batches(spark, d):
 
 def _coded_documents(spark, d, max_len=2048):
     tokenizer = tokens.load_tokenizer(word_ids(spark, d))
-    docs = collate.assign_batches(table(spark, d, "documents", "doc_id", "text"), ["doc_id"], 4)
-    return tokens.tokenize(docs, "text", tokenizer, max_len, keep=["doc_id", "batch_id"])
+    coded = tokens.tokenize(table(spark, d, "documents", "doc_id", "text"), "text", tokenizer, max_len, keep=["doc_id"])
+    # Dealt after coding, so that cut ids move and the texts stay where they are.
+    return collate.assign_batches(coded, ["doc_id"], 4)
 
 
 _DOC_BATCHES = f"""{VOCABULARY}, {_sql_ids('documents', 'doc_id', 'text', 2048, 'coded')},
@@ -136,12 +137,11 @@ SELECT conv_id, turn, batch_id, {_sql_pad('ids', 'm', 0)} AS input_ids,
   {_sql_pad('labels', 'ml', -100)} AS labels FROM sized""")
 def collate_seq2seq(spark, d):
     tokenizer = tokens.load_tokenizer(word_ids(spark, d))
-    rows = collate.assign_batches(instructions(spark, d), ["conv_id", "turn"], 4)
     encode = tokens.encoder(tokenizer, 2048)
-    coded = rows.select(
-        "conv_id", "turn", "batch_id",
-        encode("instruction").alias("input_ids"), encode("output").alias("labels"),
+    coded = instructions(spark, d).select(
+        "conv_id", "turn", encode("instruction").alias("input_ids"), encode("output").alias("labels")
     )
+    coded = collate.assign_batches(coded, ["conv_id", "turn"], 4)
     coded = coded.withColumn("attention_mask", tokens.mask(F.col("input_ids")))
     out = collate.collate_seq2seq(coded)
     return out.select(
@@ -153,10 +153,10 @@ def collate_seq2seq(spark, d):
 _DPO_PARTS = ("prompt", "chosen", "rejected")
 
 
-@query(f"""WITH {PREF}, {VOCABULARY},
-{_sql_ids('pref', 'doc_id', 'prompt', 256, 'p_ids')},
-{_sql_ids('pref', 'doc_id', 'prompt || chosen', 512, 'c_ids')},
-{_sql_ids('pref', 'doc_id', 'prompt || rejected', 512, 'r_ids')},
+@query(f"""WITH {PREF}, pairs AS (FROM pref WHERE chosen IS NOT NULL AND rejected IS NOT NULL), {VOCABULARY},
+{_sql_ids('pairs', 'doc_id', 'prompt', 256, 'p_ids')},
+{_sql_ids('pairs', 'doc_id', 'prompt || chosen', 512, 'c_ids')},
+{_sql_ids('pairs', 'doc_id', 'prompt || rejected', 512, 'r_ids')},
 rows AS (SELECT doc_id, p.ids AS prompt, c.ids AS chosen, r.ids AS rejected,
   (row_number() OVER (ORDER BY md5('42:' || doc_id)) - 1) // 2 AS batch_id
   FROM p_ids p JOIN c_ids c USING (doc_id) JOIN r_ids r USING (doc_id)),
@@ -169,8 +169,8 @@ SELECT doc_id, batch_id, {', '.join(
     for p in _DPO_PARTS)} FROM sized""")
 def collate_dpo(spark, d):
     tokenizer = tokens.load_tokenizer(word_ids(spark, d))
-    pairs = preferences(spark, d)
-    batches = collate.assign_batches(pairs, ["doc_id"], 2, drop_last=True)
-    out = collate.collate_dpo(batches, tokenizer)
+    pairs = preferences(spark, d).where("chosen IS NOT NULL AND rejected IS NOT NULL")
+    coded = collate.encode_dpo(pairs, tokenizer)
+    out = collate.collate_dpo(collate.assign_batches(coded, ["doc_id"], 2, drop_last=True))
     columns = [f"{p}_{kind}" for p in _DPO_PARTS for kind in ("input_ids", "attention_mask")]
     return out.select("doc_id", "batch_id", *(joined(c).alias(c) for c in columns))

@@ -40,6 +40,40 @@ def test_group_positions_with_a_hot_and_a_missing_group(spark):
             assert {r["i"]: r["pos"] for r in out if r["g"] == g} == {v: p + 1 for p, v in enumerate(ids)}
 
 
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_positions_of_scattered_keys(spark, plan, by):
+    rng = random.Random(5)
+    keys = list({rng.getrandbits(62) - (1 << 61) for _ in range(300)})
+    rows = [(k, "hot" if i % 4 else None if i % 8 else "cold") for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "k long, g string").repartition(5)
+    placed = ranking.with_position(df, "pos", "k", by=by)
+    shown = plan(placed)
+    assert "SinglePartition" not in shown and shown.count("__part") > 0
+    assert placed.columns == ["k", "g", "pos"]
+    for g in ("hot", "cold", None) if by else ("all",):
+        mine = sorted(k for k, group in rows if group == g or not by)
+        assert {r["k"]: r["pos"] for r in placed.collect() if r["g"] == g or not by} == {k: p + 1 for p, k in enumerate(mine)}
+
+
+def test_scattered_segments_are_bounded(spark):
+    keys = [(i * 7919 % 1000 << 50,) for i in range(1000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small segments would be one
+    try:
+        marked = ranking.key_segments(spark.createDataFrame(keys, "k long").withColumn("g", F.lit(1)), ["g"], "k")
+        sizes = [r["count"] for r in marked.groupBy(ranking.KEY).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(sizes) == 1000 and 2 <= len(sizes) <= 8 and max(sizes) < 600
+
+
+def test_position_by_range_takes_any_key(spark):
+    rows = [(None, "x"), (None, "x"), (2.5, None), (-1.0, "a"), (2.5, "b")]
+    df = spark.createDataFrame(rows, "a double, b string")
+    placed = {r["pos"]: (r["a"], r["b"]) for r in ranking.position_by_range(df, "pos", [], ["a", "b"]).collect()}
+    assert placed == {1: (None, "x"), 2: (None, "x"), 3: (-1.0, "a"), 4: (2.5, None), 5: (2.5, "b")}
+    assert ranking.position_by_range(df.limit(0), "pos", ["b"], ["a"]).collect() == []
+
+
 def test_running_values_equal_a_plain_loop(spark):
     rng = random.Random(1)
     rows = [(g, i, rng.randint(0, 50)) for g in (1, 2) for i in range(60)]

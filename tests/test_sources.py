@@ -1,5 +1,5 @@
 import csv
-import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexweave import ChunkConfig, ColumnMap, PrepConfig, RetrievalConfig, SplitConfig
 from lexweave.config import DatasetConfig, ReadConfig
 from lexweave.operators.split import split
-from lexweave.sources import collections, readers, writers
+from lexweave.sources import collections, quoted, readers, writers
 
 ROWS = [["instruction", "input", "output"], ['Say "hi", now', "", "line one\nline two"], ["q\t2", "NA", "é"]]
 
@@ -49,6 +49,62 @@ def test_tabs_headerless_encoding_and_json(spark, tmp_path):
         readers.read_table(spark, path, ReadConfig(fmt="xml"))
 
 
+@pytest.fixture
+def small_splits(spark):
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "150")
+    yield
+    spark.conf.set(key, before)
+
+
+def whole(spark, path, header=True):
+    """What one task makes of each file."""
+    return spark.read.options(header=header, multiLine=True, quote='"', escape='"').csv(path)
+
+
+@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_quoted_line_breaks_are_read_in_splits(spark, tmp_path, small_splits, seed, ending):
+    draw = random.Random(seed)
+    field = lambda: "".join(draw.choice(["a", "b ", ",", '"', "\n", "\r\n", "é", "12", " "]) for _ in range(draw.choice([0, 1, 5, 9, 9, 400 if draw.random() < 0.1 else 3])))
+    rows = [[f"c {i}" for i in range(3)]] + [[f"{i}", field(), field()] for i in range(60)]
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        with open(tmp_path / "in" / f"{k}.csv", "w", newline="", encoding="utf-8") as f:
+            csv.writer(f, lineterminator=ending).writerows(rows[: 1 + len(rows) // (k + 1)])
+    path = str(tmp_path / "in")
+    for header in (True, False):
+        got = readers.read_table(spark, path, ReadConfig(header=header))
+        # Spark turns line breaks inside quotes to plain ones where lines end in two characters; here they stay.
+        plain = lambda r: str(tuple(x and x.replace("\r\n", "\n") for x in r))
+        assert sorted(map(plain, got.collect())) == sorted(map(plain, whole(spark, path, header).collect()))
+        with open(tmp_path / "in" / "0.csv", newline="", encoding="utf-8") as f:
+            exact = {r[0]: tuple(x or None for x in r) for r in csv.reader(f)}
+        assert all(exact[r[0]] == tuple(r) for r in got.collect())
+    one = readers.read_table(spark, str(tmp_path / "in" / "0.csv"), row_id="at")
+    assert [r["c 0"] for r in one.orderBy("at").collect()] == [f"{i}" for i in range(60)]
+    splits = quoted.splits_of(spark, path, ",", "utf-8", {})
+    assert len(splits) > 10 and any(s.inside for s in splits.values())
+
+
+def test_a_header_and_a_record_over_many_splits(spark, tmp_path, small_splits):
+    path = write(tmp_path / "a.csv", [["x" * 200 + "\n" + "y" * 300, "b"], ["1", "line\n" * 200], ["2", "z"]])
+    got = readers.read_table(spark, path)
+    assert got.columns == whole(spark, path).columns
+    assert sorted(tuples(got)) == [("1", "line\n" * 200), ("2", "z")]
+
+
+def test_quotes_in_bare_fields_are_read_by_one_task(spark, tmp_path, small_splits):
+    (tmp_path / "a.csv").write_text('a,b\n5" pipe,x\n"q ""r""","s\nt"\n')
+    path = str(tmp_path / "a.csv")
+    assert quoted.splits_of(spark, path, ",", "utf-8", {}) is None
+    assert tuples(readers.read_table(spark, path)) == [('5" pipe', "x"), ('q "r"', "s\nt")]
+    (tmp_path / "b.csv").write_text('a,b\n"","x"\n"""q"," y """\n')
+    assert quoted.splits_of(spark, str(tmp_path / "b.csv"), ",", "utf-8", {}) is not None
+    assert tuples(readers.read_table(spark, str(tmp_path / "b.csv"))) == tuples(whole(spark, str(tmp_path / "b.csv")))
+
+
 def test_missing_file_fails_at_once(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         readers.read_table(spark, str(tmp_path / "none.csv"))

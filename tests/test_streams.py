@@ -59,7 +59,7 @@ def test_cleaning_equals_the_batch_result(spark, feed, tmp_path):
     for part in (a, b):
         jobs.stream_prep(feed(spark.createDataFrame(part, schema)), out, progress, ColumnMap()).awaitTermination()
     want = preprocess(spark.createDataFrame(a + b, schema), ColumnMap())
-    got = spark.read.schema(schema).parquet(out)
+    got = jobs.clean_rows(spark, out, want)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
@@ -70,7 +70,7 @@ def test_cleaning_with_event_time_drops_copies_within_the_lateness(spark, feed,
     out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
     stream = feed(spark.createDataFrame(rows, schema))
     jobs.stream_prep(stream, out, progress, ColumnMap(), event_time="ts", lateness="1 hour").awaitTermination()
-    assert spark.read.schema(schema).parquet(out).count() == 1
+    assert jobs.clean_rows(spark, out, spark.createDataFrame(rows, schema)).count() == 1
 
 
 def test_metric_windows_equal_the_batch_result(spark, feed, tmp_path):
@@ -80,20 +80,74 @@ def test_metric_windows_equal_the_batch_result(spark, feed, tmp_path):
     out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
     for part in (rows[:25], rows[25:]):
         stream = feed(spark.createDataFrame(part, schema))
-        jobs.stream_metrics(stream, out, progress, "1 hour", "1 day").awaitTermination()
-    keys = ["run_id", "metric", "window_start"]
-    got = jobs.current_rows(spark, out, keys)
+        jobs.stream_metrics(stream, out, progress, "1 hour").awaitTermination()
+    got = jobs.current_windows(spark, out)
     want = jobs.metric_windows(spark.createDataFrame(rows, schema), "1 hour")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
 
 
-def test_streams_with_one_target_keep_both_inputs(spark, tmp_path):
-    """A second checkpoint starts at batch 0 again and must not replace the first one's rows."""
-    out = str(tmp_path / "out")
-    for k in (1, 2):
+TURNS = "conv_id long, turn long, role string, text string"
+POINTS = "run_id long, metric string, step long, ts timestamp, value double"
+NOON = dt.datetime(2024, 1, 1, 12)
+
+
+def each_by_a_stream(spark, tmp_path, parts, schema, start):
+    """One stream with its own checkpoint per part, all into one target, the first one run twice."""
+    for k, rows in enumerate([*parts, parts[0]]):
+        k %= len(parts)
         source = str(tmp_path / f"in{k}")
-        spark.createDataFrame([(k, 0, "user", f"hello {k}")], "conv_id long, turn long, role string, text string") \
-            .write.parquet(source)
-        rows = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(source)
-        jobs.stream_history(rows, out, str(tmp_path / f"check{k}")).awaitTermination()
-    assert sorted(r["conv_id"] for r in jobs.current_rows(spark, out, ["conv_id", "part"]).collect()) == [1, 2]
+        spark.createDataFrame(rows, schema).write.mode("overwrite" if k else "ignore").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        start(stream, str(tmp_path / "out"), str(tmp_path / f"check{k}")).awaitTermination()
+    return str(tmp_path / "out")
+
+
+def test_streams_add_turns_to_one_conversation(spark, tmp_path):
+    parts = [[(1, 0, "user", "a"), (2, 0, "user", "x")], [(1, 1, "assistant", "b")], [(1, 5, "user", "d"), (1, 4, None, None)]]
+    out = each_by_a_stream(spark, tmp_path, parts, TURNS, lambda s, o, c: jobs.stream_history(s, o, c, part=3))
+    rows = lambda df: sorted((r["conv_id"], r["messages"]) for r in df.collect())
+    want = assemble(spark.createDataFrame(sum(parts, []), TURNS), "conv_id", part=3)
+    assert rows(jobs.current_history(spark, out)) == rows(want)
+    jobs.clear_history(spark, out)
+    assert rows(jobs.current_history(spark, out)) == []
+
+
+def test_streams_add_points_to_one_window(spark, tmp_path):
+    late = NOON - dt.timedelta(days=9)
+    parts = [[(1, "loss", 0, NOON, 1.5)], [(1, "loss", 1, NOON, 2.0), (1, "loss", 9, late, 4.0)], [(1, "loss", 2, late, 8.0)]]
+    out = each_by_a_stream(spark, tmp_path, parts, POINTS, jobs.stream_metrics)
+    want = jobs.metric_windows(spark.createDataFrame(sum(parts, []), POINTS))
+    got = jobs.current_windows(spark, out)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 2
+
+
+def test_a_fresh_checkpoint_at_the_same_path_is_another_stream(spark, feed, tmp_path):
+    """The first checkpoint is set aside, so the second stream starts at batch 0 again."""
+    schema = "content string, metadata map<string,string>"
+    root, progress = str(tmp_path / "store"), tmp_path / "progress"
+    for k in range(2):
+        source = str(tmp_path / f"docs{k}")
+        spark.createDataFrame([(f"text {k}", {"source": str(k)})], schema).write.parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        jobs.stream_ingest(stream, root, "s", str(progress)).awaitTermination()
+        progress.rename(tmp_path / f"old{k}")
+    assert {r["content"] for r in collections.open_collection(spark, root, "s").collect()} == {"text 0", "text 1"}
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([("q" * 10, None), ("r" * 10, "b"), ("r" * 10, "b")], "instruction string, output string")
+    out, read = str(tmp_path / "out"), lambda: sorted(map(str, jobs.clean_rows(spark, out, rows).collect()))
+    for stream, number in (("a", 0), ("b", 0), ("a", 0), ("a", 1), ("b", 0)):
+        jobs._add(jobs._unseen(rows, out, stream, number), out, stream, number)
+        assert read() == sorted(map(str, rows.distinct().collect()))
+
+
+def test_cleaning_keeps_no_state(spark, tmp_path):
+    schema = "instruction string, output string"
+    rows = spark.createDataFrame([("q" * 10, "a" * 10)] * 2, schema)
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    job = jobs.stream_prep(stream, str(tmp_path / "out"), str(tmp_path / "progress"), ColumnMap())
+    job.awaitTermination()
+    assert not (tmp_path / "progress" / "state").exists()
+    assert jobs.clean_rows(spark, str(tmp_path / "out"), rows).count() == 1
