@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 # A group of copies is dealt over so many tasks when its rows learn who stays; what is
 # still uneven after that is left to adaptive execution.
 SALTS = 8
@@ -46,9 +48,17 @@ def exact_groups(df: DataFrame, id_column: str = "doc_id", text: str = "text", k
 
 
 def drop_copies(df: DataFrame, id_column: str = "doc_id", text: str = "text", keep: str = "max") -> DataFrame:
-    """The rows whose text stays, one per id, with all their columns."""
+    """One row for each text, that of the id that stays, with all its columns.
+
+    Of rows stored twice, with one id and text, one stays. A row of that id with another text is
+    judged by that text.
+    """
+    own, digest, times = unused(df, "exact_id", "exact_digest", "exact_times")
     kept = (
-        exact_groups(df, id_column, text, keep).where("kept")
-        .select(F.col(id_column).alias("_kept_id")).distinct()
+        exact_groups(df.select(id_column, text), id_column, text, keep).where("kept")
+        .groupBy(F.col(id_column).alias(own), F.col("text_sha256").alias(digest)).agg(F.count(F.lit(1)).alias(times))
     )
-    return df.join(kept, F.col(id_column).eqNullSafe(F.col("_kept_id")), "left_semi")
+    same = F.col(id_column).eqNullSafe(F.col(own)) & (F.sha2(F.coalesce(F.col(text), F.lit("")), 256) == F.col(digest))
+    joined = df.join(kept, same)
+    once = joined.where(F.col(times) == 1).select(*df.columns)
+    return once.unionByName(joined.where(F.col(times) > 1).dropDuplicates([digest]).select(*df.columns))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -59,8 +60,8 @@ HOLDERS = {
     **dict.fromkeys(GROUPS | {"caption", "colgroup"}, {"table"}), "tr": GROUPS | {"table"},
     **dict.fromkeys(CELLS, GROUPS | {"tr", "table"}), "col": {"colgroup", "table"},
 }
-# Deeper elements become children of the last one at this depth.
-DEEPEST = 200
+# Deeper elements become children of the last one at this depth, as in browsers, which stop at 512.
+DEEPEST = 2000
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -389,8 +390,8 @@ def table_lines(table: Element, visible: bool) -> list[str]:
                 cells.append([])
             inner = Page()
             draw(cell, inner, lit)
-            span = _span(cell, "colspan", 100)
-            tall = _span(cell, "rowspan", 1000)
+            span = _span(cell, "colspan", 1000)
+            tall = _span(cell, "rowspan", 65534)
             if span > 1:
                 wide.append((len(grid), len(cells), span))
             for k in range(span):
@@ -429,6 +430,8 @@ def render(source: str | None) -> str:
     """The visible text of a page; nothing for null."""
     if not source:
         return ""
+    # An element is drawn by up to two calls inside those of its parent.
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 3 * DEEPEST + 1000))
     page = Page()
     root = tree(source.replace("\x00", ""))
     there, seen = shown(root, True)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import if_small, mix64
+from .common import if_small, mix64, unused
 from .graph import components
 from .substrings import LAST
 from .words import WordReader, Words, constants, shared_groups, sums_by_text
@@ -38,13 +38,13 @@ SHINGLE = 5
 SIMILARITY = 80  # percent
 WIDTH = 1.6  # the largest size of a band against its smallest
 BUCKETS = 256  # of the counts that bound the difference of two sets
-MEMBERS_AT_ONCE = 2048
+MEMBERS_AT_ONCE = 1024
 PAIRS_AT_ONCE = 1000
-PAIRS_HELD = 1_000_000
+PAIRS_HELD = 300_000
 # Of a block of a component whose pairs are all compared, and how columns of it are counted.
-SHINGLES_AT_ONCE = 1 << 20
+SHINGLES_AT_ONCE = 1 << 19
 FEW = 32
-COLUMNS_AT_ONCE = 2048
+COLUMNS_AT_ONCE = 1024
 # Before groups are compared completely: how often sets are tried, and against how many others.
 ROUNDS = 3
 TRIED = 6
@@ -153,24 +153,24 @@ def part_signatures(sets: Sets, similarity: int = SIMILARITY) -> tuple[np.ndarra
 
 
 def _described(docs: DataFrame, length: int) -> DataFrame:
-    """id, number of shingles, signature and bucket counts of each text's set."""
+    """id and text key, number of shingles, signature and bucket counts of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = WordReader(fold_case=True)
         for batch in batches:
-            for i, words in read.texts(batch.column(1)):
+            for i, words in read.texts(batch.column(2)):
                 sets = shingle_sets(words, length)
                 a, b = sets.signature()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(i, len(a)), pa.array(sets.sizes.astype(np.int64)),
+                        batch.column(0).slice(i, len(a)), batch.column(1).slice(i, len(a)), pa.array(sets.sizes.astype(np.int64)),
                         pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
                         pa.array([row.tobytes() for row in sets.buckets()], pa.binary()),
                     ],
-                    names=["id", "n", "a", "b", "counts"],
+                    names=["id", "mark", "n", "a", "b", "counts"],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, a long, b long, counts binary")
+    return docs.mapInArrow(run, "id long, mark long, n long, a long, b long, counts binary")
 
 
 def _signed(docs: DataFrame, length: int, similarity: int) -> DataFrame:
@@ -179,7 +179,7 @@ def _signed(docs: DataFrame, length: int, similarity: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, seen = WordReader(fold_case=True), set()
         for batch in batches:
-            for _, words in read.texts(batch.column(1)):
+            for _, words in read.texts(batch.column(2)):
                 sets = shingle_sets(words, length)
                 name = sets.signature()[0].view(np.int64)
                 fresh = np.array([s not in seen and not seen.add(s) for s in name.tolist()], bool)
@@ -225,8 +225,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _plausible(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs that no bound excludes."""
-    x = sets.select(F.col("class_id").alias("x"), F.col("n").alias("nx"), F.col("counts").alias("cx"))
-    y = sets.select(F.col("class_id").alias("y"), F.col("n").alias("ny"), F.col("counts").alias("cy"))
+    x = sets.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("counts").alias("cx"))
+    y = sets.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("counts").alias("cy"))
     both = pairs.join(x, "x").join(y, "y").select("x", "y", "nx", "ny", "cx", "cy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,10 +241,10 @@ def _plausible(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, length: int, similarity: int) -> DataFrame:
-    """The pairs (x, y) of documents whose sets are similar enough.
+    """The pairs (x, y) of classes whose sets are similar enough.
 
-    A text moves once for each pair it is the larger id of, and once as the smaller one,
-    whose set alone is held while the others pass. A hub of many pairs is dealt over
+    A text moves once for each pair it is the larger one of, and once as the smaller one,
+    whose set alone is held while the others pass. A text may be there twice. A hub of many pairs is dealt over
     several tasks.
     """
     hubs = pairs.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / PAIRS_AT_ONCE).cast("int").alias("salts"))
@@ -261,7 +261,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, length: int, similarity: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = WordReader(fold_case=True)
-        hub, mine = None, np.empty(0, np.uint64)
+        hub, mine, last = None, np.empty(0, np.uint64), None
         for batch in batches:
             hubs, other, ids = (batch.column(k).to_pylist() for k in range(3))
             xs, ys = [], []
@@ -269,8 +269,11 @@ def _verified(texts: DataFrame, pairs: DataFrame, length: int, similarity: int)
                 sets = shingle_sets(words, length)
                 for k in range(len(sets.sizes)):
                     own = sets.shingles[sets.first[k] : sets.first[k + 1]]
+                    again, last = last == (hubs[i + k], ids[i + k]), (hubs[i + k], ids[i + k])
                     if not other[i + k]:
                         hub, mine = hubs[i + k], own.copy()
+                    elif again:
+                        continue
                     elif hub == hubs[i + k] and len(own) and len(mine):
                         at = np.minimum(np.searchsorted(mine, own), len(mine) - 1)
                         both = int((mine[at] == own).sum())
@@ -455,6 +458,8 @@ def _links_inside(texts: DataFrame, members: DataFrame, length: int, similarity:
                         if held:
                             yield from links(key, held)
                         key, held = keys[i + k], []
+                    if held and held[-1][1] == ids[i + k]:
+                        continue  # a text that is there twice
                     held.append((block[i + k], ids[i + k], sets.shingles[sets.first[k] : sets.first[k + 1]].copy()))
         if held:
             yield from links(key, held)
@@ -475,8 +480,8 @@ class Linked:
 
 
 def _all_links(found: Linked, length: int, similarity: int, counted: bool) -> DataFrame:
-    """All links (x, y) between classes; ``counted``: (class_id, n_links) of every class that has some."""
-    of = found.component.join(found.sets.select(F.col("class_id").alias("id"), "n"), "id")
+    """All links (x, y) between classes; ``counted``: (id, n_links) of every class that has some."""
+    of = found.component.join(found.sets.select("id", "n"), "id")
     sizes = of.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("words"))
     placed = found.links.join(found.component.withColumnRenamed("id", "x"), "x")
     known = placed.groupBy("component").agg(F.count(F.lit(1)).alias("known"))
@@ -488,22 +493,25 @@ def _all_links(found: Linked, length: int, similarity: int, counted: bool) -> Da
     ends = settled.select(F.col("x").alias("id"), F.lit(1).cast("long").alias("n")).unionByName(
         settled.select(F.col("y").alias("id"), F.lit(1).cast("long").alias("n"))
     )
-    return ends.unionByName(inside).groupBy(F.col("id").alias("class_id")).agg(F.sum("n").alias("n_links"))
+    return ends.unionByName(inside).groupBy("id").agg(F.sum("n").alias("n_links"))
 
 
 def _shown(c):
     return F.when(c != LAST, c)
 
 
-def _rows(found: Linked, id_column: str, degree: DataFrame | None = None) -> DataFrame:
-    classes = found.classes.drop("counts").join(found.component, F.col("class_id") == F.col("id"), "left").drop("id")
+def _rows(found: Linked, degree: DataFrame | None = None) -> DataFrame:
+    """id, mark, n, first and least (id and mark, of the class and of the component) and n_links of all rows."""
+    classes = found.classes.drop("counts").join(found.component, "id", "left")
+    least = classes.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("least"))
+    classes = classes.join(least, "component", "left").select(
+        F.col("id").alias("class"), "a", "b", "n", "first", F.coalesce("least", "first").alias("least")
+    )
     if degree is not None:
-        classes = classes.join(degree, "class_id", "left")
-    rows = found.described.drop("counts").join(classes, ["a", "b", "n"], "left")
-    class_id = F.coalesce("class_id", "id")
-    return rows.select(
-        _shown(F.col("id")).alias(id_column), F.col("n").alias("n_shingles"), _shown(class_id).alias("class_id"),
-        _shown(F.coalesce("component", class_id)).alias("component_id"),
+        classes = classes.join(degree.withColumnRenamed("id", "class"), "class", "left")
+    itself = F.struct("id", "mark")
+    return found.described.drop("counts").join(classes, ["a", "b", "n"], "left").select(
+        "id", "mark", "n", F.coalesce("first", itself).alias("first"), F.coalesce("least", itself).alias("least"),
         *([] if degree is None else [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]),
     )
 
@@ -517,25 +525,44 @@ def similar_documents(
     id reachable over links of at least ``similarity`` percent. ``n_links`` counts the other
     classes that the class links with; ``similar_pairs`` has them. Texts are folded
     to lower case (A to Z). A text of fewer words than a shingle is one shingle; null, empty
-    and blank texts have none and link with nothing: each row is alone. A null id counts as
-    larger than all others and comes back as null. Rows that repeat an id are each other's
-    component. Sets are compared by 64-bit hashes of shingles. Other columns are ignored.
+    and blank texts have none and link with nothing: each row is alone.
+
+    Rows are told apart by their sets, not by their ids. A null id counts as larger than all
+    others, and rows that share one (or repeat an id) with different texts have nothing to do
+    with each other; ``class_id`` and ``component_id`` are null where all ids are. Sets are compared
+    by 64-bit hashes of shingles. Other columns are ignored.
     """
     found = _linked(df, id_column, text, length, similarity)
-    return _rows(found, id_column, _all_links(found, length, similarity, counted=True))
+    rows = _rows(found, _all_links(found, length, similarity, counted=True))
+    return rows.select(
+        _shown(F.col("id")).alias(id_column), F.col("n").alias("n_shingles"), _shown(F.col("first.id")).alias("class_id"),
+        _shown(F.col("least.id")).alias("component_id"), "n_links",
+    )
 
 
 def similar_pairs(
     df: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = SHINGLE, similarity: int = SIMILARITY
 ) -> DataFrame:
-    """Every link of ``similar_documents`` once: class_id and the smaller other_id, each of a class."""
-    links = _all_links(_linked(df, id_column, text, length, similarity), length, similarity, counted=False)
-    return links.select(_shown(F.col("x")).alias("class_id"), _shown(F.col("y")).alias("other_id"))
+    """Every link of ``similar_documents`` once: class_id and the smaller other_id, the least ids of two classes."""
+    found = _linked(df, id_column, text, length, similarity)
+    links = _all_links(found, length, similarity, counted=False)
+    names = [found.classes.select(F.col("id").alias(c), F.col("first.id").alias(f"{c}_id")) for c in ("x", "y")]
+    named = links.join(names[0], "x").join(names[1], "y")
+    return named.select(
+        _shown(F.greatest("x_id", "y_id")).alias("class_id"), _shown(F.least("x_id", "y_id")).alias("other_id")
+    )
+
+
+def _marked(df: DataFrame, id_column: str, text: str) -> DataFrame:
+    """id (a null one as LAST), text, and a hash that tells texts of one id apart."""
+    return df.select(
+        F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text")
+    )
 
 
 def _linked(df: DataFrame, id_column: str, text: str, length: int, similarity: int) -> Linked:
     spark = df.sparkSession
-    docs = df.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("text"))
+    docs = _marked(df, id_column, text)
 
     def stored(frame: DataFrame, label: str) -> DataFrame:
         path = scratch_path(spark, label)
@@ -543,16 +570,19 @@ def _linked(df: DataFrame, id_column: str, text: str, length: int, similarity: i
         return spark.read.schema(frame.schema).parquet(path)
 
     described = stored(_described(docs, length), "jaccard-sets")
-    classes = described.where("n > 0").groupBy("a", "b", "n").agg(F.min("id").alias("class_id"), F.first("counts").alias("counts"))
-    names = classes.select("a", "class_id")
-    groups = _grouped(_signed(docs, length, similarity)).join(names, "a").select("h", "class_id", "partner")
-    groups = stored(groups.join(names.select(F.col("a").alias("partner"), F.col("class_id").alias("other")), "partner").select(
-        "h", F.col("class_id").alias("id"), "other"
-    ), "jaccard-groups")
+    # A class of equal sets goes by half of its signature; its first row lends the text.
+    classes = described.where("n > 0").groupBy("a", "b", "n").agg(
+        F.min(F.struct("id", "mark")).alias("first"), F.first("counts").alias("counts")
+    ).withColumn("id", F.col("a"))
+    groups = stored(
+        _grouped(_signed(docs, length, similarity)).select("h", F.col("a").alias("id"), F.col("partner").alias("other")),
+        "jaccard-groups",
+    )
     live = groups.select("id").distinct()
-    sets = stored(classes.join(live, F.col("class_id") == F.col("id"), "left_semi").select("class_id", "n", "counts"), "jaccard-bounds")
-    wanted = if_small(sets.select(F.col("class_id").alias("id")), sets.count())
-    texts = stored(docs.join(wanted, "id", "left_semi"), "jaccard-texts")
+    sets = stored(classes.join(live, "id", "left_semi").select("id", "n", "counts", "first"), "jaccard-bounds")
+    wanted = sets.select(F.col("id").alias("class"), F.col("first.id").alias("id"), F.col("first.mark").alias("mark"))
+    texts = docs.join(if_small(wanted, sets.count()), ["id", "mark"]).select(F.col("class").alias("id"), "text")
+    texts = stored(texts, "jaccard-texts")
     # Each set against a few others, and again while that links sets that were not linked yet.
     met = stored(
         groups.where("id <> other").groupBy("id", "other").agg(F.count(F.lit(1)).alias("times")), "jaccard-met"
@@ -580,7 +610,7 @@ def _linked(df: DataFrame, id_column: str, text: str, length: int, similarity: i
     open_ = members.groupBy("h").agg(
         F.min("component").alias("p"), F.max("component").alias("q"), F.count(F.lit(1)).alias("m")
     ).where("p <> q").select("h", "m")
-    waiting = members.join(open_, "h").join(sets.withColumnRenamed("class_id", "id"), "id")
+    waiting = members.join(open_, "h").join(sets.select("id", "n", "counts"), "id")
     more = _open_pairs(waiting, similarity).join(tested, ["x", "y"], "left_anti")
     last = _verified(texts, stored(more, "jaccard-more"), length, similarity)
     links = stored(links.unionByName(last).distinct(), "jaccard-all-links")
@@ -588,8 +618,13 @@ def _linked(df: DataFrame, id_column: str, text: str, length: int, similarity: i
 
 
 def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of the smallest id of each component, with all their columns."""
+    """One row of each component, that of the smallest id, with all its columns.
+
+    Of different texts with that id one stays. A row stored twice, id and text, stays twice.
+    """
     found = _linked(df, id_column, text, SHINGLE, SIMILARITY)
-    kept = _rows(found, id_column).where(F.col(id_column).eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col(id_column).alias("_kept_id")).distinct()
-    return df.join(kept, F.col(id_column).eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = _rows(found).where(F.struct("id", "mark") == F.col("least")).select("id", "mark").distinct()
+    own, key = unused(df, "jaccard_id", "jaccard_mark")
+    kept = kept.select(F.col("id").alias(own), F.col("mark").alias(key))
+    same = (F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)) == F.col(own)) & (F.xxhash64(F.col(text)) == F.col(key))
+    return df.join(kept, same, "left_semi")

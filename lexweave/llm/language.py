@@ -109,7 +109,7 @@ def learn(df: DataFrame, lang: str = "lang", id_column: str = "doc_id", text: st
     lowest = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = (
         rows.select("lang", "id").withColumn("n", F.row_number().over(lowest))
-        .where(F.col("n") <= min(cfg.per_language, 1000)).select("lang", "id").distinct()
+        .where(F.col("n") <= cfg.per_language).select("lang", "id").distinct()
     )
 
     # At most per_language rows for each language; over half a million the texts go to them instead.

@@ -130,8 +130,10 @@ def mix(
     then the words [a, b) of ``pieces`` (a, b, a, b, ...). Sources are ordered by code
     point with null last and take ``weights`` in turn. A null or empty text has size 0 and
     nothing is taken of it; a table without words takes nothing. Rows that repeat an id
-    are rows of their own. The order in a shard is by a seeded hash of the id, then id and
-    size, so reruns agree however the rows are dealt. Only the columns named are read.
+    are rows of their own; those of one source and size can't be told apart and are numbered,
+    so that rows without ids or with one id are dealt over the shards like others. The
+    order in a shard is by a seeded hash of id, size and number, so reruns agree however the
+    rows are dealt. Only the columns named are read.
 
     The sources are a short list (one weight each was chosen by someone) and go through the
     driver, as do the shards, whose number is bounded.
@@ -157,8 +159,12 @@ def mix(
         [(n, s, t, max(1, -(-s // shard_words))) for n, s, t in zip(names, sizes, wanted)],
         "of string, source_size long, target double, shards long",
     )
-    placed = rows.join(info, F.col("source").eqNullSafe(F.col("of")), "left").withColumn(
-        "shard", F.pmod(F.xxhash64(F.lit(cfg.seed), F.col("id")), F.col("shards"))
+    # Equal rows are counted in each task first, so those of one id don't meet in one.
+    numbered = rows.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("times")).select(
+        "id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("number")
+    )
+    placed = numbered.join(info, F.col("source").eqNullSafe(F.col("of")), "left").withColumn(
+        "shard", F.pmod(F.xxhash64(F.lit(cfg.seed), "id", "size", "number"), F.col("shards"))
     )
     filled = placed.where("size > 0")
     found = filled.groupBy("source", "shard").agg(F.sum("size").alias("n")).collect()
@@ -171,11 +177,11 @@ def mix(
     ) if quotas else spark.createDataFrame([], "of string, of_shard long, blocks long, quota long")
     ready = filled.drop("of").join(
         quota, F.col("source").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("of_shard"))
-    ).withColumn("place", F.xxhash64(F.lit(cfg.seed + 1), F.col("id")))
+    ).withColumn("place", F.xxhash64(F.lit(cfg.seed + 1), "id", "size", "number"))
     seed = cfg.seed
 
     def select(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["place", "id", "size"], kind="stable")
+        shard = shard.sort_values(["place", "id", "size", "number"], kind="stable")
         name = shard["source"].iloc[0]
         key = [seed, int(shard["shard"].iloc[0]), *(name.encode() if isinstance(name, str) else [256])]
         passes, taken, pieces = taken_of_shard(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -151,19 +150,20 @@ def learn(
     """A network taught by a bounded sample; None unless both classes are there.
 
     The texts of the sample, 2 * per_class * train_chars characters at most, come to the
-    driver. Rows with a null id, label or text teach nothing.
+    driver. Rows with a null id, label or text teach nothing. Of an id that repeats the
+    least text teaches, once for each of its labels.
     """
     marked = labels.select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("y")).where(
         "id IS NOT NULL AND y IN (0, 1)"
     )
     lowest = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    chosen = marked.withColumn("n", F.row_number().over(lowest)).where(F.col("n") <= min(cfg.per_class, 1000))
+    chosen = marked.withColumn("n", F.row_number().over(lowest)).where(F.col("n") <= cfg.per_class)
     rows = df.select(F.col(id_column).alias("id"), F.col(text).alias("text")).where(
         F.col("text").isNotNull() & (F.length("text") <= cfg.train_chars)
     )
-    # At most 2 * per_class rows, so they go to the texts.
-    sample = rows.join(F.broadcast(chosen.select("id", "y").distinct()), "id").select("id", "y", "text").collect()
-    sample = sorted(sample, key=lambda r: (r["id"], r["y"], r["text"]))[: 2 * cfg.per_class]
+    # At most 2 * per_class rows, so they go to the texts; of each one text comes back.
+    taught = rows.join(F.broadcast(chosen.select("id", "y").distinct()), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    sample = sorted(taught.collect(), key=lambda r: (r["id"], r["y"]))
     marks = np.array([r["y"] for r in sample], np.float32)
     if len(set(marks.tolist())) < 2:
         return None
@@ -180,15 +180,10 @@ def score(df: DataFrame, net: ByteNet | None, text: str = "text", keep: tuple[st
     """
     if net is None:
         return df.select(*keep, F.lit(0.5).alias("score"))
-    schema = df.select(*keep).schema.add("score", "double")
-    # A text that is kept anyway goes to Python once.
-    rows, at = (df.select(*keep), keep.index(text)) if text in keep else (df.select(*keep, text), len(keep))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], pa.array(net.scores(batch.column(at)), pa.float64())],
-                names=[*keep, "score"],
-            )
-
-    return rows.mapInArrow(run, schema)
+
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array(net.scores(texts), pa.float64())
+
+    # Texts go to Python, and only their scores come back.
+    return df.select(*keep, scored(F.col(text)).alias("score"))

@@ -86,6 +86,18 @@ def test_similar_documents_edges(spark):
     assert jaccard.similar_documents(documents(spark, [])).collect() == []
 
 
+def test_rows_without_or_with_one_id_are_told_apart(spark):
+    text = lambda name, end: " ".join(f"{name}{k}" for k in range(60)) + end
+    a, b = text("a", ""), text("b", "")
+    rows = [(4, a), (None, a + " x"), (None, b), (7, b + " y"), (9, text("c", "")), (None, text("d", "")), (None, text("d", " z")), (5, text("e", "")), (5, text("f", ""))]
+    got = jaccard.similar_documents(documents(spark, rows).repartition(3))
+    assert sorted((str(r["doc_id"]), str(r["component_id"]), r["n_links"]) for r in got.collect()) == sorted([
+        ("4", "4", 1), ("None", "4", 1), ("None", "7", 1), ("7", "7", 1), ("9", "9", 0), ("None", "None", 1), ("None", "None", 1), ("5", "5", 0), ("5", "5", 0),
+    ])
+    kept = sorted((str(r["doc_id"]), r["text"][:2]) for r in jaccard.one_of_each(documents(spark, rows)).collect())
+    assert kept == [("4", "a0"), ("5", "e0"), ("5", "f0"), ("7", "b0"), ("9", "c0"), ("None", "d0")]
+
+
 def test_one_document_of_each_component_stays(spark):
     base = " ".join(map(str, range(100)))
     df = documents(spark, [(3, base), (2, base + " x"), (8, "other words that are not there"), (9, None)])
@@ -192,10 +204,16 @@ def test_exact_groups(spark):
         ("9", 9, 3, True), ("None", 9, 3, False),
     ]
     assert {r["text_sha256"] for r in got if r["doc_id"] in (4, 5)} == {hashlib.sha256(b"").hexdigest()}
-    assert sorted(r["doc_id"] for r in exact.drop_copies(documents(spark, rows)).collect()) == [5, 7, 7, 9]
+    assert sorted(r["doc_id"] for r in exact.drop_copies(documents(spark, rows)).collect()) == [5, 7, 9]
     assert exact.exact_groups(documents(spark, []), keep="min").collect() == []
 
 
+def test_kept_rows_are_one_for_each_text(spark):
+    rows = [(7, "A"), (7, "B"), (9, "B"), (None, "C"), (None, "C"), (None, "D"), (8, "A"), (8, "E"), (8, "E")]
+    got = exact.drop_copies(documents(spark, rows).repartition(3)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == [("8", "A"), ("8", "E"), ("9", "B"), ("None", "C"), ("None", "D")]
+
+
 def test_rules(spark):
     clean = "The house and the garden are in the old town. " * 2 + "It is a view of the sea for all who want it and more."
     rows = [(1, clean), (2, None), (3, "word " * 60), (4, " ".join(f"w{i}$$$" for i in range(30))), (None, "few words")]
