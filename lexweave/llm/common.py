@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 from collections.abc import Callable, Iterator
 from types import ModuleType
@@ -38,14 +40,52 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
+def _kept() -> dict:
+    """What this Python worker keeps; a module of its own outlives the tasks."""
+    module = sys.modules.setdefault("lexweave_llm_worker", ModuleType("lexweave_llm_worker"))
+    return module.__dict__.setdefault("kept", {})
+
+
 def worker_cache(key: str, make: Callable[[], object]):
-    """An object kept by this Python worker; a module of its own outlives the tasks."""
-    kept = sys.modules.setdefault("lexweave_llm_worker", ModuleType("lexweave_llm_worker")).__dict__
+    """An object kept by this Python worker, which keeps one at a time."""
+    kept = _kept()
     if key not in kept:
+        kept.clear()
         kept[key] = make()
     return kept[key]
 
 
+def give_back(everything: bool = True) -> None:
+    """Return memory that this worker no longer uses, and what it keeps, to the system.
+
+    Workers outlive their stages, and an executor's memory is that of all of its workers.
+    """
+    if everything:
+        _kept().clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def settle() -> None:
+    """Drop what earlier stages made this worker keep."""
+    if _kept():
+        give_back()
+
+
+def tidy(run: Callable) -> Callable:
+    """An Arrow function over batches whose worker gives memory back before and after it."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column and where each text begins, with the end; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import if_small, mix64, unused
+from .common import if_small, mix64, tidy, unused
 from .graph import components
 from .substrings import LAST
 from .words import WordReader, Words, constants, shared_groups, sums_by_text
@@ -170,7 +170,7 @@ def _described(docs: DataFrame, length: int) -> DataFrame:
                     names=["id", "mark", "n", "a", "b", "counts"],
                 )
 
-    return docs.mapInArrow(run, "id long, mark long, n long, a long, b long, counts binary")
+    return docs.mapInArrow(tidy(run), "id long, mark long, n long, a long, b long, counts binary")
 
 
 def _signed(docs: DataFrame, length: int, similarity: int) -> DataFrame:
@@ -190,7 +190,7 @@ def _signed(docs: DataFrame, length: int, similarity: int) -> DataFrame:
                         [pa.array(sign[keep].view(np.int64)), pa.array(name[text[keep]])], names=["h", "a"]
                     )
 
-    return docs.mapInArrow(run, "h long, a long")
+    return docs.mapInArrow(tidy(run), "h long, a long")
 
 
 def _grouped(keys: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def _grouped(keys: DataFrame) -> DataFrame:
         for key, member, partner in shared_groups(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(member), pa.array(partner)], names=["h", "a", "partner"])
 
-    return ordered.mapInArrow(run, "h long, a long, partner long")
+    return ordered.mapInArrow(tidy(run), "h long, a long, partner long")
 
 
 def far_apart(n1, counts1, n2, counts2, similarity: int) -> np.ndarray:
@@ -237,7 +237,7 @@ def _plausible(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
             )
             yield batch.select(["x", "y"]).filter(pa.array(~far))
 
-    return both.mapInArrow(run, "x long, y long")
+    return both.mapInArrow(tidy(run), "x long, y long")
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, length: int, similarity: int) -> DataFrame:
@@ -282,7 +282,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, length: int, similarity: int)
                             ys.append(hub)
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
 
-    return ordered.select("hub", "other", "id", "text").mapInArrow(run, "x long, y long")
+    return ordered.select("hub", "other", "id", "text").mapInArrow(tidy(run), "x long, y long")
 
 
 def pairs_in_groups(key, block, other, ids, label, n, counts, similarity: int) -> np.ndarray:
@@ -355,7 +355,7 @@ def _open_pairs(rows: DataFrame, similarity: int) -> DataFrame:
         x, y = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
 
-    return ordered.mapInArrow(run, "x long, y long").distinct()
+    return ordered.mapInArrow(tidy(run), "x long, y long").distinct()
 
 
 def _unlinked(met: DataFrame, label: DataFrame) -> DataFrame:
@@ -464,7 +464,7 @@ def _links_inside(texts: DataFrame, members: DataFrame, length: int, similarity:
         if held:
             yield from links(key, held)
 
-    return ordered.mapInArrow(run, "id long, n long" if counted else "x long, y long")
+    return ordered.mapInArrow(tidy(run), "id long, n long" if counted else "x long, y long")
 
 
 @dataclass

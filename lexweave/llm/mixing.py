@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import WORD, unused, word_count
+from .common import WORD, settle, unused, word_count
 
 # The weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -248,6 +248,7 @@ def mixed_texts(
     def cut(texts: pd.Series, passes: pd.Series, pieces: pd.Series) -> pd.Series:
         import re
 
+        settle()
         word = re.compile(WORD)
         out = []
         for body, whole, parts in zip(texts, passes, pieces):

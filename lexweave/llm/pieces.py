@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, slices, text_bytes, unused, worker_cache
+from .common import give_back, mix64, slices, text_bytes, unused, worker_cache
 
 SPACE = "▁"
 CACHED_WORDS = 200_000
@@ -304,6 +304,7 @@ def encode(
                     ],
                     names=[*part.schema.names[:-1], "ids", "n_ids", "ids_crc32", "round_trip"],
                 )
+        give_back(everything=False)
 
     return rows.mapInArrow(run, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import give_back, text_slices
 
 PAD = 256
 # Blocks of a text that one pass of the network handles; longer texts go through in parts.
@@ -182,8 +183,11 @@ def score(df: DataFrame, net: ByteNet | None, text: str = "text", keep: tuple[st
         return df.select(*keep, F.lit(0.5).alias("score"))
 
     @F.arrow_udf("double")
-    def scored(texts: pa.Array) -> pa.Array:
-        return pa.array(net.scores(texts), pa.float64())
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back()
+        for some in texts:
+            yield pa.array(net.scores(some), pa.float64())
+        give_back()
 
     # Texts go to Python, and only their scores come back.
     return df.select(*keep, scored(F.col(text)).alias("score"))

@@ -28,8 +28,6 @@ WINDOW = 13
 ANCHOR = 5
 # A null id counts as later than all others; no row may have this one.
 LAST = (1 << 63) - 1
-# Texts that share an id are told apart by so many bits beside a window's place.
-TAG = 24
 
 
 def signatures(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -54,23 +52,32 @@ def window_anchors(words: Words, window: int, anchor: int) -> tuple[np.ndarray,
 
 
 def _documents(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    return df.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("text"))
+    """id (a null one as LAST), a 64-bit mark that tells the texts of one id apart, and text."""
+    return df.select(
+        F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text")
+    )
+
+
+DESCRIBED = "id long, mark long, n_words long, a long, b long"
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """id, n_words and the signature of each text."""
+    """id, mark, n_words and the signature of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = WordReader()
         for batch in batches:
-            for i, words in read.texts(batch.column(1)):
+            for i, words in read.texts(batch.column(2)):
                 a, b = signatures(words)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, len(a)), pa.array(words.counts), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))],
-                    names=["id", "n_words", "a", "b"],
+                    [
+                        batch.column(0).slice(i, len(a)), batch.column(1).slice(i, len(a)), pa.array(words.counts),
+                        pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
+                    ],
+                    names=["id", "mark", "n_words", "a", "b"],
                 )
 
-    return docs.mapInArrow(run, "id long, n_words long, a long, b long")
+    return docs.mapInArrow(run, DESCRIBED)
 
 
 def _anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -79,7 +86,7 @@ def _anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, seen = WordReader(), set()
         for batch in batches:
-            for _, words in read.texts(batch.column(1)):
+            for _, words in read.texts(batch.column(2)):
                 sign = signatures(words)[0].view(np.int64)
                 fresh = np.array([s not in seen and not seen.add(s) for s in sign.tolist()], bool)
                 _, place, grams = window_anchors(words, window, anchor)
@@ -105,20 +112,15 @@ def _shared(keys: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "h long, a long")
 
 
-def tag_of(signature):
-    return signature & ((1 << TAG) - 1)
-
-
 def _windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """The windows around shared anchors: hash, document, place and tag of the text."""
+    """The windows around shared anchors: hash, document (id and mark) and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = WordReader()
         for batch in batches:
-            ids, shared = batch.column(0), batch.column(2)
-            for i, words in read.texts(batch.column(1)):
+            ids, marks, shared = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            for i, words in read.texts(batch.column(2)):
                 n = len(words.counts)
-                sign = signatures(words)[0].view(np.int64)
                 known = np.unique(shared.slice(i, n).flatten().to_numpy(zero_copy_only=False))
                 at, place, grams = window_anchors(words, window, anchor)
                 hit = np.isin(grams[place].view(np.int64), known)
@@ -130,13 +132,12 @@ def _windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(whole[at].view(np.int64)),
-                        pa.array(ids.slice(i, n).to_numpy()[text]),
-                        pa.array((at - words.first[text]) << TAG | tag_of(sign[text])),
+                        pa.array(ids[i + text]), pa.array(marks[i + text]), pa.array((at - words.first[text]).astype(np.int32)),
                     ],
-                    names=["h", "id", "place"],
+                    names=["h", "id", "mark", "place"],
                 )
 
-    return docs.mapInArrow(run, "h long, id long, place long")
+    return docs.mapInArrow(run, "h long, id long, mark long, place int")
 
 
 def _sources(windows: DataFrame) -> DataFrame:
@@ -148,7 +149,7 @@ def _sources(windows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, ids, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            h, ids, mark, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             sizes = np.diff(np.append(starts, len(h)))
             heads, places = ids[starts], place[starts]
@@ -159,11 +160,11 @@ def _sources(windows: DataFrame) -> DataFrame:
             later = ids > head
             if later.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[later]) for x in (ids, place, head, head_place >> TAG)],
-                    names=["id", "place", "source", "source_place"],
+                    [pa.array(x[later]) for x in (ids, mark, place, head, head_place)],
+                    names=["id", "mark", "place", "source", "source_place"],
                 )
 
-    return ordered.mapInArrow(run, "id long, place long, source long, source_place long")
+    return ordered.mapInArrow(run, "id long, mark long, place int, source long, source_place int")
 
 
 def parse(places: np.ndarray, sources: np.ndarray, source_places: np.ndarray, window: int) -> np.ndarray:
@@ -180,35 +181,35 @@ def parse(places: np.ndarray, sources: np.ndarray, source_places: np.ndarray, wi
     return np.stack((places[starts], lengths, sources[starts], source_places[starts]), axis=1)
 
 
-def windows_of(found: pa.StructArray, tag: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows_of(found: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places, sources and source places of one text's windows, in order and once each."""
     place, source, source_place = (found.field(j).to_numpy() for j in range(3))
-    mine = np.flatnonzero(tag_of(place) == tag)
-    place = place[mine] >> TAG
-    place, once = np.unique(place, return_index=True)
-    return place, source[mine][once], source_place[mine][once]
+    place, once = np.unique(place.astype(np.int64), return_index=True)
+    return place, source[once], source_place[once].astype(np.int64)
 
 
 def indexed(
     df: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All rows by (id, n_words, a, b); texts with the first id of each; shared windows by id.
+    """All rows by (id, mark, n_words, a, b); texts with the first row of each; shared windows by row.
 
-    Equal texts are one text, that of their smallest id. ``found`` lists its windows that
+    Equal texts are one text, that of their first row. ``found`` lists its windows that
     earlier documents have.
     """
     spark = df.sparkSession
     docs = _documents(df, id_column, text)
     path = scratch_path(spark, "substring-texts")
     _described(docs).write.parquet(path)
-    described = spark.read.schema("id long, n_words long, a long, b long").parquet(path)
-    texts = described.groupBy("a", "b", "n_words").agg(F.min("id").alias("first"))
-    # Anchors of two different texts, gathered for the first document of each text.
-    near = _shared(_anchors(docs, window, anchor)).join(texts.select("a", "first"), "a").groupBy("first").agg(
+    described = spark.read.schema(DESCRIBED).parquet(path)
+    texts = described.groupBy("a", "b", "n_words").agg(F.min(F.struct("id", "mark")).alias("first"))
+    # Anchors of two different texts, gathered for the first document of each text. Of one id
+    # there may be several rows with these words, in which only blanks differ.
+    rows = described.join(texts, ["a", "b", "n_words"]).where("id = first.id").select("a", "id", "mark").distinct()
+    near = _shared(_anchors(docs, window, anchor)).join(rows, "a").groupBy("id", "mark").agg(
         F.collect_list("h").alias("shared")
     )
-    asked = docs.join(near, F.col("id") == F.col("first")).select("id", "text", "shared")
-    found = _sources(_windows(asked, window, anchor)).groupBy("id").agg(
+    asked = docs.join(near, ["id", "mark"]).select("id", "mark", "text", "shared")
+    found = _sources(_windows(asked, window, anchor)).groupBy("id", "mark").agg(
         F.collect_list(F.struct("place", "source", "source_place")).alias("found")
     )
     return described, texts, found
@@ -222,41 +223,38 @@ def remove_repeats(
     A word goes if a window over it, ``window`` words long, also starts in a document with a
     smaller id. Words are taken unchanged; kept words are joined by one blank. Null and
     empty texts have no word; a text shorter than a window keeps all. Rows with one id never
-    remove each other's words. A null id counts as later than all others. ``factors`` has
+    remove each other's words, and different texts of one id have nothing to do with each
+    other. A null id counts as later than all others. ``factors`` has
     (start, words, source, source_start) of the copied runs; for a text that an
     earlier document has word by word it is one factor. Windows are compared by 64 bits of
     hash, whole texts by 128. Other columns are ignored.
     """
     described, texts, found = indexed(df, id_column, text, window, anchor)
     docs = _documents(df, id_column, text)
-    first = described.join(texts, ["a", "b", "n_words"]).where("first < id AND n_words > 0")
+    first = described.join(texts, ["a", "b", "n_words"]).where("first.id < id AND n_words > 0")
     # What is known of a row: the document it copies whole, or the windows it shares.
-    copies = first.groupBy("id").agg(F.collect_set(F.struct("a", "first")).alias("copies"))
-    facts = copies.join(found, "id", "full")
-    # The texts by id are the same shuffle as for the windows, so they move once.
-    joined = docs.join(facts, "id", "left").select("id", "text", "copies", "found")
+    copies = first.groupBy("id", "mark").agg(F.min("first.id").alias("whole"))
+    facts = copies.join(found, ["id", "mark"], "full")
+    # The texts by id and mark are the same shuffle as for the windows, so they move once.
+    joined = docs.join(facts, ["id", "mark"], "left").select("id", "text", "whole", "found")
     schema = (
         f"{id_column} long, n_words long, n_removed long, kept_text string, kept_sha256 string, "
         "factors array<array<long>>"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = WordReader()
         for batch in batches:
             ids = [i if i != LAST else None for i in batch.column(0).to_pylist()]
-            copies, found = batch.column(2), batch.column(3)
+            copied, found = batch.column(2).to_pylist(), batch.column(3)
             out = []
             for k, (name, body) in enumerate(zip(ids, batch.column(1).cast(pa.binary()).to_pylist())):
                 words = (body or b"").split()
                 cut = np.empty((0, 4), np.int64)
-                if (copies[k].is_valid or found[k].is_valid) and len(words) >= window:
-                    raw = np.frombuffer(body, np.uint8)
-                    mine = int(signatures(read(raw, np.array([0, len(raw)])))[0].view(np.int64)[0])
-                    whole = [c["first"] for c in copies[k].as_py() or () if c["a"] == mine]
-                    if whole:
-                        cut = np.array([[0, len(words), min(whole), 0]])
+                if len(words) >= window:
+                    if copied[k] is not None:
+                        cut = np.array([[0, len(words), copied[k], 0]])
                     elif found[k].is_valid:
-                        cut = parse(*windows_of(found[k].values, tag_of(mine)), window)
+                        cut = parse(*windows_of(found[k].values), window)
                 keep = np.ones(len(words), bool)
                 for start, n, *_ in cut.tolist():
                     keep[start : start + n] = False

@@ -71,6 +71,18 @@ def test_substrings_of_rows_without_or_with_equal_ids(spark):
     assert substrings.remove_repeats(documents(spark, [])).collect() == []
 
 
+def test_different_texts_without_ids_keep_their_words(spark):
+    draw = random.Random(8)
+    own = lambda name: " ".join(f"{name}{draw.randrange(10**6)}" for _ in range(21))
+    shared = own("s")
+    twice = own("t") + " " + shared
+    spaced = [tuple(r) for r in substrings.remove_repeats(documents(spark, [(1, shared), (5, twice), (5, twice.replace(" ", "  "))])).select("doc_id", "n_removed").collect()]
+    assert sorted(spaced) == [(1, 0), (5, 21), (5, 21)]
+    rows = [(1, shared), (None, own("a") + " " + shared)] + [(None, own(f"n{k}")) for k in range(40)]
+    got = substrings.remove_repeats(documents(spark, rows).repartition(4)).collect()
+    assert sorted((r["n_words"], r["n_removed"]) for r in got) == [(21, 0)] * 41 + [(42, 21)]
+
+
 @pytest.mark.parametrize("seed", [5, 6])
 def test_similar_documents_match_brute_force(spark, seed):
     rows = corpus(seed) + EDGES
