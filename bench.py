@@ -1,7 +1,8 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
 Each query runs once to warm up and then three times into a no-op sink; the median
-counts. BENCH_ALL=1 times every registered query once.
+counts. BENCH_ALL=1 times every registered query once, and BENCH_NUMBERED=1 also the
+numbered ones, which are not part of the sum.
 """
 
 from __future__ import annotations
@@ -40,6 +41,14 @@ def main() -> None:
         seconds(spark, sf_dir, name)
         runs = [seconds(spark, sf_dir, name) for _ in range(repeats)]
         times[name] = round(statistics.median(runs), 3)
+    numbered = {}
+    if os.environ.get("BENCH_NUMBERED"):
+        from lexweave.llm import queries
+
+        for name, query in queries.QUERIES.items():
+            start = time.perf_counter()
+            query(spark, sf_dir).write.format("noop").mode("overwrite").save()
+            numbered[name] = round(time.perf_counter() - start, 3)
     scale = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(
         json.dumps(
@@ -50,6 +59,7 @@ def main() -> None:
                 "queries": times,
                 "sf": float(scale) if scale.replace(".", "", 1).isdigit() else scale,
                 "cpus": cpus,
+                **({"numbered": numbered} if numbered else {}),
             }
         )
     )

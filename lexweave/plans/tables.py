@@ -57,10 +57,11 @@ def instructions(spark, d) -> DataFrame:
     )
 
 
-def preferences(spark, d) -> DataFrame:
+def preferences(spark, d, complete: bool = False) -> DataFrame:
     """The n-th good text of a source and language beside its n-th bad one, under the request for such a text.
 
-    Where there are more of one kind, the other text is null and the row goes by the one there is.
+    Where there are more of one kind, the other text is null and the row goes by the one there is;
+    ``complete`` leaves such rows out, by their ids.
     """
     docs = table(spark, d, "documents", "doc_id", "source", "lang")
     rated = docs.join(table(spark, d, "labels", "doc_id", "quality"), "doc_id")
@@ -75,7 +76,8 @@ def preferences(spark, d) -> DataFrame:
     chosen = texts.withColumnRenamed("text", "chosen")
     rejected = texts.select(F.col("doc_id").alias("bad_id"), F.col("text").alias("rejected"))
     asked = F.concat(F.lit("Write a text in "), "lang", F.lit(" as found in "), "source", F.lit("."))
-    return pairs.join(chosen, "doc_id", "left").join(rejected, "bad_id", "left").select(
+    how = "inner" if complete else "left"
+    return pairs.join(chosen, "doc_id", how).join(rejected, "bad_id", how).select(
         F.coalesce("doc_id", "bad_id").alias("doc_id"), asked.alias("prompt"), "chosen", "rejected"
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..operators import collate, tokens
+from ..session import scratch_path
 from .registry import query
 from .tables import (
     INSTR, PREF, VOCABULARY, instructions, joined, preferences, sql_clean, table, word_ids,
@@ -95,8 +96,9 @@ def assign_ordered_batches(spark, d):
 def _coded_documents(spark, d, max_len=2048):
     tokenizer = tokens.load_tokenizer(word_ids(spark, d))
     coded = tokens.tokenize(table(spark, d, "documents", "doc_id", "text"), "text", tokenizer, max_len, keep=["doc_id"])
-    # Dealt after coding, so that cut ids move and the texts stay where they are.
-    return collate.assign_batches(coded, ["doc_id"], 4)
+    # Batches are dealt by the ids alone and joined to the coded rows: no text moves.
+    numbers = collate.assign_batches(table(spark, d, "documents", "doc_id"), ["doc_id"], 4)
+    return coded.join(numbers, "doc_id")
 
 
 _DOC_BATCHES = f"""{VOCABULARY}, {_sql_ids('documents', 'doc_id', 'text', 2048, 'coded')},
@@ -169,8 +171,12 @@ SELECT doc_id, batch_id, {', '.join(
     for p in _DPO_PARTS)} FROM sized""")
 def collate_dpo(spark, d):
     tokenizer = tokens.load_tokenizer(word_ids(spark, d))
-    pairs = preferences(spark, d).where("chosen IS NOT NULL AND rejected IS NOT NULL")
-    coded = collate.encode_dpo(pairs, tokenizer)
-    out = collate.collate_dpo(collate.assign_batches(coded, ["doc_id"], 2, drop_last=True))
+    pairs = preferences(spark, d, complete=True)
+    # Coded once: the passes that deal out batches read cut ids.
+    path = scratch_path(spark, "coded")
+    collate.encode_dpo(pairs, tokenizer).write.parquet(path)
+    coded = spark.read.parquet(path)
+    numbers = collate.assign_batches(coded.select("doc_id"), ["doc_id"], 2, drop_last=True)
+    out = collate.collate_dpo(coded.join(numbers, "doc_id"))
     columns = [f"{p}_{kind}" for p in _DPO_PARTS for kind in ("input_ids", "attention_mask")]
     return out.select("doc_id", "batch_id", *(joined(c).alias(c) for c in columns))

@@ -12,6 +12,7 @@ from ..config import ChunkConfig, RetrievalConfig
 from ..operators.chunk import chunk_recursive, with_chunk_id
 from ..operators.embed import hash_embed
 from ..operators.search import attach_sources, mmr, nearest
+from . import vector_index
 from .readers import load_documents
 
 SCHEMA = (
@@ -108,6 +109,31 @@ def document_chunks(documents: DataFrame, cfg: ChunkConfig = ChunkConfig()) -> D
     return _text_chunks(documents, place, cfg)
 
 
+def index_path(root: str, name: str) -> str:
+    return f"{root.rstrip('/')}/index={name}"
+
+
+def index_collection(spark: SparkSession, root: str, name: str, cells: int = 16, k: int = 4) -> list[str]:
+    """Bring the stored index of a collection up to date; returns the additions it took in.
+
+    The first call trains the cells and measures how many of them a query has to ask, with the
+    collection's own vectors as queries. Later calls place new additions in the cells there are.
+    """
+    path, store = index_path(root, name), open_collection(spark, root, name)
+    there = vector_index.indexed_ingests(spark, path)
+    new = [r["ingest"] for r in store.select("ingest").distinct().collect() if r["ingest"] not in there]
+    if not new:
+        return []
+    rows = store.where(F.col("ingest").isin(new)).select("chunk_id", "embedding", "ingest")
+    if there:
+        vector_index.add_to_index(rows, path, item_id="chunk_id")
+    else:
+        vector_index.create_index(rows, path, item_id="chunk_id", cells=cells)
+        asked = rows.dropDuplicates(["chunk_id"]).withColumnRenamed("chunk_id", "query_id")
+        vector_index.calibrate(asked, path, k, query_id="query_id", item_id="chunk_id", metric="unit_l2")
+    return sorted(new)
+
+
 def search(
     spark: SparkSession,
     root: str,
@@ -115,10 +141,12 @@ def search(
     questions: DataFrame,
     cfg: RetrievalConfig = RetrievalConfig(),
     embedder=hash_embed,
+    indexed: bool = False,
 ) -> DataFrame:
     """Hits for questions (query_id, question): content, metadata and score by rank.
 
-    A chunk that was added several times is one hit.
+    A chunk that was added several times is one hit. ``indexed`` asks the stored index
+    (``index_collection``) instead of all vectors, and may miss some.
     """
     store = open_collection(spark, root, name)
     queries = embedder(questions, "question")
@@ -127,6 +155,11 @@ def search(
         hits = mmr(
             queries, vectors, cfg, query_id="query_id", item_id="chunk_id", unique_items=False
         )
+    elif cfg.search_type == "similarity" and indexed:
+        hits = vector_index.search_index(
+            queries, index_path(root, name), cfg.k, query_id="query_id", item_id="chunk_id",
+            metric="unit_l2", max_distance=cfg.max_distance,
+        )
     elif cfg.search_type == "similarity":
         hits = nearest(
             queries, vectors, cfg.k, query_id="query_id", item_id="chunk_id",

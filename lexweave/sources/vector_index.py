@@ -20,6 +20,7 @@ from ..operators.search import assign_cells, nearest, nearest_in_cells, train_ce
 TRAINING_ROWS = 200_000
 CALIBRATION_QUERIES = 1000
 RECALL = 0.95
+INGEST = "ingest"
 
 
 def _places(path: str) -> tuple[str, str, str]:
@@ -53,13 +54,21 @@ def centres_of(spark: SparkSession, path: str) -> np.ndarray:
 def add_to_index(
     rows: DataFrame, path: str, *, item_id: str, vector: str = "embedding", ingest: str | None = None
 ) -> None:
-    """Index more rows with the centres that are there. Adding under one ingest id again replaces it."""
-    placed = assign_cells(rows.select(item_id, vector), centres_of(rows.sparkSession, path), vector)
-    placed.write.mode("overwrite").partitionBy("cell").parquet(f"{_places(path)[1]}/ingest={ingest or uuid.uuid4().hex}")
+    """Index more rows with the centres that are there.
+
+    Adding under one ingest id again replaces it; rows may bring their ids in a column ``ingest``.
+    """
+    centres = centres_of(rows.sparkSession, path)
+    if INGEST in rows.columns and ingest is None:
+        placed = assign_cells(rows.select(item_id, vector, INGEST), centres, vector)
+        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(INGEST, "cell").parquet(_places(path)[1])
+        return
+    placed = assign_cells(rows.select(item_id, vector), centres, vector)
+    placed.write.mode("overwrite").partitionBy("cell").parquet(f"{_places(path)[1]}/{INGEST}={ingest or uuid.uuid4().hex}")
 
 
 def indexed_rows(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(_places(path)[1])
+    return spark.read.parquet(_places(path)[1]).withColumn(INGEST, F.col(INGEST).cast("string"))
 
 
 def indexed_ingests(spark: SparkSession, path: str) -> list[str]:
@@ -70,7 +79,7 @@ def indexed_ingests(spark: SparkSession, path: str) -> list[str]:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return []
-    return [r["ingest"] for r in rows.select(F.col("ingest").cast("string").alias("ingest")).distinct().collect()]
+    return [r[INGEST] for r in rows.select(INGEST).distinct().collect()]
 
 
 def recall_by_probes(queries: DataFrame, path: str, k: int = 4, *, query_id: str, item_id: str, **names) -> list[float]:

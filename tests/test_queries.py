@@ -35,12 +35,13 @@ def test_every_twin_belongs_to_a_query():
 
 # Queries whose work is done by an Arrow function, and those that read their own writes.
 ARROW = {
-    "chunk_recursive", "embed_texts", "similarity_search", "attach_sources", "top_sources",
+    "chunk_recursive", "embed_texts", "hash_embed", "similarity_search", "attach_sources", "top_sources",
     "top_k_l2", "top_k_cosine", "threshold_filter", "mmr_search", "mmr_text_search", "ivf_search",
     "ivf_full_probe", "ivf_recall",
     "stuff_prompt", "map_prompts", "reduce_prompts", "rerank_answers", "answer_rows",
     "refine_answers", "search_collection", "tokenize_words", "drop_prompt_tokens", "pad_lengths", "collate_lm",
-    "collate_seq2seq", "collate_dpo", "generate_responses", "error_rows",
+    "collate_seq2seq", "generate_responses", "error_rows",
+    "read_csv_table", "read_tsv_table", "read_headerless_table", "read_csv_docs",
 }
 
 
