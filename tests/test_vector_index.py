@@ -88,5 +88,8 @@ def test_a_collection_with_an_index(spark, tmp_path):
     assert collections.index_collection(spark, root, "c") == ["b"]
     assert collections.index_collection(spark, root, "c") == []
     questions = spark.createDataFrame([(1, "tree sea red"), (2, "red red red")], "query_id int, question string")
-    got = collections.search(spark, root, "c", questions, RetrievalConfig(k=1), indexed=True).orderBy("query_id").collect()
-    assert [sorted(r["content"].split()) for r in got] == [["red", "sea", "tree"], ["red", "red", "red"]]
+    found = [
+        [(r["query_id"], r["score"], r["content"]) for r in collections.search(spark, root, "c", questions, RetrievalConfig(k=1), indexed=i).orderBy("query_id").collect()]
+        for i in (True, False)
+    ]
+    assert found[0] == found[1] and [s for _, s, _ in found[0]] == [0, 0]
