@@ -1,11 +1,12 @@
-"""Substring duplicates by relative Lempel-Ziv parsing against all earlier documents.
+"""Substring duplicates against all earlier documents, as factors of a relative parse.
 
 Every document is a reference block for those with larger ids. The index holds a run of
 few words (an anchor) out of every window, chosen by the window's words alone, so equal
 windows have equal anchors. Where an anchor occurs in two different texts, the windows
 around it are looked up. Each document is then cut greedily into factors: runs of words
 copied from one place in an earlier document. Windows across the boundary of two factors
-are in the index as well, so they are checked by themselves.
+are in the index as well, so they are checked by themselves. What goes are the words under
+windows found in the index; the factors name where they come from.
 """
 
 from __future__ import annotations
