@@ -75,10 +75,9 @@ def missing_values(spark, d):
 
 
 def _page_files(spark, d):
-    """One text file per page, in one folder each; the writer ends it with a line break."""
+    """One text file per page, named by its id; the writer ends it with a line break."""
     path = scratch_path(spark, "pages")
-    pages = table(spark, d, "pages", "page_id", "html")
-    pages.repartition("page_id").write.partitionBy("page_id").text(path)
+    writers.write_texts(table(spark, d, "pages", "page_id", "html"), path, "page_id", "html")
     return path
 
 
