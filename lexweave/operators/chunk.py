@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ChunkConfig
 from ..functions.text import strip
+from .batches import release, text_parts
 
 
 def chunk_id(source: Column, chunk_no: Column, content: Column) -> Column:
@@ -87,9 +88,12 @@ def split_text(text: str, cfg: ChunkConfig, level: int = 0) -> Iterator[str]:
 def chunk_recursive(df: DataFrame, column: str, cfg: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Separator-aware chunks; each row is cut by itself, so nothing is shuffled."""
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([list(split_text(t, cfg)) if t else [] for t in texts], dtype=object)
+    @F.arrow_udf("array<string>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for part in text_parts(texts):
+                yield pa.array([list(split_text(t, cfg)) if t else [] for t in part], pa.list_(pa.string()))
+        release()
 
     rest = [c for c in df.columns if c != column]
     return df.select(*rest, F.posexplode(cut(F.col(column))).alias("chunk_no", "content"))
