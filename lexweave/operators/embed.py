@@ -16,10 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import release, text_parts
+
 # An embedder maps a list of texts to a float matrix, one row per text.
 Embedder = Callable[[Sequence[str]], np.ndarray]
 
 
+# Tokens whose bucket a worker remembers; each takes a few hundred bytes.
+REMEMBERED = 1 << 16
+
+
 def token_bucket(token: str, dim: int) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:7], 16) % dim
 
@@ -32,7 +38,7 @@ class HashEmbedder:
 
     def __init__(self, dim: int = 256):
         self.dim = dim
-        self.bucket = lru_cache(maxsize=1 << 20)(lambda token: token_bucket(token, dim))
+        self.bucket = lru_cache(maxsize=REMEMBERED)(lambda token: token_bucket(token, dim))
 
     def __call__(self, texts: Sequence[str]) -> np.ndarray:
         tokens = [text.lower().split() for text in texts]
@@ -70,11 +76,11 @@ def embed(
             loaded[key] = make()
         model = loaded[key]
         for column in batches:
-            texts = [t or "" for t in column.to_pylist()]
-            parts = [model(texts[i : i + batch]) for i in range(0, len(texts), batch)]
-            matrix = np.concatenate(parts).astype(np.float32) if parts else np.zeros((0, 0), np.float32)
-            offsets = np.arange(len(texts) + 1, dtype=np.int32) * matrix.shape[1]
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
+            for texts in text_parts(column, batch):
+                matrix = np.asarray(model(texts)).astype(np.float32, copy=False)
+                offsets = np.arange(len(texts) + 1, dtype=np.int32) * matrix.shape[1]
+                yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
+        release()
 
     return df.withColumn(into, vectors(F.col(f"`{column}`")))
 

@@ -27,6 +27,7 @@ from .ranking import top_per_group
 # Queries per pass: a block of 4,096 vectors of 1,024 doubles is 32 MB.
 QUERY_BLOCK = 4096
 SCORES_AT_ONCE = 4_000_000
+NUMBERS_AT_ONCE = 1_000_000
 # Passes that one plan unites; more are run one after the other.
 PASSES = 16
 # Hits that may be broadcast: at about 100 bytes each, 100 MB.
@@ -87,7 +88,8 @@ def _best_hits(
     """The k best items per query of one task. Columns: item, vector and, with probes, cell."""
     best = pd.DataFrame({"q": np.zeros(0, int), "score": np.zeros(0), "item": []})
     bound = np.full(len(queries), np.inf if max_distance is None else max_distance)
-    step = max(1, SCORES_AT_ONCE // max(len(queries), 1))
+    # As many rows as keep both their scores and their vectors small.
+    step = max(1, min(SCORES_AT_ONCE // max(len(queries), 1), NUMBERS_AT_ONCE // max(queries.shape[-1], 1)))
     for batch in batches:
         for start in range(0, batch.num_rows, step):
             rows = batch.slice(start, step)
