@@ -6,12 +6,13 @@ from collections.abc import Sequence
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..session import scratch_path
+from .batches import text_parts
 
 PAD_ID = 0
 UNK_ID = 1
@@ -94,10 +95,15 @@ def lookup_ids(tokens: DataFrame, vocab: DataFrame, unk_id: int = UNK_ID) -> Dat
 def encoder(tokenizer: Tokenizer, max_len: int):
     """An Arrow function text → ids, cut to ``max_len``. Spark broadcasts a large tokenizer."""
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        ids = tokenizer.encode(texts.fillna("").tolist())
-        return pd.Series([np.asarray(i[:max_len], dtype=np.int32) for i in ids])
+    @F.arrow_udf("array<int>")
+    def encode(texts: pa.Array) -> pa.Array:
+        none = pa.array([], pa.list_(pa.int32()))
+        return pa.concat_arrays([none, *map(coded, text_parts(texts))])
+
+    def coded(texts: list[str]) -> pa.Array:
+        ids = [np.asarray(i[:max_len], dtype=np.int32) for i in tokenizer.encode(texts)]
+        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
 
     return encode
 
