@@ -24,6 +24,9 @@ NA_VALUES = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+# Bytes of small files that one task reads.
+TASK_BYTES = 16 << 20
+
 
 def charset(encoding: str) -> str:
     """Spark's name of an encoding; unknown ones are left to the session's charset setting."""
@@ -147,10 +150,17 @@ def identified(df: DataFrame, cfg: DatasetConfig) -> DataFrame:
 
 def read_text_docs(spark: SparkSession, path: str, tree: dict | None = None) -> DataFrame:
     """One document per file: content and metadata with its source."""
-    return spark.read.options(**(tree or {})).text(path, wholetext=True).select(
+    return gathered(spark.read.options(**(tree or {})).text(path, wholetext=True).select(
         F.col("value").alias("content"),
         F.create_map(F.lit("source"), F.col("_metadata.file_path")).alias("metadata"),
-    )
+    ))
+
+
+def gathered(files: DataFrame) -> DataFrame:
+    """Whole small files in fewer tasks; Spark takes each for several MB, and so plans a task for a few dozen."""
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = max(4 * files.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    return files.coalesce(tasks) if tasks < files.rdd.getNumPartitions() else files
 
 
 def row_documents(df: DataFrame, names: list[str]) -> DataFrame:
