@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import text_slices
+from .common import text_slices, tidy
 
 # Characters that no term has: ASCII other than letters.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -27,7 +27,7 @@ SCALE = 1_000_000_000
 GROUPS_IN_BLOCK = 64
 TERMS_IN_BLOCK = 4096
 TOP = 10
-COUNT_BYTES = 16 << 20
+COUNT_BYTES = 4 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -87,7 +87,7 @@ def counted(df: DataFrame, lang: str, source: str, text: str) -> DataFrame:
                     names=["lang", "source", "term", "n", "docs"],
                 )
 
-    found = rows.mapInArrow(run, "lang string, source string, term binary, n long, docs long")
+    found = rows.mapInArrow(tidy(run), "lang string, source string, term binary, n long, docs long")
     return found.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(
         F.sum("n").alias("n"), F.sum("docs").alias("docs")
     )
