@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path
-from .common import text_slices, worker_cache
+from .common import give_back, text_slices, tidy, worker_cache
 
 BLOCK_TOKENS = 1 << 20
 # Words whose ids a worker remembers; those that were not met again make room for others.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 # Bytes of text whose words are made distinct together.
-ENCODED_AT_ONCE = 8 << 20
+ENCODED_AT_ONCE = 4 << 20
 
 # Longer words are not remembered.
 LONG_WORD = 64
@@ -243,6 +243,7 @@ def write_tokens(
                         block, before, waiting = block + 1, before + waiting, 0
         if names:
             yield out()
+        give_back(everything=False)  # the words known so far serve the next task
 
     ordered.mapInArrow(run, BLOCKS).write.parquet(path)
 
@@ -261,7 +262,8 @@ def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):  # a block at a time: they are large
+                row = batch.slice(k, 1).to_pylist()[0]
                 ids = unpack(row["id_table"], row["control"], row["data"], row["n_tokens"])
                 ends = np.cumsum(row["counts"])
                 parts = [ids[e - n : e] for e, n in zip(ends, row["counts"])]
@@ -275,7 +277,7 @@ def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
                     columns["ids"] = pa.array([p.tolist() for p in parts], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return blocks.join(first, "part").mapInArrow(run, schema)
+    return blocks.join(first, "part").mapInArrow(tidy(run), schema)
 
 
 def token_file(df: DataFrame, tokenizer: str, end_id: int = 0, id_column: str = "doc_id", text: str = "text") -> DataFrame:
