@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .common import if_small, mix64, tidy, unused
-from .graph import components
+from .graph import components, components_after
 from .substrings import LAST
 from .words import WordReader, Words, constants, shared_groups, sums_by_text
 
@@ -46,8 +46,10 @@ SHINGLES_AT_ONCE = 1 << 19
 FEW = 32
 COLUMNS_AT_ONCE = 1024
 # Before groups are compared completely: how often sets are tried, and against how many others.
+# A round that adds less than a part in WORTHWHILE to the links is the last one.
 ROUNDS = 3
 TRIED = 6
+WORTHWHILE = 20
 
 
 @dataclass
@@ -311,7 +313,7 @@ def pairs_in_groups(key, block, other, ids, label, n, counts, similarity: int) -
 
 
 def _open_pairs(rows: DataFrame, similarity: int) -> DataFrame:
-    """Pairs to be compared inside the groups of ``rows`` (h, m, id, component, n, counts).
+    """Pairs to be compared inside the groups of ``rows`` (h, m, id, component, n, counts), see ``_open_groups``.
 
     A group of more than MEMBERS_AT_ONCE rows is cut into blocks, and each pair of blocks is
     a group of its own, so a task holds a bounded number of rows whatever a group's size.
@@ -358,6 +360,22 @@ def _open_pairs(rows: DataFrame, similarity: int) -> DataFrame:
     return ordered.mapInArrow(tidy(run), "x long, y long").distinct()
 
 
+def _open_groups(groups: DataFrame, label: DataFrame) -> DataFrame:
+    """(h, id, component) of groups whose members are not all linked.
+
+    Sets that share one part share many as a rule, and a passage of many texts makes many groups of
+    about the same sets. Groups with the same member by least hash become one, of all their members: groups are
+    likely to be joined by as much as they have in common, and each pair of a group is still in some group.
+    """
+    members = groups.select("h", "id").join(label, "id", "left").select(
+        "h", "id", F.coalesce("component", "id").alias("component")
+    )
+    open_ = members.groupBy("h").agg(
+        F.min("component").alias("p"), F.max("component").alias("q"), F.min(F.xxhash64("id")).alias("least")
+    ).where("p <> q").select("h", "least")
+    return members.join(open_, "h").select(F.col("least").alias("h"), "id", "component").distinct()
+
+
 def _unlinked(met: DataFrame, label: DataFrame) -> DataFrame:
     """The pairs (id, other) that no links connect yet."""
     own = label.select("id", F.col("component").alias("p"))
@@ -588,6 +606,7 @@ def _linked(df: DataFrame, id_column: str, text: str, length: int, similarity: i
         groups.where("id <> other").groupBy("id", "other").agg(F.count(F.lit(1)).alias("times")), "jaccard-met"
     )
     tested = links = label = None
+    known = 0
     for _ in range(ROUNDS):
         some = met
         if label is not None:
@@ -600,21 +619,18 @@ def _linked(df: DataFrame, id_column: str, text: str, length: int, similarity: i
         near = stored(_plausible(pairs, sets, similarity), "jaccard-near")
         new = stored(_verified(texts, near, length, similarity), "jaccard-links")
         links = new if links is None else links.unionByName(new)
-        label = components(links)
-        if new.isEmpty():
+        label = components(new) if label is None else components_after(label, new)
+        found = new.count()
+        known += found
+        if found * WORTHWHILE <= known:
             break
     # Groups of sets that are not all linked yet, completely.
-    members = groups.select("h", "id").distinct().join(label, "id", "left").select(
-        "h", "id", F.coalesce("component", "id").alias("component")
-    )
-    open_ = members.groupBy("h").agg(
-        F.min("component").alias("p"), F.max("component").alias("q"), F.count(F.lit(1)).alias("m")
-    ).where("p <> q").select("h", "m")
-    waiting = members.join(open_, "h").join(sets.select("id", "n", "counts"), "id")
+    waiting = stored(_open_groups(groups, label), "jaccard-open")
+    waiting = waiting.join(waiting.groupBy("h").agg(F.count(F.lit(1)).alias("m")), "h").join(sets.select("id", "n", "counts"), "id")
     more = _open_pairs(waiting, similarity).join(tested, ["x", "y"], "left_anti")
-    last = _verified(texts, stored(more, "jaccard-more"), length, similarity)
-    links = stored(links.unionByName(last).distinct(), "jaccard-all-links")
-    return Linked(described, classes, sets, texts, links, components(links))
+    last = stored(_verified(texts, stored(more, "jaccard-more"), length, similarity), "jaccard-last")
+    links = links.unionByName(last).distinct()
+    return Linked(described, classes, sets, texts, links, components_after(label, last))
 
 
 def one_of_each(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

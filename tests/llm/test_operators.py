@@ -174,6 +174,29 @@ def test_all_links_of_near_copies(spark, monkeypatch):
     assert len(pairs) == len(want) and set(pairs) == want
 
 
+def test_groups_of_the_same_sets_are_compared_once(spark):
+    """A passage of many texts makes many groups; their pairs are one group's pairs."""
+    rows = [(h, i) for h in range(50) for i in range(20)] + [(100, 1), (100, 30), (101, 0), (101, 5)]
+    groups = spark.createDataFrame([(h, i, i) for h, i in rows], "h long, id long, other long")
+    label = spark.createDataFrame([(0, 0), (5, 0)], "id long, component long")
+    got = [tuple(r) for r in jaccard._open_groups(groups, label).collect()]
+    assert len(got) <= 23 and len(set(got)) == len(got) and all(c == (0 if i == 5 else i) for _, i, c in got)
+    found = [{i for h, i, _ in got if h == g} for g in {h for h, _, _ in got}]
+    assert any(set(range(20)) <= f for f in found) and any({1, 30} <= f for f in found)
+    assert jaccard._open_groups(groups.where("h = 101"), label).collect() == []
+
+
+def test_texts_with_a_common_passage_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MEMBERS_AT_ONCE", 16)
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    monkeypatch.setattr(jaccard, "TRIED", 1)
+    draw = random.Random(3)
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(i, passage + " " + " ".join(f"w{draw.randrange(20)}" for _ in range(draw.choice([4, 8, 30])))) for i in range(120)]
+    got = jaccard.similar_documents(documents(spark, rows))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == sorted(brute.similar(rows))
+
+
 @pytest.mark.parametrize("few", [0, 3, 100])
 def test_shared_counts(monkeypatch, few):
     monkeypatch.setattr(jaccard, "FEW", few)
@@ -196,6 +219,17 @@ def test_components(spark):
     assert got == {i: c for i, c in least.items() if any(i in link and link[0] != link[1] for link in links)}
 
 
+@pytest.mark.parametrize("first", [0, 1, 90])
+def test_components_after_more_links(spark, first):
+    draw = random.Random(first)
+    links = [(draw.randrange(150), draw.randrange(150)) for _ in range(110)] + [(1000 + i, 1001 + i) for i in range(20)]
+    draw.shuffle(links)
+    frame = lambda some: spark.createDataFrame(some, "x long, y long")
+    label = graph.components(frame(links[:first]))
+    got = sorted(tuple(r) for r in graph.components_after(label, frame(links[first:])).collect())
+    assert got == sorted(tuple(r) for r in graph.components(frame(links)).collect())
+
+
 def test_words_and_runs():
     texts = ["", "a  b\tc", "B", " \n", "x a b c y"]
     data = "".join(texts).encode()
