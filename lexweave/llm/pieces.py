@@ -21,16 +21,17 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, mix64, slices, text_bytes, unused, worker_cache
+from .common import give_back, mix64, slices, unused, worker_cache
 
 SPACE = "▁"
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 # Bytes of the texts whose new words are encoded together; a longer text goes alone.
-BYTES_AT_ONCE = 4_000_000
+BYTES_AT_ONCE = 1_000_000
 # Longer words go one by one through a queue, since a matrix row is searched for each merge.
 LONG_WORD = 64
 NONE = -np.inf
@@ -268,6 +269,12 @@ class Encoder:
         return data.decode("utf-8", "replace").removeprefix(" ")
 
 
+def text_starts(texts: pa.Array) -> np.ndarray:
+    """Where each text would begin among the bytes of all, with the end; the bytes are not copied."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+
+
 def encoder(path: str, kind: str) -> Encoder:
     return worker_cache(f"pieces-{kind}-{path}", lambda: Encoder(path, kind))
 
@@ -288,8 +295,7 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(model, kind)
         for batch in batches:
-            _, starts = text_bytes(batch.column(batch.num_columns - 1))
-            for i, j in slices(starts, BYTES_AT_ONCE):
+            for i, j in slices(text_starts(batch.column(batch.num_columns - 1)), BYTES_AT_ONCE):
                 part = batch.slice(i, j - i)
                 texts = part.column(part.num_columns - 1).to_pylist()
                 found = code(texts)
