@@ -1,4 +1,5 @@
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -29,6 +30,22 @@ def test_words_encode_like_whole_texts(texts):
     assert CACHED(texts) == want
 
 
+def test_words_met_again_are_not_encoded_again():
+    """A worker's texts have about this many different words; they come again in later runs."""
+    asked = []
+
+    class Counted:
+        def encode_batch_fast(self, words, add_special_tokens):
+            asked.append(len(words))
+            return [SimpleNamespace(ids=[1])] * len(words)
+
+    code = CachedEncoder(PATH)
+    code.tokenizer = Counted()
+    for run in [0, 1, 2, 0, 1, 2]:
+        assert code._ids([b"%d %d" % (run, k) for k in range(150_000)]) == [b"\x01\0\0\0"] * 150_000
+    assert sum(asked) == 450_000
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=60), st.integers(1, 70_000))
 def test_blocks_round_trip(ids, spread):
