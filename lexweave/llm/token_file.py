@@ -23,9 +23,9 @@ from .common import give_back, text_slices, tidy, worker_cache
 
 BLOCK_TOKENS = 1 << 20
 # Words whose ids a worker remembers; those that were not met again make room for others.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
 # Bytes of text whose words are made distinct together.
-ENCODED_AT_ONCE = 4 << 20
+ENCODED_AT_ONCE = 8 << 20
 
 # Longer words are not remembered.
 LONG_WORD = 64
@@ -100,7 +100,12 @@ class CachedEncoder:
             found = self.tokenizer.encode_batch_fast([words[k].decode() for k in new], add_special_tokens=False)
             for k, e in zip(new, found):
                 got[k] = array("I", e.ids).tobytes()
-        self.known.update((words[k], got[k]) for k in gaps if len(words[k]) <= LONG_WORD)
+        if gaps:
+            asked = [words[k] for k in gaps]
+            self.known.update(zip(asked, map(got.__getitem__, gaps)))
+            for word in asked:
+                if len(word) > LONG_WORD:
+                    del self.known[word]
         return got
 
     def column(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
