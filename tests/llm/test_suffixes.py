@@ -99,6 +99,47 @@ def test_suffix_array_and_common_prefixes():
         assert shared[b] == min(n, 20)
 
 
+def shard_of(parts):
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    sizes = [len(p) for p in parts]
+    return data, np.cumsum(sizes), np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))
+
+
+def test_settled_suffixes_are_not_sorted_again(monkeypatch):
+    draw = random.Random(6)
+    part = bytes(draw.randrange(256) for _ in range(700))
+    data, _, room = shard_of([part] * 20 + [bytes(draw.randrange(256) for _ in range(700)) for _ in range(20)])
+    words, sort, sizes = suffixes.packed(data), np.argsort, []
+    monkeypatch.setattr(np, "argsort", lambda a, *rest, **named: sizes.append(len(a)) or sort(a, *rest, **named))
+    order = suffixes.suffix_array(words, room)
+    assert order.tolist() == sorted(range(len(data)), key=lambda i: (bytes(data[i : i + room[i]]), i))
+    # Half of the suffixes are alone after the first sort; those of the copies are equal to their ends.
+    assert sum(sizes) < 3 * len(data)
+
+
+@pytest.mark.parametrize("n, times", [(1 << 20, 3), ((1 << 21) + 5, 2)])
+def test_suffixes_of_large_shards(n, times):
+    data = np.random.default_rng(3).integers(97, 99, n).astype(np.uint8)
+    room = np.minimum(16 - np.arange(n) % 16, n - np.arange(n))
+    whole = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(16, np.uint8))), 16)[:n]
+    whole = np.where(np.arange(16) < room[:, None], whole, 0).astype(np.uint8).view(">u8")
+    assert (3 if 3 * n.bit_length() < 64 else 2) == times
+    assert np.array_equal(suffixes.suffix_array(suffixes.packed(data), room), np.lexsort((whole[:, 1], whole[:, 0])))
+
+
+def test_common_prefixes_of_long_suffixes_only():
+    draw = random.Random(8)
+    parts = [bytes(draw.choice(b"ab") for _ in range(draw.randrange(1, 40))) * draw.randrange(1, 9) for _ in range(60)]
+    data, _, room = shard_of(parts)
+    words = suffixes.packed(data)
+    order = suffixes.suffix_array(words, room)
+    every = suffixes.common_prefixes(words, room, order, 90)
+    assert every.max() > 64
+    for least in (30, 90, 1000):
+        some = suffixes.common_prefixes(words, room, order, 90, least)
+        assert np.array_equal(some, np.where(room >= least, every, 0))
+
+
 def test_sorted_lists_merge_by_search():
     parts = [np.array(p, np.complex128) for p in ([1, 3], [2, 3, 4], [3], [], [1 + 1j])]
     kinds, counts = suffixes.merged_counts(parts)
